@@ -592,23 +592,22 @@ def exploration_summary(df: DataFrame, label: str, many: int = 20) -> DataFrame:
         F.col("n").cast("double").alias("value"), F.lit(None).cast("string").alias("detail"),
     )
     positive = F.sum(F.when(F.col("value").isin("Yes", "1"), F.col("n")).otherwise(0))
+    percent = F.try_divide(F.col("positive"), F.col("rows")) * 100
+    figures = (
+        ("rows", F.col("rows").cast("double"), F.lit(None).cast("string")),
+        ("columns", F.lit(float(len(df.columns))), F.lit(None).cast("string")),
+        ("churn_percent", percent, rate_class(percent)),
+    )
     shape = counts.agg(F.sum("n").alias("rows"), positive.alias("positive")).select(
         F.inline(
             F.array(
-                F.struct(
-                    F.lit("shape").alias("section"), F.lit("rows").alias("name"),
-                    F.col("rows").cast("double").alias("value"),
-                    F.lit(None).cast("string").alias("detail"),
-                ),
-                F.struct(
-                    F.lit("shape"), F.lit("columns"), F.lit(float(len(df.columns))),
-                    F.lit(None).cast("string"),
-                ),
-                F.struct(
-                    F.lit("shape"), F.lit("churn_percent"),
-                    F.try_divide(F.col("positive"), F.col("rows")) * 100,
-                    rate_class(F.try_divide(F.col("positive"), F.col("rows")) * 100),
-                ),
+                *[
+                    F.struct(
+                        F.lit("shape").alias("section"), F.lit(name).alias("name"),
+                        value.alias("value"), detail.alias("detail"),
+                    )
+                    for name, value, detail in figures
+                ]
             )
         )
     )

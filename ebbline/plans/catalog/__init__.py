@@ -1,6 +1,6 @@
 """All named queries. Importing the topic modules fills the registry."""
 
 from ebbline.plans.catalog.registry import ORACLES, QUERIES
-from ebbline.plans.catalog import cleaning  # noqa: F401  (registration)
+from ebbline.plans.catalog import cleaning, profiling, statistics  # noqa: F401  (registration)
 
 __all__ = ["ORACLES", "QUERIES"]

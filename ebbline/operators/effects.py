@@ -359,6 +359,11 @@ def anova(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
             F.var_pop("value").alias("variance"),
         )
     )
+    return anova_from_classes(classes)
+
+
+def anova_from_classes(classes: DataFrame) -> DataFrame:
+    """F test from ``feature, n, mean, variance`` (population) with one row per class."""
     # Between-class part: n-weighted variance of the class means around the grand mean.
     sums = classes.groupBy("feature").agg(
         F.sum("n").alias("n"),

@@ -612,3 +612,42 @@ def exploration_summary(df: DataFrame, label: str, many: int = 20) -> DataFrame:
         )
     )
     return per_column.unionByName(target).unionByName(shape)
+
+
+def feature_statistics_long(long: DataFrame, feature: str, value: str) -> DataFrame:
+    """As :func:`feature_statistics` for features stacked in long rows."""
+    return long.groupBy(feature).agg(
+        F.count(value).alias("count"),
+        F.avg(value).alias("mean"),
+        F.stddev_samp(value).alias("std"),
+        F.min(value).alias("min"),
+        F.max(value).alias("max"),
+    )
+
+
+def feature_summary(
+    df: DataFrame, target: str, columns: Sequence[str], importance: DataFrame | None = None
+) -> DataFrame:
+    """Type, missing values and correlation per feature, plus model importances, as long rows."""
+    kinds = columns_by_type(df.select(*columns))
+    numeric = F.col("column").isin(kinds["numeric"])
+    nulls = null_counts(df, columns).select(
+        F.when(numeric, "numeric_feature").otherwise("categorical_feature").alias("section"),
+        "column",
+        F.col("null_count").cast("double").alias("value"),
+    )
+    parts = nulls
+    if kinds["numeric"]:
+        parts = parts.unionByName(
+            correlation_with(df, kinds["numeric"], target).select(
+                F.lit("correlation").alias("section"), "column", F.col("correlation").alias("value")
+            )
+        )
+    if importance is not None:
+        parts = parts.unionByName(
+            importance.select(
+                F.lit("importance").alias("section"), F.col("feature").alias("column"),
+                F.col("importance").alias("value"),
+            )
+        )
+    return parts

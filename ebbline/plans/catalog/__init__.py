@@ -1,6 +1,12 @@
 """All named queries. Importing the topic modules fills the registry."""
 
 from ebbline.plans.catalog.registry import ORACLES, QUERIES
-from ebbline.plans.catalog import cleaning, profiling, statistics  # noqa: F401  (registration)
+from ebbline.plans.catalog import (  # noqa: F401  (importing registers the queries)
+    cleaning,
+    evaluation,
+    modelling,
+    profiling,
+    statistics,
+)
 
 __all__ = ["ORACLES", "QUERIES"]

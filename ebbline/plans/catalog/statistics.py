@@ -186,7 +186,7 @@ def _(t):
     return E.simple_effects(t.clean, [*ROLES.treatments, "tenure"])
 
 
-@query("u01_union_of_unlike_rows", SIMPLE.replace('SELECT treatment AS "Treatment_Variable"', 'SELECT treatment AS "Treatment_Variable"'))
+@query("u01_union_of_unlike_rows", SIMPLE)
 def _(t):
     levels = E.simple_effects(t.clean, ROLES.treatments).drop("Correlation_with_Churn", "Analysis_Type")
     numbers = E.simple_effects(t.clean, ["tenure"]).select(
@@ -412,9 +412,9 @@ def _(t):
 
 @query(
     "c29_significant_effect_summary",
-    STRATIFIED.replace("dd AS", "strat AS").replace("d AS (SELECT SUM", "d AS (SELECT SUM")
+    STRATIFIED
     + f""" SELECT COUNT(*) AS significant_effects, {r6('AVG(eff)', 'average_effect')}, {r6('MAX(ABS(eff))', 'strongest_effect')}
-    FROM strat WHERE p<0.05e0""",
+    FROM dd WHERE p<0.05e0""",
 )
 def _(t):
     return E.significant_effect_summary(

@@ -53,62 +53,53 @@ def level_outcomes(df: DataFrame, treatments: Sequence[str], outcome: str) -> Da
 
 
 def _treatment_totals(cells: DataFrame) -> DataFrame:
-    """Per treatment: overall rate over all rows, and the margins over the rows with a level."""
+    """Per treatment: overall rate over all rows, margins over rows with a level, and the test.
+
+    For a 0/1 outcome the chi-square statistic of a levels x 2 table needs only sums over levels:
+    ``N^2 / (S (N - S)) * (sum(s^2 / n) - S^2 / N)``. A 2x2 table gets the continuity correction;
+    there both levels deviate equally from their expected count, so one of them is enough. A table
+    with one level or one outcome value has no test: null p-value, not significant.
+    """
     known = F.col("level").isNotNull()
-    return cells.groupBy("treatment").agg(
+    n, s = F.col("total"), F.col("total_positives")
+    sums = cells.groupBy("treatment").agg(
         F.try_divide(F.sum("positives"), F.sum("n")).alias("overall"),
         F.sum(F.when(known, F.col("n"))).alias("total"),
         F.sum(F.when(known, F.col("positives"))).alias("total_positives"),
         F.count_if(known).alias("levels"),
+        F.sum(F.when(known, F.col("positives") / F.col("n") * F.col("positives"))).alias("squares"),
+        F.sum(F.when(known, 1 / F.col("n"))).alias("inverse"),
+        F.min(F.when(known, F.struct("level", "n", "positives"))).alias("one"),
+    )
+    dof = F.col("levels") - 1
+    gap = F.abs(F.col("one.positives") - F.col("one.n") * (s / n))
+    slack = F.greatest(gap - 0.5, F.lit(0.0))
+    corrected = slack * slack * n * F.col("inverse") * (1 / s + 1 / (n - s))
+    plain = (n / s) * (n / (n - s)) * (F.col("squares") - s / n * s)
+    testable = (F.col("levels") >= 2) & (s > 0) & (s < n)
+    tested = sums.select(
+        "treatment", "overall",
+        F.when(testable, F.when(dof == 1, corrected).otherwise(F.greatest(plain, F.lit(0.0)))).alias("chi2"),
+        F.when(testable, dof).alias("dof"),
+    )
+    return tested.withColumn("p_value", chi2_tail(F.col("chi2"), F.col("dof"))).withColumn(
+        "significant", F.coalesce(F.col("p_value") < ALPHA, F.lit(False))
     )
 
 
 def _with_totals(cells: DataFrame) -> DataFrame:
+    """Level rows with the totals and test of their treatment."""
+    # The condition needs the count, so it is applied after the aggregation and both uses of the
+    # cells share one shuffle; a plain filter on the level would be pushed below it in one of them.
+    known = cells.where(F.when(F.col("level").isNotNull(), F.col("n")) > 0)
     # One row per listed treatment: its size is the length of an argument, so it may be broadcast.
-    return cells.where(F.col("level").isNotNull()).join(
-        F.broadcast(_treatment_totals(cells)), "treatment"
-    )
-
-
-def _chi_square_from(cells: DataFrame) -> DataFrame:
-    """Chi-square statistic, dof, p-value and verdict per treatment from level counts.
-
-    A 2x2 table gets the continuity correction. A table with a single level or a single outcome
-    value has no test: null p-value, not significant.
-    """
-    both = _with_totals(cells)
-    share = F.try_divide(F.col("total_positives"), F.col("total"))
-    expected_1 = F.col("n") * share
-    expected_0 = F.col("n") * (1 - share)
-    gap = F.abs(F.col("positives") - expected_1)
-    dof = F.col("levels") - 1
-    corrected = F.when(dof == 1, F.greatest(gap - 0.5, F.lit(0.0))).otherwise(gap)
-    part = F.try_divide(corrected * corrected, expected_1) + F.try_divide(
-        corrected * corrected, expected_0
-    )
-    testable = (F.col("levels") >= 2) & (F.col("outcomes") == 2)
-    stats = both.groupBy("treatment").agg(
-        F.sum(part).alias("chi2"),
-        F.max(dof).alias("dof"),
-        F.max("levels").alias("levels"),
-        F.max(
-            (F.col("total_positives") > 0).cast("int")
-            + (F.col("total_positives") < F.col("total")).cast("int")
-        ).alias("outcomes"),
-    )
-    p = chi2_tail(F.col("chi2"), F.col("dof"))
-    return stats.select(
-        "treatment",
-        F.when(testable, F.col("chi2")).alias("chi2"),
-        F.when(testable, F.col("dof")).alias("dof"),
-        F.when(testable, p).alias("p_value"),
-        F.coalesce(testable & (p < ALPHA), F.lit(False)).alias("significant"),
-    )
+    return known.join(F.broadcast(_treatment_totals(cells)), "treatment")
 
 
 def chi_square(df: DataFrame, treatments: Sequence[str], outcome: str) -> DataFrame:
     """Independence test of every text treatment against a 0/1 outcome, all in one pass."""
-    return _chi_square_from(level_outcomes(df, treatments, outcome))
+    totals = _treatment_totals(level_outcomes(df, treatments, outcome))
+    return totals.select("treatment", "chi2", "dof", "p_value", "significant")
 
 
 def independence_test(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -152,7 +143,7 @@ def independence_test(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def level_effects(df: DataFrame, treatments: Sequence[str], outcome: str) -> DataFrame:
     """Rate per level (rounded to 4 digits first), its difference from the overall rate, size."""
-    return _level_effects_from(level_outcomes(df, treatments, outcome))
+    return _level_effects_from(level_outcomes(df, treatments, outcome)).drop("p_value", "significant")
 
 
 def _level_effects_from(cells: DataFrame) -> DataFrame:
@@ -166,6 +157,8 @@ def _level_effects_from(cells: DataFrame) -> DataFrame:
         effect.alias("effect_size"),
         F.try_divide(effect, F.col("overall")).alias("relative_effect"),
         F.col("n").alias("sample_size"),
+        "p_value",
+        "significant",
     )
 
 
@@ -217,13 +210,8 @@ def effect_summary(
     text, numeric = treatment_kinds(df, treatments)
     parts = []
     if text:
-        cells = level_outcomes(df, text, outcome)
-        # Both sides have one row per treatment or per level of it.
-        tests = F.broadcast(_chi_square_from(cells).select("treatment", "p_value", "significant"))
         parts.append(
-            _level_effects_from(cells)
-            .join(tests, "treatment")
-            .select(
+            _level_effects_from(level_outcomes(df, text, outcome)).select(
                 F.col("treatment").alias("Treatment"),
                 F.col("level").alias("Category"),
                 F.col("churn_rate").alias("Churn_Rate"),

@@ -119,6 +119,7 @@ def grid_search(
 ) -> tuple[Mapping, float]:
     """Best grid point by mean AUC over stratified folds; the first point wins ties."""
     rows = train.count()
+    # Persisted because every fit and every fold reads it again.
     parts = stratified_folds(train, "label", key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
     evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
 

@@ -17,6 +17,9 @@ from ebbline.operators.splitting import stratified_split
 from ebbline.sources import writers
 
 
+ROWS_PER_TASK = 50_000
+
+
 @dataclass
 class Prepared:
     """Encoded train and test rows (persisted) with their encoder."""
@@ -24,14 +27,20 @@ class Prepared:
     table: DataFrame
     encoder: PipelineModel
     names: list[str]
+    rows: int
+
+    def _part(self, name: str) -> DataFrame:
+        part = self.table.where(F.col("split") == name).drop("split")
+        # Fits pass over the rows many times; tiny partitions would cost a task each time.
+        return part.coalesce(max(1, self.rows // ROWS_PER_TASK))
 
     @property
     def train(self) -> DataFrame:
-        return self.table.where(F.col("split") == "train").drop("split")
+        return self._part("train")
 
     @property
     def test(self) -> DataFrame:
-        return self.table.where(F.col("split") == "test").drop("split")
+        return self._part("test")
 
     def release(self) -> None:
         self.table.unpersist()
@@ -41,17 +50,22 @@ def prepare(
     raw: DataFrame, roles: ColumnRoles = ROLES, test_share: float = TEST_SHARE,
     seed: int = RANDOM_SEED, fit_on: str = "train",
 ) -> Prepared:
-    """Split, then encode. The encoder sees the train rows only unless ``fit_on='all'``."""
-    parts = stratified_split(raw, roles.target, roles.key, test_share, seed)
+    """Split, then encode. The encoder sees the train rows only unless ``fit_on='all'``.
+
+    The needed columns are kept while split borders and encoder constants are found, as each of
+    those is a pass over the rows.
+    """
+    kept = raw.select(roles.key, roles.target, *roles.features).persist(StorageLevel.MEMORY_AND_DISK)
+    parts = stratified_split(kept, roles.target, roles.key, test_share, seed)
     source = parts if fit_on == "all" else parts.where(F.col("split") == "train")
     encoder = encode.fit_encoder(source.drop("split"), roles)
     coded = clean(encoder.transform(parts), roles).select(
         roles.key, F.col(roles.target).alias("label"), encode.FEATURES, "split"
     )
-    known = coded.where(F.col("label").isNotNull())
-    return Prepared(
-        known.persist(StorageLevel.MEMORY_AND_DISK), encoder, encode.feature_names(encoder, roles)
-    )
+    table = coded.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = table.count()
+    kept.unpersist()
+    return Prepared(table, encoder, encode.feature_names(encoder, roles), rows)
 
 
 def train_and_compare(

@@ -1,6 +1,6 @@
 """How the outcome differs between treatment levels: tests, correlations and effect tables.
 
-All text treatments are handled together: one unpivot, one aggregation to (treatment, level)
+All text treatments are handled together: one stacking, one aggregation to (treatment, level)
 counts, and everything else works on that small table. A level may be arbitrarily frequent; counts
 are combined before the shuffle.
 """
@@ -18,6 +18,7 @@ from ebbline.config import ROLES
 from ebbline.functions.distributions import chi2_tail, f_tail
 from ebbline.functions.scalars import half_even, relative_effect
 from ebbline.operators.profile import safe_corr
+from ebbline.operators.reshape import stack_columns
 
 log = logging.getLogger(__name__)
 ALPHA = 0.05
@@ -46,7 +47,7 @@ def level_outcomes(df: DataFrame, treatments: Sequence[str], outcome: str) -> Da
         *[F.col(c).cast("string").alias(c) for c in treatments],
     )
     return (
-        data.unpivot(["__y"], list(treatments), "treatment", "level")
+        stack_columns(data, ["__y"], list(treatments), "treatment", "level")
         .groupBy("treatment", "level")
         .agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("positives"))
     )
@@ -338,7 +339,7 @@ def anova(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
         label, *[F.col(c).cast("double").alias(c) for c in features]
     )
     classes = (
-        long.unpivot([label], list(features), "feature", "value")
+        stack_columns(long, [label], list(features), "feature", "value")
         .where(F.col("value").isNotNull())
         .groupBy("feature", label)
         .agg(
@@ -387,7 +388,7 @@ def treatment_check(df: DataFrame, treatments: Sequence[str], outcome: str) -> D
         *[F.col(c).cast("string").alias(c) for c in treatments],
     )
     return (
-        data.unpivot(["__y"], list(treatments), "treatment", "level")
+        stack_columns(data, ["__y"], list(treatments), "treatment", "level")
         .groupBy("treatment", "level")
         .agg(
             F.count(F.lit(1)).alias("n"),

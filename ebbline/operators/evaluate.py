@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ebbline.config import CampaignValue, CostMatrix
 from ebbline.functions.scalars import ratio
 from ebbline.operators.ordered import running_totals
+from ebbline.operators.reshape import stack_columns
 
 SCORE_BUCKETS = 4096
 
@@ -310,7 +311,7 @@ def comprehensive_report(scored: DataFrame, by: str = "model") -> DataFrame:
         name = F.col("metric") if prefix is None else F.concat_ws(" / ", prefix, F.col("metric"))
         ids = [by] + (["class"] if "class" in df.columns else [])
         values = df.select(*ids, *[F.col(n).cast("double").alias(n) for n in names])
-        return values.unpivot(ids, list(names), "metric", "value").select(
+        return stack_columns(values, ids, list(names), "metric", "value").select(
             by, F.lit(section).alias("section"), name.alias("metric"), "value"
         )
 

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.operators.reshape import stack_columns
+
 
 def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``column, value, n`` for every level of every column, nulls as their own level.
@@ -16,7 +18,7 @@ def level_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     text = df.select(*[F.col(c).cast("string").alias(c) for c in columns])
     return (
-        text.unpivot([], list(columns), "column", "value")
+        stack_columns(text, [], list(columns), "column", "value")
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.operators.reshape import stack_columns
+
 BUCKETS = 256
 
 
@@ -91,7 +93,7 @@ def exact_quantiles(
         ]
     )
     long = df.select(*([by] if by else []), *[F.col(c).cast("double").alias(c) for c in columns])
-    long = long.unpivot([by] if by else [], columns, "column", "value")
+    long = stack_columns(long, [by] if by else [], columns, "column", "value")
     present = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     if by:
         present = present.where(F.col(by).isNotNull())

@@ -27,6 +27,7 @@ from ebbline.operators.clean import columns_by_type
 from ebbline.operators.frequency import level_counts
 from ebbline.operators.joins import join_small
 from ebbline.operators.ordered import exact_quantiles
+from ebbline.operators.reshape import stack_columns
 from ebbline.operators.splitting import sample_rows
 
 QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
@@ -111,7 +112,7 @@ def numeric_by_label(
         label, *[F.col(c).cast("double").alias(c) for c in columns]
     )
     moments = (
-        long.unpivot([label], list(columns), "column", "value")
+        stack_columns(long, [label], list(columns), "column", "value")
         .groupBy("column", label)
         .agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     )
@@ -143,7 +144,7 @@ def top_rates(
     """The levels with the highest churn percent, with their size, for several columns at once."""
     text = df.select(F.col(outcome), *[F.col(c).cast("string").alias(c) for c in columns])
     rates = (
-        text.unpivot([outcome], list(columns), "column", "level")
+        stack_columns(text, [outcome], list(columns), "column", "level")
         .where(F.col("level").isNotNull())
         .groupBy("column", "level")
         .agg((F.avg(outcome) * 100).alias("churn_percent"), F.count(F.lit(1)).alias("n"))
@@ -453,7 +454,8 @@ def box_statistics(df: DataFrame, columns: Sequence[str], by: str) -> DataFrame:
     values = df.where(F.col(by).isNotNull()).select(
         by, *[F.col(c).cast("double").alias(c) for c in columns]
     )
-    long = values.unpivot([by], list(columns), "column", "value").where(F.col("value").isNotNull())
+    long = stack_columns(values, [by], list(columns), "column", "value")
+    long = long.where(F.col("value").isNotNull())
     reach = (F.col("q75") - F.col("q25")) * 1.5
     inside = F.col("value").between(F.col("q25") - reach, F.col("q75") + reach)
     return (

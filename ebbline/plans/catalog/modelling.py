@@ -38,6 +38,14 @@ def _once(t, name, build):
     return _kept[key]
 
 
+def forget_fits() -> None:
+    """Drop everything shared between queries, e.g. between timed runs."""
+    for value in _kept.values():
+        if isinstance(value, W.Prepared):
+            value.release()
+    _kept.clear()
+
+
 def _prepared(t) -> W.Prepared:
     return _once(t, "prepared", lambda: W.prepare(t.base))
 

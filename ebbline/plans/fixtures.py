@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ebbline.config import ROLES
 from ebbline.functions.scalars import rule_score
 from ebbline.operators.clean import clean
+from ebbline.operators.reshape import stack_columns
 
 CUTOFF = datetime.datetime(2001, 2, 1)
 
@@ -125,9 +126,8 @@ def rule_scored(spark: SparkSession, folder: str) -> DataFrame:
         F.col(ROLES.target).alias("label"),
         *[p.alias(name) for name, p in scores.items()],
     )
-    return wide.unpivot(
-        [ROLES.key, "label"], list(scores), "model", "probability"
-    ).withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
+    long = stack_columns(wide, [ROLES.key, "label"], list(scores), "model", "probability")
+    return long.withColumn("prediction", (F.col("probability") > 0.5).cast("int"))
 
 
 def planted(spark: SparkSession, folder: str) -> DataFrame:

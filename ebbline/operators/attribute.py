@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import RANDOM_SEED, ROLES
+from ebbline.functions.scalars import double_array
 from ebbline.operators.encode import FEATURES
 from ebbline.operators.splitting import sample_rows
 
@@ -34,17 +35,17 @@ def linear_attribution(
     Columns: key, feature, value, phi, base (the log-odds at the mean of the data).
     """
     mean = encoded.agg(Summarizer.mean(F.col(FEATURES)).alias("m")).first()["m"]
-    weights = model.coefficients.toArray()
-    base = float(model.intercept + sum(w * m for w, m in zip(weights, mean)))
+    weights = [float(w) for w in model.coefficients.toArray()]
+    means = [float(m) for m in mean]
+    base = float(model.intercept + sum(w * m for w, m in zip(weights, means)))
+    weight_of, mean_of = double_array(weights), double_array(means)
+    name_of = _names(names)
     cells = F.transform(
         vector_to_array(FEATURES),
         lambda x, i: F.struct(
-            _names(names)[i].alias("feature"),
+            name_of[i].alias("feature"),
             x.alias("value"),
-            (
-                F.array(*[F.lit(float(w)) for w in weights])[i]
-                * (x - F.array(*[F.lit(float(m)) for m in mean])[i])
-            ).alias("phi"),
+            (weight_of[i] * (x - mean_of[i])).alias("phi"),
         ),
     )
     return encoded.select(key, F.inline(cells)).withColumn("base", F.lit(base))

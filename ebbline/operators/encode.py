@@ -9,8 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
-from pyspark.ml.feature import StringIndexerModel, VectorSlicer
+from pyspark.ml.feature import (
+    OneHotEncoder,
+    SQLTransformer,
+    StringIndexer,
+    StringIndexerModel,
+    VectorAssembler,
+    VectorSlicer,
+)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -19,7 +25,8 @@ from pyspark.sql import functions as F
 from ebbline.config import ROLES, ColumnRoles
 from ebbline.operators.clean import clean
 from ebbline.operators.effects import anova_from_classes, select_k_best
-from ebbline.operators.ordered import exact_medians
+from ebbline.operators.frequency import level_counts
+from ebbline.operators.ordered import exact_medians, splits_of
 
 FEATURES = "features"
 MAX_LEVELS = 1000
@@ -35,18 +42,65 @@ def _number_sql(name: str) -> str:
     return f"coalesce({number}, 0D)" if name == "TotalCharges" else number
 
 
-def numeric_constants(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[float, float, float]]:
-    """Median, mean after filling and population deviation per column (1 when it is 0)."""
-    numbers = df.select(*[F.expr(_number_sql(c)).alias(c) for c in columns])
-    medians = exact_medians(numbers, columns)
-    filled = {c: F.coalesce(F.col(c), F.lit(medians.get(c, 0.0))) for c in columns}
-    row = numbers.agg(
-        *[F.avg(x).alias(f"{c}:mean") for c, x in filled.items()],
-        *[F.stddev_pop(x).alias(f"{c}:std") for c, x in filled.items()],
+def _fitted_constants(df: DataFrame, roles: ColumnRoles) -> dict[str, tuple[float, float, float]]:
+    """Median, mean after filling and population deviation (1 when it is 0) per numeric column.
+
+    Two passes: one aggregate, which also finds range borders, and the medians. Mean and deviation after filling follow from the moments of the known values and the median.
+    """
+    numbers = {c: F.expr(_number_sql(c)) for c in roles.numeric}
+    row = df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        *[
+            f
+            for c, x in numbers.items()
+            for f in (
+                F.count(x).alias(f"{c}:known"),
+                F.avg(x).alias(f"{c}:mean"),
+                F.var_pop(x).alias(f"{c}:variance"),
+                splits_of(x).alias(f"{c}:splits"),
+            )
+        ],
     ).first()
-    return {
-        c: (medians.get(c, 0.0), row[f"{c}:mean"] or 0.0, row[f"{c}:std"] or 1.0) for c in columns
-    }
+    splits = {c: sorted(set(row[f"{c}:splits"] or [])) for c in numbers}
+    medians = exact_medians(df.select(*[x.alias(c) for c, x in numbers.items()]), list(numbers), splits)
+    constants = {}
+    for c in numbers:
+        n, known, median = row["rows"], row[f"{c}:known"], medians.get(c, 0.0)
+        if not known:
+            constants[c] = (median, median, 1.0)
+            continue
+        mean_known = row[f"{c}:mean"]
+        mean = (known * mean_known + (n - known) * median) / n
+        variance = (
+            known * (row[f"{c}:variance"] + (mean_known - mean) ** 2)
+            + (n - known) * (median - mean) ** 2
+        ) / n
+        constants[c] = (median, mean, variance**0.5 or 1.0)
+    return constants
+
+
+def _level_table(df: DataFrame, roles: ColumnRoles) -> DataFrame:
+    """A small table in which every level of every text column occurs, from one pass over all.
+
+    The bound keeps keys and free text out: their levels would all travel to the driver.
+    """
+    bound = MAX_LEVELS * len(roles.categorical)
+    filled = df.select(
+        *[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in roles.categorical]
+    )
+    rows = level_counts(filled, roles.categorical).limit(bound + 1).collect()
+    found: dict[str, list[str]] = {c: [] for c in roles.categorical}
+    for r in rows:
+        found[r["column"]].append(r["value"])
+    wide = [c for c, levels in found.items() if len(levels) > MAX_LEVELS]
+    if wide or len(rows) > bound:
+        raise ValueError(f"too many levels to encode one by one: {', '.join(wide)}")
+    columns = [found[c] or ["missing"] for c in roles.categorical]
+    longest = max(map(len, columns))
+    # Shorter columns repeat their last level; the indexer orders levels by text, not by count.
+    cells = [tuple(levels[min(i, len(levels) - 1)] for levels in columns) for i in range(longest)]
+    schema = ", ".join(f"{_quoted('txt_' + c)} string" for c in roles.categorical)
+    return df.sparkSession.createDataFrame(cells, schema).coalesce(1)
 
 
 def fit_encoder(df: DataFrame, roles: ColumnRoles = ROLES) -> PipelineModel:
@@ -56,8 +110,7 @@ def fit_encoder(df: DataFrame, roles: ColumnRoles = ROLES) -> PipelineModel:
     become one column per level in alphabetical order; a missing text is the level 'missing' and
     an unknown level is all zeros.
     """
-    constants = numeric_constants(df, roles.numeric)
-    _check_levels(df, roles)
+    constants = _fitted_constants(df, roles)
     numeric = [
         f"(coalesce({_number_sql(c)}, {median!r}D) - {mean!r}D) / {scale!r}D AS {_quoted('num_' + c)}"
         for c, (median, mean, scale) in constants.items()
@@ -72,7 +125,7 @@ def fit_encoder(df: DataFrame, roles: ColumnRoles = ROLES) -> PipelineModel:
         outputCols=[f"idx_{c}" for c in roles.categorical],
         handleInvalid="keep",
         stringOrderType="alphabetAsc",
-    )
+    ).fit(_level_table(df, roles))
     # 'keep' gives unknown levels the last index, and dropLast turns that index into zeros.
     onehot = OneHotEncoder(
         inputCols=[f"idx_{c}" for c in roles.categorical],
@@ -91,14 +144,6 @@ def fit_encoder(df: DataFrame, roles: ColumnRoles = ROLES) -> PipelineModel:
     return Pipeline(stages=[prepare, indexer, onehot, assemble, tidy]).fit(df)
 
 
-def _check_levels(df: DataFrame, roles: ColumnRoles) -> None:
-    """Refuse columns such as free text or keys, whose levels would all travel to the driver."""
-    row = df.agg(*[F.approx_count_distinct(c).alias(c) for c in roles.categorical]).first()
-    wide = [c for c in roles.categorical if row[c] > MAX_LEVELS]
-    if wide:
-        raise ValueError(f"too many levels to encode one by one: {', '.join(wide)}")
-
-
 def feature_names(encoder: PipelineModel, roles: ColumnRoles = ROLES) -> list[str]:
     """Names of the vector's entries: numerics, then ``column_level``."""
     indexer = next(s for s in encoder.stages if isinstance(s, StringIndexerModel))

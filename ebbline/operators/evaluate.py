@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import CampaignValue, CostMatrix
-from ebbline.functions.scalars import ratio
+from ebbline.functions.scalars import double_array, ratio
 from ebbline.operators.ordered import running_totals
 from ebbline.operators.reshape import stack_columns
 
@@ -264,7 +264,7 @@ def threshold_sweep(
     that number, and the totals per threshold are running sums over at most 51 rows per model.
     """
     thresholds = sorted(thresholds or sweep_thresholds())
-    borders = F.array(*[F.lit(t) for t in thresholds])
+    borders = double_array(thresholds)
     passed = F.size(F.filter(borders, lambda t: t < F.col("probability")))
     cells = (
         scored.where(F.col("label").isNotNull() & F.col("probability").isNotNull())

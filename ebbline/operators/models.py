@@ -141,11 +141,6 @@ def grid_search(
     return points[best], means[best]
 
 
-def _accuracy(model: Model, data: DataFrame) -> float | None:
-    right = (F.col("prediction") == F.col("label")).cast("double")
-    return model.transform(data).agg(F.avg(right)).first()[0]
-
-
 def train_model(
     name: str, train: DataFrame, test: DataFrame | None = None, budget: int | None = None,
     folds: int = FOLDS, parallelism: int = 4, overrides: Mapping | None = None,
@@ -163,14 +158,17 @@ def train_model(
     best, auc = points[0], None
     if len(points) > 1:
         best, auc = grid_search(name, train, points, folds, parallelism, seed=seed)
-    fitted = _configured(estimator, best, train.count()).fit(train)
-    result = TrainedModel(name, fitted, dict(best), auc, _accuracy(fitted, train))
+    rows = train.count() if "C" in best else 0
+    fitted = _configured(estimator, best, rows).fit(train)
+    # Train and test are scored together, so both are measured in one job.
+    scored = scored_by(fitted, train, "train")
     if test is not None:
-        result.test_accuracy = _accuracy(fitted, test)
-        evaluator = BinaryClassificationEvaluator(
-            labelCol="label", metricName="areaUnderROC", numBins=0
-        )
-        result.roc_auc = evaluator.evaluate(fitted.transform(test))
+        scored = scored.unionByName(scored_by(fitted, test, "test"))
+    measured = {r["model"]: r for r in calculate_metrics(scored, "model").collect()}
+    result = TrainedModel(name, fitted, dict(best), auc, measured["train"]["accuracy"])
+    if test is not None and "test" in measured:
+        result.test_accuracy = measured["test"]["accuracy"]
+        result.roc_auc = measured["test"]["roc_auc"]
     return result
 
 

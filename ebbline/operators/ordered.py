@@ -13,6 +13,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbline.functions.scalars import double_array
 from ebbline.operators.reshape import stack_columns
 
 BUCKETS = 256
@@ -55,19 +56,26 @@ def value_splits(df: DataFrame, columns: Sequence[str], buckets: int = BUCKETS)
 
     They only balance the work; results do not depend on them.
     """
-    probabilities = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
-    row = df.agg(
-        *[
-            F.percentile_approx(F.col(c).cast("double"), probabilities, F.lit(4 * buckets)).alias(c)
-            for c in columns
-        ]
-    ).first()
+    row = df.agg(*[splits_of(F.col(c), buckets).alias(c) for c in columns]).first()
     return {c: sorted(set(row[c] or [])) for c in columns}
 
 
-def range_bucket(value: Column, splits: Column) -> Column:
-    """How many borders lie below the value."""
-    return F.size(F.filter(splits, lambda s: s < value))
+def splits_of(value: Column, buckets: int = BUCKETS) -> Column:
+    probabilities = double_array(i / buckets for i in range(1, buckets))
+    return F.percentile_approx(value.cast("double"), probabilities, F.lit(4 * buckets))
+
+
+def range_bucket(value: Column, splits: Column, buckets: int = BUCKETS) -> Column:
+    """How many of the (sorted, at most ``buckets``) borders lie below the value.
+
+    A binary search: each step of the halving list moves on when the border there is still lower.
+    """
+    steps = [1 << i for i in reversed(range(max(buckets, 1).bit_length()))]
+    return F.aggregate(
+        F.array(*[F.lit(s) for s in steps]),
+        F.lit(0),
+        lambda at, step: F.when(F.get(splits, at + step - 1) < value, at + step).otherwise(at),
+    )
 
 
 def exact_quantiles(
@@ -76,20 +84,22 @@ def exact_quantiles(
     probabilities: Mapping[str, float],
     by: str | None = None,
     buckets: int = BUCKETS,
+    splits: Mapping[str, Sequence[float]] | None = None,
 ) -> DataFrame:
     """Exact interpolated quantiles of many columns, optionally per group.
 
     Returns ``column[, by], <name per probability>``. Equal values are merged before the sort, so
-    a value held by a third of the rows is one row here.
+    a value held by a third of the rows is one row here. ``splits`` passes range borders that are
+    known already; else one pass finds them.
     """
     columns = list(columns)
     keys = ["column"] + ([by] if by else [])
-    splits = value_splits(df, columns, buckets)
+    splits = value_splits(df, columns, buckets) if splits is None else splits
     borders = F.create_map(
         *[
             part
             for c in columns
-            for part in (F.lit(c), F.array(*[F.lit(s) for s in splits[c]]).cast("array<double>"))
+            for part in (F.lit(c), double_array(splits[c]))
         ]
     )
     long = df.select(*([by] if by else []), *[F.col(c).cast("double").alias(c) for c in columns])
@@ -100,7 +110,7 @@ def exact_quantiles(
     merged = (
         present.groupBy(*keys, "value")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", range_bucket(F.col("value"), borders[F.col("column")]))
+        .withColumn("bucket", range_bucket(F.col("value"), borders[F.col("column")], buckets))
     )
     ranked = running_totals(merged, keys, "bucket", [F.col("value")], ["n"])
     picks = []
@@ -122,7 +132,9 @@ def exact_quantiles(
     )
 
 
-def exact_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
+def exact_medians(
+    df: DataFrame, columns: Sequence[str], splits: Mapping[str, Sequence[float]] | None = None
+) -> dict[str, float]:
     """Interpolated medians on the driver: one number per column."""
-    rows = exact_quantiles(df, columns, {"median": 0.5}).collect()
+    rows = exact_quantiles(df, columns, {"median": 0.5}, splits=splits).collect()
     return {r["column"]: r["median"] for r in rows}

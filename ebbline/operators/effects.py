@@ -378,7 +378,9 @@ def anova_from_classes(classes: DataFrame) -> DataFrame:
 
 
 def select_k_best(scores: DataFrame, k: int = 20) -> DataFrame:
-    return scores.orderBy(F.desc_nulls_last("score"), "feature").limit(k)
+    """The k highest scores. Complementary levels score the same up to the last digits, so scores
+    are compared rounded and the feature name decides."""
+    return scores.orderBy(F.desc_nulls_last(F.round("score", 9)), "feature").limit(k)
 
 
 def treatment_check(df: DataFrame, treatments: Sequence[str], outcome: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbline.config import ROLES
+from ebbline.config import ROLES, raw_schema
 from ebbline.functions import scalars as S
 from ebbline.operators import clean as C
 from ebbline.operators import effects as E
@@ -324,7 +324,16 @@ def _(t):
     )
 
 
-@query("p28_columns_by_type")
+NUMBERS = ("customerID", "SeniorCitizen", "tenure", "MonthlyCharges")
+
+
+@query(
+    "p28_columns_by_type",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", '{'numeric' if c in NUMBERS else 'text'}' AS kind, COUNT(*) FILTER ("{c}" IS NULL) AS null_count FROM f"""
+        for c in raw_schema().fieldNames()
+    ),
+)
 def _(t):
     kinds = C.columns_by_type(t.base)
     nulls = P.null_counts(t.base)

@@ -21,6 +21,7 @@ from ebbline.operators.ordered import exact_medians
 from ebbline.plans import workflows as W
 from ebbline.plans.catalog.profiling import CATEGORICAL, NUMERIC, union
 from ebbline.plans.catalog.registry import query, r6
+from ebbline.plans.catalog.statistics import STUDENT_P
 from ebbline.session import shared_folder
 from ebbline.sources import readers, writers
 
@@ -58,6 +59,11 @@ def _trained(t, name, **options) -> M.TrainedModel:
     )
 
 
+def _encoded(t):
+    encoder = _once(t, "encoder_all", lambda: N.fit_encoder(t.base))
+    return N.encode(encoder, t.base), N.feature_names(encoder)
+
+
 def _forest(t):
     return _trained(t, "RandomForest", overrides=SMALL_FOREST)
 
@@ -105,9 +111,8 @@ def _(t):
     ) + " FROM cl CROSS JOIN s",
 )
 def _(t):
-    encoder = _once(t, "encoder_all", lambda: N.fit_encoder(t.base))
     values = vector_to_array(N.FEATURES)
-    return N.encode(encoder, t.base).select(
+    return _encoded(t)[0].select(
         "customerID", *[values[i].alias(c) for i, c in enumerate(NUMERIC)]
     )
 
@@ -119,8 +124,8 @@ def _(t):
     ) + ") SELECT * FROM u",
 )
 def _(t):
-    encoder = _once(t, "encoder_all", lambda: N.fit_encoder(t.base))
-    long = N.long_features(N.encode(encoder, t.base), N.feature_names(encoder))
+    encoded, names = _encoded(t)
+    long = N.long_features(encoded, names)
     return (
         long.where(~F.col("feature").isin(NUMERIC))
         .groupBy("feature")
@@ -128,16 +133,44 @@ def _(t):
     )
 
 
-@query("m05_encoded_features")
+def _encoded_sql():
+    """CTE ``enc(feature, label, x, w)``: every encoded value with its number of customers."""
+    numeric = [
+        f"""SELECT '{c}' AS feature, "Churn" AS label, ("{c}"-(SELECT AVG("{c}") FROM cl))/(SELECT STDDEV_POP("{c}") FROM cl) AS x, 1e0 AS w FROM cl"""
+        for c in NUMERIC
+    ]
+    hot = [
+        f"""SELECT '{c}_' || lvl, label, CASE WHEN v=lvl THEN 1e0 ELSE 0e0 END, n FROM
+          (SELECT CAST("{c}" AS VARCHAR) AS v, "Churn" AS label, COUNT(*)*1e0 AS n FROM cl GROUP BY 1,2)
+          CROSS JOIN (SELECT DISTINCT CAST("{c}" AS VARCHAR) AS lvl FROM cl)"""
+        for c in CATEGORICAL
+    ]
+    return "enc AS (" + union(numeric + hot) + ")"
+
+
+@query(
+    "m05_encoded_features",
+    _encoded_sql() + f""", mo AS (SELECT feature, SUM(w) AS n, SUM(w*x)/SUM(w) AS m, MIN(x) AS a, MAX(x) AS z FROM enc GROUP BY feature)
+    SELECT feature, CAST(MAX(n) AS BIGINT) AS "count", {r6('MAX(m)', 'mean')}, {r6('SQRT(SUM(w*POWER(x-m,2))/(MAX(n)-1))', 'std')},
+    {r6('MAX(a)', '"min"')}, {r6('MAX(z)', '"max"')} FROM enc JOIN mo USING (feature) GROUP BY feature""",
+)
 def _(t):
-    p = _prepared(t)
-    return P.feature_statistics_long(N.long_features(p.table, p.names), "feature", "value")
+    encoded, names = _encoded(t)
+    return P.feature_statistics_long(N.long_features(encoded, names), "feature", "value")
 
 
-@query("m06_select_k_best")
+@query(
+    "m06_select_k_best",
+    _encoded_sql() + f""", g AS (SELECT feature, SUM(w*x)/SUM(w) AS grand, SUM(w) AS n FROM enc GROUP BY feature),
+    c AS (SELECT feature, label, SUM(w) AS n, SUM(w*x)/SUM(w) AS m FROM enc GROUP BY 1,2),
+    wi AS (SELECT enc.feature, SUM(w*POWER(x-m,2)) AS ssw FROM enc JOIN c ON enc.feature=c.feature AND enc.label=c.label GROUP BY 1),
+    a AS (SELECT c.feature, SUM(c.n*POWER(c.m-grand,2))/(MAX(ssw)/(MAX(g.n)-2)) AS f, MAX(g.n)-2 AS d2
+      FROM c JOIN g ON c.feature=g.feature JOIN wi ON wi.feature=c.feature GROUP BY 1)
+    SELECT feature, {r6('f', 'score')}, {r6(STUDENT_P, 'p_value')}, ROW_NUMBER() OVER (ORDER BY ROUND(f,9) DESC, feature)<=20 AS selected FROM a""",
+)
 def _(t):
-    p = _prepared(t)
-    _, kept, scores = N.select_features(p.train, p.names, 20)
+    encoded, names = _encoded(t)
+    _, kept, scores = N.select_features(encoded, names, 20)
     return scores.withColumn("selected", F.col("feature").isin(kept))
 
 
@@ -341,7 +374,7 @@ def _(t):
     return S.score_upload(_scoring(t), upload)
 
 
-@query("a02_missing_file_is_empty")
+@query("a02_missing_file_is_empty", """SELECT "Churn", COUNT(*) AS n FROM f GROUP BY 1""")
 def _(t):
     empty = readers.read_or_empty(t.spark, f"{shared_folder(t.spark)}/not_there", t.base.schema)
     return t.base.unionByName(empty).groupBy("Churn").agg(F.count(F.lit(1)).alias("n"))

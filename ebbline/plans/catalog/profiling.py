@@ -424,7 +424,30 @@ def _(t):
     return P.type_tally(t.base)
 
 
-@query("c37_exploration_summary")
+def _exploration_sql():
+    shape = [
+        "SELECT 'shape' AS section, 'rows' AS name, COUNT(*)*1e0 AS value, CAST(NULL AS VARCHAR) AS detail FROM f",
+        "SELECT 'shape', 'columns', 21e0, NULL FROM f LIMIT 1",
+    ]
+    rate = """AVG(CASE WHEN "Churn"='Yes' THEN 1e0 ELSE 0e0 END)*100"""
+    shape[1] = f"SELECT * FROM ({shape[1]})"
+    shape.append(
+        f"SELECT 'shape', 'churn_percent', ROUND({rate}, 6), CASE WHEN {rate}>30 THEN 'high' WHEN {rate}>15 THEN 'moderate' ELSE 'low' END FROM f"
+    )
+    target = ["""SELECT 'target_distribution', "Churn", COUNT(*)*1e0, NULL FROM f GROUP BY "Churn" """]
+    columns = []
+    for c in RAW_COLUMNS[:-1]:
+        kind = "numerical_feature" if c in TYPES else "categorical_feature"
+        columns.append(
+            f"""SELECT 'missing_values', '{c}', COUNT(*) FILTER ("{c}" IS NULL)*1e0, '{TYPES.get(c, 'string')}' FROM f"""
+        )
+        columns.append(
+            f"""SELECT '{kind}', '{c}', COUNT(DISTINCT "{c}")*1e0, CASE WHEN COUNT(DISTINCT "{c}")>20 THEN 'high_cardinality' END FROM f"""
+        )
+    return union(shape + target + columns)
+
+
+@query("c37_exploration_summary", _exploration_sql())
 def _(t):
     return P.exploration_summary(t.base, "Churn")
 

@@ -256,9 +256,31 @@ def _with_partner(t):
     return t.clean.withColumn("t", (F.col("Partner") == "Yes").cast("int"))
 
 
-@query("e01_effect_all_methods")
+ARMS = """s AS (SELECT c, COUNT(*)*1e0 AS n, COUNT(*) FILTER (t=1)*1e0 AS n1, COUNT(*) FILTER (t=0)*1e0 AS n0, AVG(y) FILTER (t=1) AS m1,
+      AVG(y) FILTER (t=0) AS m0, VAR_SAMP(y) FILTER (t=1) AS v1, VAR_SAMP(y) FILTER (t=0) AS v0 FROM pl GROUP BY c)"""
+UNADJUSTED = """AVG(y) FILTER (t=1)-AVG(y) FILTER (t=0) AS eff,
+      SQRT(VAR_SAMP(y) FILTER (t=1)/COUNT(*) FILTER (t=1)+VAR_SAMP(y) FILTER (t=0)/COUNT(*) FILTER (t=0)) AS se FROM pl"""
+# One 0/1 confounder gives two scores, so the nearest controls are those of the same stratum.
+MATCHED = """SUM(n1*(m1-m0))/SUM(n1) AS eff,
+      SQRT((SUM(n1*POWER(m1-m0,2))/SUM(n1)-POWER(SUM(n1*(m1-m0))/SUM(n1),2)+SUM(n1*v1)/SUM(n1))/SUM(n1)) AS se FROM s"""
+
+
+@query(
+    "e01_effect_by_method",
+    ARMS + f""", d AS (SELECT 'unadjusted' AS method, {UNADJUSTED}
+      UNION ALL SELECT 'stratified', SUM(n*(m1-m0))/SUM(n), SQRT(SUM(n*n*(v1/n1+v0/n0)))/SUM(n) FROM s
+      UNION ALL SELECT 'matched', {MATCHED}),
+    dd AS (SELECT *, {normal_p('(eff/se)')} AS p FROM d)
+    SELECT 't' AS "Treatment", method AS "Method", {EFFECT_COLUMNS} FROM dd""",
+)
 def _(t):
-    return A.analyze_treatment_effect(t.planted, "t", "y", ["c"])
+    methods = ("unadjusted", "stratified", "matched")
+    return A.analyze_treatment_effect(t.planted, "t", "y", ["c"], methods)
+
+
+@query("e01c_weighted_by_model")
+def _(t):
+    return A.analyze_treatment_effect(t.planted, "t", "y", ["c"], ("weighted",))
 
 
 @query("e01b_effect_on_customers")
@@ -299,7 +321,12 @@ def _(t):
     )
 
 
-@query("e03b_matched_effect")
+@query(
+    "e03b_matched_effect",
+    ARMS + f""", d AS (SELECT CAST(SUM(n1) AS BIGINT) AS rows_used, {MATCHED}),
+    dd AS (SELECT *, {normal_p('(eff/se)')} AS p FROM d)
+    SELECT {EFFECT_COLUMNS}, rows_used, 0e0 AS mean_distance FROM dd""",
+)
 def _(t):
     return A.matched_effect(A.with_propensity(t.planted, "t", ["c"]), "t", "y")
 

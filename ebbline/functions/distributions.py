@@ -7,6 +7,7 @@ in the plan and need no Python worker. They are meant for result rows: one row p
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,8 +15,18 @@ from pyspark.sql import functions as F
 _TERMS = 80
 
 
+def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
+    """Name intermediate values, so that a long formula does not repeat their expressions."""
+    bound = F.array(F.struct(*[c.alias(name) for name, c in values.items()]))
+    return F.transform(bound, body)[0]
+
+
 def erfc(x: Column) -> Column:
     """Complementary error function for ``x >= 0``."""
+    return _let({"x": x}, lambda v: _erfc(v["x"]))
+
+
+def _erfc(x: Column) -> Column:
     steps = F.sequence(F.lit(1), F.lit(_TERMS))
     # Near zero: erf(x) = 2/sqrt(pi) * exp(-x^2) * sum of x*(2x^2)^n / (1*3*..*(2n+1)).
     series = F.aggregate(
@@ -46,7 +57,10 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
 
     Even dof is a finite Poisson sum; odd dof is ``erfc`` plus the same sum at half steps.
     """
-    h = statistic / 2
+    return _let({"h": statistic / 2, "dof": dof}, lambda v: _chi2_tail(v["h"], v["dof"]))
+
+
+def _chi2_tail(h: Column, dof: Column) -> Column:
     odd = dof % 2 == 1
     shift = F.when(odd, 0.5).otherwise(0.0)
     first = F.exp(-h) * F.when(odd, 2 * F.sqrt(h / math.pi)).otherwise(1.0)
@@ -105,8 +119,13 @@ def f_tail(statistic: Column, dof1: Column, dof2: Column) -> Column:
     x = dof2 / (dof2 + dof1 * statistic)
     a, b = dof2 / 2, dof1 / 2
     swap = x > (a + 1) / (a + b + 2)
-    part = _beta_fraction(
-        F.when(swap, 1 - x).otherwise(x), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    part = _let(
+        {
+            "x": F.when(swap, 1 - x).otherwise(x),
+            "a": F.when(swap, b).otherwise(a),
+            "b": F.when(swap, a).otherwise(b),
+        },
+        lambda v: _beta_fraction(v["x"], v["a"], v["b"]),
     )
     inside = (statistic > 0) & (dof1 >= 1) & (dof2 >= 1)
     return F.when(statistic == 0, 1.0).when(inside, F.when(swap, 1 - part).otherwise(part))

@@ -26,7 +26,7 @@ from ebbline.functions.scalars import (
 from ebbline.operators.clean import columns_by_type
 from ebbline.operators.frequency import level_counts
 from ebbline.operators.joins import join_small
-from ebbline.operators.ordered import exact_quantiles
+from ebbline.operators.ordered import exact_quantiles, splits_of
 from ebbline.operators.reshape import stack_columns
 from ebbline.operators.splitting import sample_rows
 
@@ -158,7 +158,11 @@ def top_rates(
 
 
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, deviation, extremes and exact quartiles per numeric column."""
+    """Count, mean, deviation, extremes and exact quartiles per numeric column.
+
+    Two passes: one aggregate for the moments, which also finds the range borders of the quartile
+    search, and the quartiles. The moments arrive as one row per column.
+    """
     row = df.agg(
         *[
             f
@@ -169,14 +173,18 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
                 F.stddev_samp(c).alias(f"{c}:std"),
                 F.min(c).cast("double").alias(f"{c}:min"),
                 F.max(c).cast("double").alias(f"{c}:max"),
+                splits_of(F.col(c)).alias(f"{c}:splits"),
             )
         ]
-    )
-    parts = _rows_from_wide(
-        row, columns, count=":count", mean=":mean", std=":std", min=":min", max=":max"
-    )
-    # One row per column on both sides.
-    return parts.join(exact_quantiles(df, columns, QUARTILES), "column", "left").select(
+    ).first()
+    parts = ("count", "mean", "std", "min", "max")
+    moments = df.sparkSession.createDataFrame(
+        [(c, *[row[f"{c}:{p}"] for p in parts]) for c in columns],
+        "column string, count bigint, mean double, std double, min double, max double",
+    )
+    splits = {c: sorted(set(row[f"{c}:splits"] or [])) for c in columns}
+    quartiles = exact_quantiles(df, columns, QUARTILES, splits=splits)
+    return moments.join(quartiles, "column", "left").select(
         "column", "count", "mean", "std", "min", "q25", "q50", "q75", "max"
     )
 

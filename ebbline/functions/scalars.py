@@ -10,6 +10,35 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+# Risk tier borders, rule score parts, key factor texts, and the actions per tier.
+HIGH_RISK, MEDIUM_RISK = 0.7, 0.3
+RULE_HIGH_RISK, RULE_MEDIUM_RISK = 0.5, 0.3
+RULE_BASE, RULE_CAP = 0.3, 0.9
+RULE_CONTRACT = {"Month-to-month": 0.3, "One year": 0.1}
+RULE_SHORT_TENURE, RULE_HIGH_CHARGES = 0.2, 0.1
+SHORT_TENURE, HIGH_CHARGES = 12, 70
+CONTRACT_FACTOR = "Month-to-month contract (high risk)"
+TENURE_FACTOR = ("Low tenure (", " months)")
+CHARGES_FACTOR = ("High monthly charges ($", ")")
+RECOMMENDATIONS = {
+    "High": (
+        "Consider offering loyalty discount",
+        "Assign to dedicated retention specialist",
+        "Review service quality issues",
+    ),
+    "Medium": (
+        "Send personalized engagement offer",
+        "Conduct satisfaction survey",
+        "Monitor usage patterns",
+    ),
+    "Low": (
+        "Maintain current service quality",
+        "Continue regular engagement",
+        "Monitor for any changes",
+    ),
+}
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -73,7 +102,9 @@ def yes_no(flag: Column) -> Column:
     return F.when(flag == 1, "Yes").otherwise("No")
 
 
-def risk_tier(p: Column | str, high: float = 0.7, medium: float = 0.3) -> Column:
+def risk_tier(
+    p: Column | str, high: float = HIGH_RISK, medium: float = MEDIUM_RISK
+) -> Column:
     p = _col(p)
     return F.when(p > high, "High").when(p > medium, "Medium").otherwise("Low")
 
@@ -84,16 +115,16 @@ def rule_score(
     charges: Column | str = "MonthlyCharges",
 ) -> Column:
     """Heuristic churn score from contract, tenure and monthly charges, at most 0.9."""
-    contract_part = (
-        F.when(_col(contract) == "Month-to-month", 0.3).when(_col(contract) == "One year", 0.1)
-    ).otherwise(0.0)
-    tenure_part = F.when(_col(tenure) < 12, 0.2).otherwise(0.0)
-    charges_part = F.when(_col(charges) > 70, 0.1).otherwise(0.0)
-    return F.least(F.lit(0.3) + contract_part + tenure_part + charges_part, F.lit(0.9))
+    score = F.lit(RULE_BASE)
+    for level, part in RULE_CONTRACT.items():
+        score = score + F.when(_col(contract) == level, part).otherwise(0.0)
+    score = score + F.when(_col(tenure) < SHORT_TENURE, RULE_SHORT_TENURE).otherwise(0.0)
+    score = score + F.when(_col(charges) > HIGH_CHARGES, RULE_HIGH_CHARGES).otherwise(0.0)
+    return F.least(score, F.lit(RULE_CAP))
 
 
 def rule_tier(score: Column | str) -> Column:
-    return risk_tier(score, high=0.5, medium=0.3)
+    return risk_tier(score, high=RULE_HIGH_RISK, medium=RULE_MEDIUM_RISK)
 
 
 def count_yes(columns: Iterable[str]) -> Column:
@@ -109,17 +140,13 @@ def key_factors(top_features: Column) -> Column:
 
     The order of ``top_features`` decides the order of the texts.
     """
-    contract = F.when(F.col("Contract") == "Month-to-month", "Month-to-month contract (high risk)")
-    tenure = F.when(
-        F.col("tenure") < 12,
-        F.concat(F.lit("Low tenure ("), F.col("tenure").cast("string"), F.lit(" months)")),
-    )
-    charges = F.when(
-        F.col("MonthlyCharges") > 70,
-        F.concat(
-            F.lit("High monthly charges ($"), F.col("MonthlyCharges").cast("string"), F.lit(")")
-        ),
-    )
+
+    def around(texts, column):
+        return F.concat(F.lit(texts[0]), F.col(column).cast("string"), F.lit(texts[1]))
+
+    contract = F.when(F.col("Contract") == "Month-to-month", CONTRACT_FACTOR)
+    tenure = F.when(F.col("tenure") < SHORT_TENURE, around(TENURE_FACTOR, "tenure"))
+    charges = F.when(F.col("MonthlyCharges") > HIGH_CHARGES, around(CHARGES_FACTOR, "MonthlyCharges"))
     texts = F.transform(
         top_features,
         lambda name: F.when(name == "Contract", contract)
@@ -129,26 +156,6 @@ def key_factors(top_features: Column) -> Column:
     return F.array_compact(texts)
 
 
-# The actions shown for every risk tier.
-RECOMMENDATIONS = {
-    "High": (
-        "Consider offering loyalty discount",
-        "Assign to dedicated retention specialist",
-        "Review service quality issues",
-    ),
-    "Medium": (
-        "Send personalized engagement offer",
-        "Conduct satisfaction survey",
-        "Monitor usage patterns",
-    ),
-    "Low": (
-        "Maintain current service quality",
-        "Continue regular engagement",
-        "Monitor for any changes",
-    ),
-}
-
-
 def recommendations(tier: Column | str) -> Column:
     """The three actions of a risk tier as ``array<string>``."""
     lookup = []

@@ -125,7 +125,7 @@ def grid_search(
 
     def score(task):
         fold, i = task
-        fitted = _configured(get_model(name, seed), points[i], rows).fit(
+        fitted = _configured(get_model(name, seed), points[i], rows * (folds - 1) // folds).fit(
             parts.where(F.col("fold") != fold)
         )
         return i, evaluator.evaluate(fitted.transform(parts.where(F.col("fold") == fold)))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +10,7 @@ from ebbline.functions.scalars import rule_score
 from ebbline.operators.clean import clean
 from ebbline.operators.reshape import stack_columns
 
-CUTOFF = datetime.datetime(2001, 2, 1)
+CUTOFF = "TIMESTAMP_NTZ '2001-02-01 00:00:00'"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -28,7 +26,7 @@ def churn_base(spark: SparkSession, folder: str) -> DataFrame:
     gives the same total in any order, and bills are rounded to cents (half up) with integers.
     """
     orders = table(spark, folder, "orders")
-    early = F.col("o_orderdate") < F.lit(CUTOFF)
+    early = F.col("o_orderdate") < F.expr(CUTOFF)
 
     def early_count(condition):
         return F.count_if(early & condition)
@@ -44,7 +42,7 @@ def churn_base(spark: SparkSession, folder: str) -> DataFrame:
             early_count(F.col("o_orderpriority") == "4-NOT SPECIFIED").alias("p4"),
             early_count(F.col("o_orderpriority") == "5-LOW").alias("p5"),
             early_count(F.col("o_orderstatus") == "P").alias("sp"),
-            F.count_if(F.col("o_orderdate") >= F.lit(CUTOFF)).alias("later_orders"),
+            F.count_if(F.col("o_orderdate") >= F.expr(CUTOFF)).alias("later_orders"),
         )
         .where(F.col("n_orders") > 0)
     )

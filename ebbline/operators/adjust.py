@@ -13,19 +13,19 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ebbline.config import RANDOM_SEED, ROLES
 from ebbline.functions.distributions import normal_two_sided
-from ebbline.functions.scalars import cut
-from ebbline.operators.ordered import exact_quantiles
+from ebbline.functions.scalars import cut, double_array
+from ebbline.operators.ordered import exact_quantiles, range_bucket, value_splits
 from ebbline.operators.splitting import assign_share
 
 Z_95 = 1.959963984540054  # fixed value: 97.5 % point of the normal distribution
 ALPHA = 0.05
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 1024
 SALTS = 16
 
 
@@ -232,21 +232,17 @@ def weighted_effect(
     return _verdict(estimated, [], ["rows_used"])
 
 
-def _score_bucket(score: Column) -> Column:
-    place = F.floor(score * SCORE_BUCKETS)
-    return F.greatest(F.least(place, F.lit(SCORE_BUCKETS - 1)), F.lit(0))
-
-
 def nearest_controls(
     df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", caliper: float = 0.05
 ) -> DataFrame:
     """For every distinct treated score the nearest control score within the caliper.
 
     Controls are reused. All controls at the nearest distance count, on either side, so the result
-    does not depend on row order. Rows with equal scores are merged first. Score ranges are
-    searched on their own; the nearest control beyond a range comes from a table with one row per
-    range.
+    does not depend on row order. Rows with equal scores are merged first. Score ranges, cut where
+    they split the rows evenly, are searched on their own; the nearest control beyond a range comes
+    from a table with one row per range.
     """
+    cuts = value_splits(df, [propensity], SCORE_BUCKETS)[propensity]
     y = F.col(outcome).cast("double")
     treated, control = F.col(treatment) == 1, F.col(treatment) == 0
     scores = (
@@ -259,7 +255,7 @@ def nearest_controls(
             F.count_if(control).alias("controls"),
             F.sum(F.when(control, y)).alias("control_sum"),
         )
-        .withColumn("bucket", _score_bucket(F.col("score")))
+        .withColumn("bucket", range_bucket(F.col("score"), double_array(cuts), SCORE_BUCKETS))
         .withColumn(
             "here",
             F.when(F.col("controls") > 0, F.struct("score", "controls", "control_sum")),
@@ -268,7 +264,7 @@ def nearest_controls(
     ranges = scores.groupBy("bucket").agg(F.min("here").alias("first"), F.max("here").alias("last"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
-    # At most 4096 rows in these two windows.
+    # At most 1024 rows in these two windows.
     borders = ranges.select(
         "bucket", F.max("last").over(before).alias("lower"), F.min("first").over(after).alias("upper")
     )

@@ -98,12 +98,10 @@ def sampled_attribution(
     order = F.col("features_in_order")
     # A step ends the switch of one feature (+p) and starts that of the next (-p).
     ends = F.struct(
-        F.when(F.col("step") > 0, F.get(order, F.col("step") - 1)).alias("i"), p.alias("part"),
-        F.lit(0.0).alias("base"),
+        F.when(F.col("step") > 0, F.get(order, F.col("step") - 1)).alias("i"), p.alias("part")
     )
     starts = F.struct(
-        F.when(F.col("step") < width, F.get(order, F.col("step"))).alias("i"), (-p).alias("part"),
-        F.lit(0.0).alias("base"),
+        F.when(F.col("step") < width, F.get(order, F.col("step"))).alias("i"), (-p).alias("part")
     )
     contributions = (
         scored.select(key, "x", F.inline(F.array(ends, starts)))

@@ -354,25 +354,22 @@ def anova(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
 def anova_from_classes(classes: DataFrame) -> DataFrame:
     """F test from ``feature, n, mean, variance`` (population) with one row per class."""
     # Between-class part: n-weighted variance of the class means around the grand mean.
-    sums = classes.groupBy("feature").agg(
+    grand = classes.groupBy("feature").agg(
+        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("grand")
+    )
+    gap = F.col("mean") - F.col("grand")
+    # One row per listed feature.
+    sums = classes.join(F.broadcast(grand), "feature").groupBy("feature").agg(
         F.sum("n").alias("n"),
         F.count(F.lit(1)).alias("k"),
-        F.try_divide(F.sum(F.col("n") * F.col("mean")), F.sum("n")).alias("grand"),
         F.sum(F.col("n") * F.col("variance")).alias("within"),
-        F.collect_list(F.struct("n", "mean")).alias("means"),  # one entry per class
-    )
-    between = F.aggregate(
-        "means",
-        F.lit(0.0),
-        lambda acc, c: acc + c["n"] * (c["mean"] - F.col("grand")) * (c["mean"] - F.col("grand")),
+        F.sum(F.col("n") * gap * gap).alias("between"),
     )
     dof1 = (F.col("k") - 1).cast("double")
     dof2 = (F.col("n") - F.col("k")).cast("double")
+    between, within = F.try_divide(F.col("between"), dof1), F.try_divide(F.col("within"), dof2)
     scored = sums.select(
-        "feature",
-        F.try_divide(F.try_divide(between, dof1), F.try_divide(F.col("within"), dof2)).alias("score"),
-        dof1.alias("dof1"),
-        dof2.alias("dof2"),
+        "feature", F.try_divide(between, within).alias("score"), dof1.alias("dof1"), dof2.alias("dof2")
     )
     return scored.select("feature", "score", f_tail(F.col("score"), F.col("dof1"), F.col("dof2")).alias("p_value"))
 

@@ -186,7 +186,8 @@ def anova_of_vector(encoded: DataFrame, names: Sequence[str]) -> DataFrame:
         F.col("s.count").alias("n"),
         F.posexplode(
             F.arrays_zip(
-                vector_to_array("s.mean").alias("mean"), vector_to_array("s.variance").alias("variance")
+                vector_to_array("s.mean").alias("mean"),
+                vector_to_array("s.variance").alias("variance"),
             )
         ).alias("i", "cell"),
     )

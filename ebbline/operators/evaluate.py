@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from ebbline.config import CampaignValue, CostMatrix
 from ebbline.functions.scalars import double_array, ratio
-from ebbline.operators.ordered import running_totals
+from ebbline.operators.ordered import range_bucket, running_totals, value_splits
 from ebbline.operators.reshape import stack_columns
 
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 1024
 
 
 def _keys(by: str | None) -> list[str]:
@@ -52,15 +52,19 @@ def classification_metrics(scored: DataFrame, by: str | None = None) -> DataFram
 
 
 def _ranked_scores(scored: DataFrame, by: str | None) -> DataFrame:
-    """One row per distinct score with the totals of all higher scores."""
+    """One row per distinct score with the totals of all higher scores.
+
+    One pass finds score borders that split the rows evenly, so scores that crowd in a narrow range
+    are spread over tasks as well.
+    """
     known = scored.where(F.col("label").isNotNull() & F.col("probability").isNotNull())
+    borders = value_splits(known, ["probability"], SCORE_BUCKETS)["probability"]
     merged = known.groupBy(*_keys(by), "probability").agg(
         F.sum(F.col("label").cast("bigint")).alias("pos"),
         F.sum(1 - F.col("label").cast("bigint")).alias("neg"),
     )
-    # Bucket 0 holds the highest scores; scores outside 0..1 fall into the outer buckets.
-    place = SCORE_BUCKETS - 1 - F.floor(F.col("probability") * SCORE_BUCKETS)
-    bucket = F.greatest(F.least(place, F.lit(SCORE_BUCKETS - 1)), F.lit(0))
+    # Negative, so that the lowest bucket number holds the highest scores.
+    bucket = -range_bucket(F.col("probability"), double_array(borders), SCORE_BUCKETS)
     return running_totals(
         merged.withColumn("bucket", bucket),
         _keys(by),

@@ -61,11 +61,19 @@ def _borders(
     spark = df.sparkSession
     schema = f"cls {df.schema[by].dataType.simpleString()}, i int, bucket bigint, place int"
     targets = spark.createDataFrame(wanted, schema)
-    order = Window.partitionBy("cls", "bucket").orderBy("h", "key")
+    up_to_here = (
+        Window.partitionBy("cls", "bucket").orderBy("h", "key")
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    # Rows that share a key are merged, so a repeated key costs one row here. All rows of a key
+    # fall on the same side of a border.
     rows = (
         hashed.join(F.broadcast(targets), ["cls", "bucket"], "left_semi")
-        .withColumn("place", F.row_number().over(order))
-        .join(F.broadcast(targets), ["cls", "bucket", "place"])
+        .groupBy("cls", "bucket", "h", "key")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("last", F.sum("copies").over(up_to_here))
+        .join(F.broadcast(targets), ["cls", "bucket"])
+        .where((F.col("place") <= F.col("last")) & (F.col("place") > F.col("last") - F.col("copies")))
         .select("cls", "i", "h", "key")
         .collect()
     )

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from ebbline.config import CampaignValue
 from ebbline.operators import evaluate as V
@@ -54,6 +55,20 @@ def test_scores_outside_0_1_still_rank(spark):
     assert V.roc_auc(df).first().roc_auc == pytest.approx(brute_auc([(0, *r) for r in rows]))
 
 
+def test_crowded_scores_are_spread_over_buckets(spark, monkeypatch):
+    # All scores lie within a millionth of each other.
+    df = spark.range(5000).select(
+        (F.col("id") % 2).cast("int").alias("label"), F.lit(0).alias("prediction"),
+        (0.25 + (F.col("id") * 7919 % 5003) * 1e-10).alias("probability"),
+    )
+    monkeypatch.setattr(V, "SCORE_BUCKETS", 64)
+    ranked = V._ranked_scores(df, None)
+    sizes = [r["count"] for r in ranked.groupBy("bucket").count().collect()]
+    assert len(sizes) > 50 and max(sizes) < 5000 / 64 * 3
+    rows = [(0, r.label, 0, r.probability) for r in df.collect()]
+    assert V.roc_auc(df).first().roc_auc == pytest.approx(brute_auc(rows), abs=1e-12)
+
+
 def test_zero_denominators_give_zero(scored):
     _, df = scored
     r = V.classification_metrics(df.where("model = 'constant'")).first()

@@ -90,6 +90,14 @@ def test_folds_of_tiny_classes(spark):
     assert sizes == [1, 1]
 
 
+def test_a_key_holding_a_third_of_the_rows_stays_together(spark):
+    df = spark.range(900).select(F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("id"), F.lit(1).alias("y"))
+    split = P.stratified_split(df, "y", "id", 0.5)
+    assert split.where("id = -1").select("split").distinct().count() == 1
+    tests = split.where("split = 'test'").count()
+    assert 450 <= tests < 450 + 300
+
+
 def test_string_keys_and_null_labels(spark):
     df = spark.createDataFrame([(f"k{i}", None if i == 0 else i % 2) for i in range(41)], "k string, y int")
     split = P.stratified_split(df, "y", "k", 0.25)

@@ -105,7 +105,7 @@ def sort_suffixes(symbols: np.ndarray) -> np.ndarray:
     width = (int(symbols.max()) + 1).bit_length() if n else 1
     depth = max(1, 62 // width)
     key = np.zeros(n, np.int64)
-    for j in range(depth):
+    for j in range(min(depth, n)):
         key <<= width
         key[: n - j] += symbols[j:] + 1
     order = np.argsort(key)

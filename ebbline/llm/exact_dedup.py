@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.shared import stored
+from ebbline.llm.shared import drop_judged, stored
 
 #: Bytes hashed in the second step.
 PREFIX_BYTES = 64
@@ -74,14 +74,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Only groups of two rows and more are joined with docs. Of repeated rows that tie for the largest
     id, one stays.
     """
-    found = copy_groups(docs, id_col, text_col, {"hash": F.xxhash64(_content(text_col))})
-    # Per id and text of a group: drop it, or keep one of its repeated rows.
-    judged = found.where("group_size > 1").groupBy("id", "hash").agg(F.max("kept").alias("stays"), F.count("*").alias("repeats"))
-    judged = stored(judged.where("repeats > 1 OR NOT stays"), "judged")
-    mine = lambda table: docs[id_col].eqNullSafe(table["id"]) & (F.xxhash64(_content(text_col)) == table["hash"])
-    kept = docs.join(judged, mine(judged), "left_anti")
-    repeated = judged.where("stays")
-    if repeated.isEmpty():
-        return kept
-    again = docs.withColumn("_of_copies", F.xxhash64(_content(text_col))).join(repeated, mine(repeated), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col, "_of_copies"]).drop("_of_copies"))
+    text_hash = F.xxhash64(_content(text_col))
+    found = copy_groups(docs, id_col, text_col, {"hash": text_hash}).where("group_size > 1")
+    judged = found.groupBy("id", "hash").agg(F.max("kept").alias("stays"), F.count("*").alias("repeats"))
+    return drop_judged(docs, id_col, text_hash, judged)

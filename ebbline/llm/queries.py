@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontamination, exact_dedup, mixing, token_counts, url_filter
+from ebbline.llm import decontamination, exact_dedup, mixing, near_dedup, token_counts, url_filter
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = near_dedup.near_duplicates(read(spark, folder, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     found = decontamination.find_spans(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
     return found.select(
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op2_token_counts,
+        op4_minhash_near_dedup,
         op5_decontamination,
         op6_exact_dedup,
         op7_url_filter,
@@ -61,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op4_minhash_near_dedup": near_dedup.ORACLE_SQL,
     "op5_decontamination": decontamination.ORACLE_SQL,
     "op6_exact_dedup": exact_dedup.ORACLE_SQL,
     "op7_url_filter": url_filter.ORACLE_SQL,

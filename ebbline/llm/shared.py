@@ -7,7 +7,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local: list[str] = []
 
@@ -39,3 +40,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_judged(docs: DataFrame, id_col: str, text_hash: Column, judged: DataFrame) -> DataFrame:
+    """docs without the rows that judged drops, with all their columns.
+
+    judged: `id`, `hash`, `stays`, `repeats` for each id and text of a group of alike rows. Rows that do
+    not stay are dropped; of `repeats` equal rows that stay one is kept.
+    """
+    judged = stored(judged.where("repeats > 1 OR NOT stays").select("id", "hash", "stays"), "judged")
+
+    def mine(rows: DataFrame, table: DataFrame) -> Column:
+        return rows[id_col].eqNullSafe(table["id"]) & (text_hash == table["hash"])
+
+    kept = docs.join(judged, mine(docs, judged), "left_anti")
+    repeated = judged.where("stays")
+    if repeated.isEmpty():
+        return kept
+    again = docs.withColumn("_text_hash", text_hash)
+    again = again.join(repeated, mine(again, repeated), "left_semi")
+    return kept.unionByName(again.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash"))

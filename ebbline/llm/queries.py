@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontamination, exact_dedup, mixing, near_dedup, token_counts, url_filter
+from ebbline.llm import decontamination, exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -54,6 +54,14 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    network = quality.fit_quality(docs, labels)
+    scored = quality.score_quality(docs.select("doc_id", "text"), network)
+    predicted = (F.col("quality_score") >= quality.KEPT_FROM).cast("int")
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), F.col("quality_score").alias("score"), predicted.alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_url_filter,
         op8_source_mix,
+        op10_quality_classifier,
     )
 }
 

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontamination, exact_dedup, mixing, near_dedup, quality, token_counts, url_filter
+from ebbline.llm import decontamination, exact_dedup, main_text, mixing, near_dedup, quality, token_counts, url_filter, warc
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(read(spark, folder, "pages")).withColumnRenamed("id", "page_id")
+
+
 def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
 
@@ -21,6 +25,12 @@ def op2_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+def op3_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = warc.convert(warc.pages_to_arc(read(spark, folder, "pages")))
+    records = warc.resolve(warc.read_warc(spark, path))
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "date")
+
+
 def op4_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = near_dedup.near_duplicates(read(spark, folder, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", "kept")
@@ -65,7 +75,9 @@ def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_main_text,
         op2_token_counts,
+        op3_arc_to_warc,
         op4_minhash_near_dedup,
         op5_decontamination,
         op6_exact_dedup,

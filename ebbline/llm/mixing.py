@@ -42,7 +42,7 @@ o AS (
   FROM s
   WINDOW before AS (ORDER BY (3 * source_size)::DOUBLE / weight, weight, source NULLS LAST
                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-level AS (SELECT min(open_size / open_weight) FILTER (open_size * weight <= most * open_weight) AS level FROM o),
+level AS (SELECT max(open_size / open_weight) FILTER (open_size * weight <= most * open_weight) AS level FROM o),
 t AS (
   SELECT source, source_size, least(most::DOUBLE, weight * level) AS target FROM o, level),
 r AS (
@@ -67,7 +67,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int)
 
     Sources in code point order, null last, get the weights in turn and share the sum of all sizes by
     them. No target is above most_epochs times its source's size: ordered by that limit per weight,
-    the sources before the water level are full and the others share the rest by weight.
+    the sources before the water level are full and the others share the rest by weight. From the first
+    source that fits on, the level of an open rest only falls, so it is the largest of those that fit.
     The windows hold one row per source.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -83,7 +84,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int)
         }
     )
     fits = F.col("open_size") * F.col("weight") <= F.col("most") * F.col("open_weight")
-    table = table.withColumn("level", F.min(F.when(fits, F.col("open_size") / F.col("open_weight"))).over(everything))
+    table = table.withColumn("level", F.max(F.when(fits, F.col("open_size") / F.col("open_weight"))).over(everything))
     return table.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm import decontamination, exact_dedup, main_text, mixing, near_dedup, quality, token_counts, url_filter, warc
+from ebbline.llm import decontamination, exact_dedup, language_model, main_text, mixing, near_dedup, quality, token_counts, url_filter, warc
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op8_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(sizes).select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_pseudo_likelihood(spark: SparkSession, folder: str) -> DataFrame:
+    docs = read(spark, folder, "documents")
+    model = language_model.fit_language_model(docs)
+    return language_model.score_documents(docs, model).withColumnRenamed("id", "doc_id")
+
+
 def op10_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
     network = quality.fit_quality(docs, labels)
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_exact_dedup,
         op7_url_filter,
         op8_source_mix,
+        op9_pseudo_likelihood,
         op10_quality_classifier,
     )
 }

@@ -7,6 +7,7 @@ their counts remembered. The vocabulary bounds what is sent to the tasks.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import json
 from collections.abc import Iterator
@@ -78,8 +79,10 @@ class Vocabulary:
     """Merges of a tokenizer file, its special strings, and the strings proven to be one token."""
 
     def __init__(self, file: str):
-        with open(file, encoding="utf-8") as f:
-            spec = json.load(f)
+        with open(file, "rb") as f:
+            content = f.read()
+        self.digest = hashlib.sha256(content).hexdigest()
+        spec = json.loads(content)
         kind, before = spec["model"]["type"], spec["pre_tokenizer"] or {}
         if kind != "BPE" or before.get("type") != "ByteLevel" or before.get("add_prefix_space") or spec["normalizer"]:
             raise ValueError(f"{file}: only plain byte-level BPE is counted")
@@ -123,6 +126,17 @@ class Counter(dict):
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.find(part))) for part in parts)
 
 
+#: Counters by the file's digest: tasks of one Python worker go on with what earlier ones remembered.
+_counters: dict[str, Counter] = {}
+
+
+def _counter(vocabulary: Vocabulary) -> Counter:
+    if vocabulary.digest not in _counters:
+        _counters.clear()
+        _counters[vocabulary.digest] = Counter(vocabulary)
+    return _counters[vocabulary.digest]
+
+
 def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: `id`, `n_bytes` (UTF-8), `n_tokens`, without begin or end tokens.
 
@@ -134,7 +148,7 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
     schema = f"id {dict(rows.dtypes)['id']}, n_bytes long, n_tokens long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(vocabulary.value)
+        counter = _counter(vocabulary.value)
         for batch in batches:
             if len(counter) >= counter.proven + REMEMBERED:
                 counter.forget()

@@ -20,12 +20,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.shared import stored
+from ebbline.llm.shared import stored, text_batches
 from ebbline.llm.text_arrays import LETTERS, hashed_words, utf8, word_spans
 
 #: Fixed value: words of a window.
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Windows of one pass: 80 bytes each, so 16 MB are broadcast at most.
 WINDOWS_PER_PASS = 200_000
 #: Every so many positions of the text the suffix table keeps one.
@@ -315,7 +315,7 @@ def find_spans(
         # What earlier passes found travels with the row; the text goes along until the last one.
         is_last = number == passes - 1
         text = ["clean string"] if is_last and clean else [] if is_last else ["text string"]
-        rows = rows.mapInArrow(_pass(sent, is_last, clean), ", ".join([*kinds, *text]))
+        rows = text_batches(rows).mapInArrow(_pass(sent, is_last, clean), ", ".join([*kinds, *text]))
     return rows.withColumnsRenamed({f"carry_{name}": name for name in carry or {}})
 
 
@@ -336,16 +336,18 @@ def _pass(sent: Broadcast, is_last: bool, clean: bool) -> Callable[[Iterator[pa.
 
 def _without(texts: pa.ChunkedArray, spans: pa.ChunkedArray) -> pa.Array:
     """Texts with the bytes from the first to the last word of each span taken out."""
-    out = texts.to_pylist()
-    for i in np.flatnonzero(pa.compute.list_value_length(spans).to_numpy()):
-        data, offsets = utf8(pa.array([out[i]]))
+    texts, spans = texts.combine_chunks(), spans.combine_chunks()
+    cut = pa.compute.greater(pa.compute.list_value_length(spans), 0)
+    out = []
+    for i in np.flatnonzero(cut.to_numpy(zero_copy_only=False)):
+        data, offsets = utf8(pa.array([texts[i].as_py()]))
         starts, ends, _ = word_spans(data, offsets, LETTERS)
         kept, at = [], 0
         for span in spans[i].as_py():
             kept.append(data[at : starts[span["first"]]].tobytes())
             at = ends[span["last"] - 1]
-        out[i] = b"".join([*kept, data[at:].tobytes()]).decode()
-    return pa.array(out, pa.string())
+        out.append(b"".join([*kept, data[at:].tobytes()]).decode())
+    return pa.compute.replace_with_mask(texts, cut, pa.array(out, pa.string())) if out else texts
 
 
 def _rows(table: pa.Table, bounds: np.ndarray, hit: np.ndarray, pairs: np.ndarray, names: np.ndarray) -> pa.Table:

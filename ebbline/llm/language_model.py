@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.shared import text_batches
 from ebbline.llm.text_arrays import SPACED, hashed_words
 
 VOCABULARY_BITS = 15
@@ -132,7 +133,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
         used = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["word", "n"])
 
-    found = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
+    found = text_batches(rows.select("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(VOCABULARY, np.int64)
     counts[found["word"].to_numpy()] = found["n"].to_numpy()
     return counts
@@ -157,7 +158,7 @@ def _train_round(rows: DataFrame, model: Model) -> Model:
         yield pa.RecordBatch.from_arrays(columns, ["row", "weight", *_VALUES])
 
     schema = "row long, weight double, " + ", ".join(f"{v} double" for v in _VALUES)
-    trained = rows.select("text").mapInArrow(run, schema).groupBy("row")
+    trained = text_batches(rows.select("text")).mapInArrow(run, schema).groupBy("row")
     trained = trained.agg(F.sum("weight").alias("weight"), *(F.sum(v).alias(v) for v in _VALUES)).toArrow()
     values = model.rows()
     for i, v in enumerate(_VALUES):
@@ -191,4 +192,4 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
             mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
             yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), pa.array(total), mean], ["id", "n_words", "log_likelihood", "mean_log_probability"])
 
-    return rows.mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_words long, log_likelihood double, mean_log_probability double")
+    return text_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_words long, log_likelihood double, mean_log_probability double")

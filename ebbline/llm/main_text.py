@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.shared import text_batches
+
 #: Lines of a window; share of the densest window, and characters, above which a window is text.
 WINDOW, SHARE, ENOUGH = 3, 0.1, 40
 
@@ -219,5 +221,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = pa.array([main_text(page.as_py()) for page in batch["html"]], pa.string())
             yield pa.RecordBatch.from_arrays([batch["id"], batch["url"], texts], ["id", "url", "text"])
 
-    found = rows.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")
+    found = text_batches(rows).mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string")
     return found.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbline.llm.components import components
-from ebbline.llm.shared import drop_judged, stored
+from ebbline.llm.shared import drop_judged, stored, text_batches
 from ebbline.llm.text_arrays import SPACED, hashed_words, mix
 
 #: Words of a shingle, percent of the union that two linked sets share.
@@ -142,7 +142,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 own = batch.slice(first, last - first)
                 yield pa.RecordBatch.from_arrays([own["id"], own["text_hash"], pa.array(sizes), nodes, signed], ["id", "text_hash", "n_shingles", "node", "signature"])
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 def _posting_hashes(signature: np.ndarray) -> np.ndarray:
@@ -302,7 +302,7 @@ def confirmed_links(families: DataFrame, docs: DataFrame, id_col: str, text_col:
                 own = batch.slice(first, last - first).drop_columns(["text"])
                 yield own.append_column("shingle_set", pa.array([s.tobytes() for s in shingle_sets(words, bounds)], pa.binary()))
 
-    chosen = chosen.mapInArrow(sets, "node long, family long, members long, shingles long, shingle_set binary")
+    chosen = text_batches(chosen).mapInArrow(sets, "node long, family long, members long, shingles long, shingle_set binary")
     blocks = F.greatest(F.ceil(F.col("members") / FAMILY_BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
     keys = ["family", "i", "j"]
 

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from ebbline.llm.shared import text_batches
 from ebbline.llm.text_arrays import BLOCK, utf8
 
 #: Labelled rows of each class in the sample at most, and bytes of a text at most: evenly spaced pieces.
@@ -32,7 +33,7 @@ PAD, DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 255, 8, 8, 4, 16, 16
 #: Bytes of half a mean window, of a pooling unit, and units of a chunk and between chunk starts.
 HALF, UNIT, CHUNK_UNITS, HOP_UNITS = 32, 128, 4, 3
 REACH = 32
-EPOCHS, BATCH_DOCS, STEP, DECAY = 12, 32, 0.01, 1e-4
+EPOCHS, LEAST_STEPS, BATCH_DOCS, STEP, DECAY = 12, 400, 32, 0.01, 1e-4
 
 
 def layout(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -147,8 +148,10 @@ def fit(texts: pa.Array, labels: np.ndarray, weights: np.ndarray, seed: int = 7)
     network, rng = Network(seed=seed), np.random.default_rng(seed)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in network.weights.items()}
     data, offsets = utf8(texts)
-    steps, total = 0, EPOCHS * max(1, -(-len(labels) // BATCH_DOCS))
-    for _ in range(EPOCHS if len(labels) else 0):
+    each = max(1, -(-len(labels) // BATCH_DOCS))
+    epochs = max(EPOCHS, -(-LEAST_STEPS // each)) if len(labels) else 0
+    steps, total = 0, epochs * each
+    for _ in range(epochs):
         order = rng.permutation(len(labels))
         for i in range(0, len(order), BATCH_DOCS):
             own = order[i : i + BATCH_DOCS]
@@ -204,7 +207,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             texts = pa.array([_piece(t) for t in batch["text"].to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch["labelled"], texts, batch["label"]], ["labelled", "text", "label"])
 
-    rows = rows.mapInArrow(cut, rows.schema)
+    rows = text_batches(rows).mapInArrow(cut, rows.schema)
     # Repeated ids could bring more rows than were chosen.
     sample = rows.orderBy(*order, F.xxhash64("text")).limit(2 * SAMPLE_ROWS).toArrow()
     label = np.asarray(sample["label"].to_numpy(), np.float32)
@@ -248,7 +251,7 @@ def score_quality(docs: DataFrame, network: Network, text_col: str = "text") ->
         for batch in batches:
             yield batch.append_column("quality_score", pa.array(score(own, batch[text_col])))
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    return text_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -26,6 +26,22 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+#: Rows of an Arrow batch: a row here is a whole text or page.
+BATCH_ROWS = 1_000
+
+
+def text_batches(rows: DataFrame) -> DataFrame:
+    """The same rows, for a Python stage over whole texts.
+
+    Where the session sets no size of Arrow batches, Spark's 10,000 rows a batch become `BATCH_ROWS`:
+    both sides of a task hold a batch in memory.
+    """
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key, None) is None:
+        conf.set(key, str(BATCH_ROWS))
+    return rows
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path no other run uses."""
     return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"

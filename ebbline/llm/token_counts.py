@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.llm.shared import text_batches
+
 #: Fixed value: the pattern by which byte-level BPE splits a text into pre-tokens.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Remembered counts of merged pre-tokens per task, and the longest pre-token that is remembered.
@@ -157,7 +159,7 @@ def count_tokens(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: s
             n_bytes = pa.compute.binary_length(texts).cast(pa.int64())
             yield pa.RecordBatch.from_arrays([batch["id"], n_bytes, n_tokens], ["id", "n_bytes", "n_tokens"])
 
-    return rows.mapInArrow(run, schema)
+    return text_batches(rows).mapInArrow(run, schema)
 
 
 @cache

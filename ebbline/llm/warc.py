@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ebbline.llm.shared import new_path, stored
+from ebbline.llm.shared import new_path, stored, text_batches
 
 #: Fields of a header line by ARC version.
 ARC_FIELDS = {
@@ -118,7 +118,8 @@ def parse_arc(archive: bytes) -> Iterator[ArcRecord]:
         if at >= len(archive):
             return
         end = archive.find(b"\n", at)
-        end = len(archive) if end < 0 else end
+        if end < 0:
+            return  # the archive is cut off inside a header line
         values = archive[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
         if not values[-1].isdigit():
             raise ValueError(f"no length in the header line at byte {at}: {values}")
@@ -218,7 +219,7 @@ def pages_to_arc(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         if held:
             yield close()
 
-    return rows.mapInArrow(run, "name string, content binary")
+    return text_batches(rows).mapInArrow(run, "name string, content binary")
 
 
 def _payloads(archives: DataFrame) -> DataFrame:
@@ -277,7 +278,7 @@ def convert(archives: DataFrame, path: str | None = None) -> str:
                 out.append(warc_record(record, row["digest"], None if same else first))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
 
-    lines = records.mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
+    lines = text_batches(records).mapInArrow(run, "record binary").select(F.col("record").cast("string").alias("value"))
     writer = lines.write.option("lineSep", "\r\n\r\n").option("compression", "gzip")
     writer.option("maxRecordsPerFile", RECORDS_PER_FILE).option("zlib.compress.level", "BEST_SPEED").text(path)
     return path

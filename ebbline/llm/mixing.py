@@ -10,6 +10,8 @@ rows, range totals give each range its start, and only rows of one range are sor
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,9 +59,9 @@ FROM r
 """
 
 
-def word_count(text_col: str = "text") -> Column:
+def word_count(text: Column) -> Column:
     """Words `[^\\x20\\x09-\\x0D]+` of the whole text; 0 for null."""
-    return F.coalesce(F.regexp_count(F.col(text_col), F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int) -> DataFrame:
@@ -88,15 +90,21 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], most_epochs: int)
     return table.select("source", "source_size", F.least(F.col("most").cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def exponential_key(id_col: str, weight: Column) -> Column:
+def text_weight(text: Column) -> Column:
+    """Quality weight of a text itself: 0.5 and the share of its characters that are letters."""
+    letters = F.char_length(F.regexp_replace(text, "[^\\p{L}]+", ""))
+    return 0.5 + F.coalesce(letters / F.nullif(F.char_length(text), F.lit(0)), F.lit(0.0))
+
+
+def exponential_key(own_id: Column, weight: Column) -> Column:
     """-ln(u) / weight with u in (0, 1) from a hash of the id; a null id counts as an empty string."""
-    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+    digest = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(own_id.cast("string"), F.lit(""))))
     u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") + 1).cast("double") / F.lit(4503599627370497.0)
     return -F.log(u) / weight
 
 
 def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int = MOST_EPOCHS) -> DataFrame:
-    """Draw the mix from (`id`, `hash`, `source`, `size`, `key`): adds `source_size`, `target`, `copies`, `taken`.
+    """Draw the mix from (`id`, `hash`, `source`, `size`, `key`): adds `source_size`, `target`, `epochs`, `copies`, `taken`.
 
     The last document of the fractional part is taken when that brings the sum nearer to the target.
     Ties of keys go by id (null last), then size, then hash. Documents without words take part with
@@ -120,7 +128,7 @@ def mix(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_epochs: int =
     rows = rows.withColumns({"epochs": epochs, "upto": F.col("start") + F.col("within")})
     budget = F.col("target") - F.col("epochs") * F.col("source_size")
     rows = rows.withColumn("copies", F.col("epochs") + F.when(2 * F.col("upto") - F.col("size") < 2 * budget, 1).otherwise(0))
-    return rows.select("id", "hash", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.select("id", "hash", "source", "size", "key", "source_size", "target", "epochs", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def document_sizes(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -128,35 +136,36 @@ def document_sizes(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc
 
     Labels of one id are combined to the best; without a label the weight is `UNKNOWN`.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("hash"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"))
     if labels is not None:
         best = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max("quality").alias("quality")).where("labelled IS NOT NULL")
         rows = rows.join(best, F.col("id") == F.col("labelled"), "left").drop("labelled")
     else:
         rows = rows.withColumn("quality", F.lit(None).cast("int"))
     weight = F.when(F.col("quality") >= 1, GOOD).when(F.col("quality") < 1, BAD).otherwise(UNKNOWN)
-    return rows.withColumn("key", exponential_key("id", weight)).drop("quality")
+    return rows.withColumn("key", exponential_key(F.col("id"), weight)).drop("quality")
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = text_weight, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The drawn rows of docs with all their columns, and how often each is repeated in `copies`.
 
-    A column of docs that is already called `copies` is replaced.
+    weight gives the quality weight from the text. The mix is drawn over narrow rows; what comes back
+    to the texts is one row per source, its epochs and its last drawn place, so texts are read in place
+    and never shuffled. Repeated rows are drawn alike. A column of docs called `copies` is replaced.
     """
-    drawn = stored(mix(document_sizes(docs, labels, id_col, text_col, source_col)), "drawn")
-    # Repeated rows tie: their copies differ by one at most and are dealt out in order.
-    drawn = drawn.groupBy("id", "hash").agg(F.sum("copies").alias("all_copies"), F.count("*").alias("repeats"))
-    drawn = stored(drawn.where("all_copies > 0"), "drawn_ids")
     docs = docs.drop("copies")
-
-    def joined(table: DataFrame) -> DataFrame:
-        return docs.join(table, docs[id_col].eqNullSafe(table["id"]) & (F.xxhash64(docs[text_col]) == table["hash"]))
-
-    own = [docs[c] for c in docs.columns]
-    once, often = drawn.where("repeats = 1"), drawn.where("repeats > 1")
-    single = joined(once).select(*own, once["all_copies"].alias("copies"))
-    if often.isEmpty():
-        return single
-    place = F.row_number().over(Window.partitionBy(often["id"], often["hash"]).orderBy(often["id"]))
-    share = F.floor((often["all_copies"] + often["repeats"] - place) / often["repeats"]).cast("long")
-    return single.unionByName(joined(often).select(*own, share.alias("copies")).where("copies > 0"))
+    own_id, text, source = docs[id_col], docs[text_col], docs[source_col].cast("string")
+    size, text_hash, key = word_count(text), F.xxhash64(text), exponential_key(own_id, weight(text))
+    sizes = docs.select(own_id.alias("id"), text_hash.alias("hash"), source.alias("source"), size.alias("size"), key.alias("key"))
+
+    def place(key: Column, own_id: Column, size: Column, text_hash: Column) -> Column:
+        parts = {"key": key, "no_id": own_id.isNull(), "id": own_id, "size": size, "hash": text_hash}
+        return F.struct(*(c.alias(name) for name, c in parts.items()))
+
+    last = F.max(F.when(F.col("copies") > F.col("epochs"), place(*map(F.col, ("key", "id", "size", "hash")))))
+    cuts = mix(sizes).groupBy("source").agg(F.max("epochs").alias("epochs"), last.alias("last"))
+    cuts = stored(cuts, "cuts")
+    drawn = cuts["last"].isNotNull() & (place(key, own_id, size, text_hash) <= cuts["last"])
+    copies = cuts["epochs"] + F.when(drawn, 1).otherwise(0)
+    mixed = docs.join(cuts, source.eqNullSafe(cuts["source"])).select(*(docs[c] for c in docs.columns), copies.alias("copies"))
+    return mixed.where("copies > 0")

@@ -345,10 +345,15 @@ def test_mix_follows_targets_and_budgets(spark, odd, empty):
             assert abs(taken[s] - want[s]) <= largest[s] / 2 + 1
         again = mixing.mix(mixing.document_sizes(docs.repartition(5), labels))
         assert Counter((r.id, r.hash, r.taken) for r in again.collect()) == Counter((r.id, r.hash, r.taken) for r in found)
-        kept = mixing.mixed_documents(docs, labels)
-        assert kept.agg(F.sum("copies")).first()[0] == sum(r.copies for r in found)
+        distinct = docs.dropDuplicates(["doc_id", "text"])
+        plain = distinct.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "source", mixing.word_count(F.col("text")).alias("size"), mixing.exponential_key(F.col("doc_id"), mixing.text_weight(F.col("text"))).alias("key"))
+        drawn = Counter((r.id, r.hash, r.copies) for r in mixing.mix(plain).collect() if r.copies)
+        kept = mixing.mixed_documents(distinct)
+        assert Counter(tuple(r) for r in kept.select("doc_id", F.xxhash64("text"), "copies").collect()) == drawn
         assert set(kept.columns) == {*docs.columns, "copies"}
-    assert mixing.mix(mixing.document_sizes(empty, None)).count() == mixing.mixed_documents(empty, None).count() == 0
+        repeated = mixing.mixed_documents(docs).groupBy("doc_id", "text").agg(F.countDistinct("copies").alias("kinds"))
+        assert repeated.where("kinds > 1").isEmpty()
+    assert mixing.mix(mixing.document_sizes(empty, None)).count() == mixing.mixed_documents(empty).count() == 0
 
 
 def test_mix_does_not_depend_on_ranges(spark, monkeypatch):

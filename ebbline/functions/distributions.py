@@ -13,6 +13,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TERMS = 80
+#: Degrees of freedom up to which the chi-square tail is summed; from _LARGE_DOF on a second degree
+#: of freedom of an F variable counts as infinite.
+_EXACT_DOF, _LARGE_DOF = 200_000, 1e8
 
 
 def _let(values: dict[str, Column], body: Callable[[Column], Column]) -> Column:
@@ -63,19 +66,26 @@ def chi2_tail(statistic: Column, dof: Column) -> Column:
 def _chi2_tail(h: Column, dof: Column) -> Column:
     odd = dof % 2 == 1
     shift = F.when(odd, 0.5).otherwise(0.0)
-    first = F.exp(-h) * F.when(odd, 2 * F.sqrt(h / math.pi)).otherwise(1.0)
-    terms = F.floor(dof / 2).cast("int")
+    # Terms are carried as logarithms: exp(-h) alone would underflow for many degrees of freedom.
+    first = -h + F.when(odd, F.log(2 * F.sqrt(h / math.pi))).otherwise(0.0)
+    terms = F.floor(F.least(dof, F.lit(_EXACT_DOF)) / 2).cast("int")
     finite = F.aggregate(
         F.sequence(F.lit(1), F.greatest(terms, F.lit(1))),
         F.struct(first.alias("term"), F.lit(0.0).alias("total")),
         lambda acc, j: F.struct(
-            (acc["term"] * h / (j + shift)).alias("term"),
-            (acc["total"] + acc["term"]).alias("total"),
+            (acc["term"] + F.log(h / (j + shift))).alias("term"),
+            (acc["total"] + F.exp(acc["term"])).alias("total"),
         ),
         lambda acc: acc["total"],
     )
+    finite = F.when(h > 0, finite).otherwise(F.when(odd, 0.0).otherwise(1.0))
+    # Beyond that the cube root of statistic / dof is normal to more digits than are shown.
+    spread = 2 / (9 * dof)
+    z = (F.pow(2 * h / dof, F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
+    upper = erfc(F.abs(z) / math.sqrt(2.0)) / 2
+    far = F.when(z > 0, upper).otherwise(1 - upper)
     total = F.when(odd, erfc(F.sqrt(h))).otherwise(0.0) + F.when(terms >= 1, finite).otherwise(0.0)
-    return F.when(dof >= 1, F.least(total, F.lit(1.0)))
+    return F.when(dof > _EXACT_DOF, far).when(dof >= 1, F.least(total, F.lit(1.0)))
 
 
 def _log_gamma(z: Column) -> Column:
@@ -128,4 +138,6 @@ def f_tail(statistic: Column, dof1: Column, dof2: Column) -> Column:
         lambda v: _beta_fraction(v["x"], v["a"], v["b"]),
     )
     inside = (statistic > 0) & (dof1 >= 1) & (dof2 >= 1)
-    return F.when(statistic == 0, 1.0).when(inside, F.when(swap, 1 - part).otherwise(part))
+    limit = chi2_tail(statistic * dof1, dof1)
+    exact = F.when(swap, 1 - part).otherwise(part)
+    return F.when(statistic == 0, 1.0).when(inside, F.when(dof2 >= _LARGE_DOF, limit).otherwise(exact))

@@ -70,6 +70,22 @@ def binary_outcome(df: DataFrame, name: str) -> Column:
     return F.col(name).cast("int")
 
 
+def outcome_value(df: DataFrame, name: str) -> Column:
+    """Outcome as a number: a text label as 0/1, whole numbers and booleans as such, others as double.
+
+    NaN counts as unknown.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return label_to_int(name)
+    if isinstance(kind, T.BooleanType):
+        return F.col(name).cast("int")
+    if isinstance(kind, T.IntegralType):
+        return F.col(name)
+    value = F.col(name).cast("double")
+    return F.when(~F.isnan(value), value)
+
+
 def half_even(c: Column | str, digits: int) -> Column:
     return F.bround(_col(c), digits)
 

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ebbline.config import RANDOM_SEED, ROLES
 from ebbline.functions.distributions import normal_two_sided
-from ebbline.functions.scalars import cut, double_array
+from ebbline.functions.scalars import cut, double_array, outcome_value
 from ebbline.operators.ordered import exact_quantiles, range_bucket, value_splits
 from ebbline.operators.splitting import assign_share
 
@@ -74,7 +74,7 @@ def _stratum_cells(
     df: DataFrame, treatment: str, outcome: str, strata: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
     """Size, mean and variance of both arms per stratum: one shuffle, combined ahead of it."""
-    y = F.col(outcome).cast("double")
+    y = outcome_value(df, outcome).cast("double")
     arms = {"1": F.col(treatment) == 1, "0": F.col(treatment) == 0}
     return (
         _known(df, treatment, outcome, *strata)

@@ -53,7 +53,7 @@ def linear_attribution(
 
 def sampled_attribution(
     encoded: DataFrame, model: Model, names: Sequence[str], key: str = ROLES.key,
-    sample_size: int | None = 1000, permutations: int = 8, seed: int = RANDOM_SEED,
+    sample_size: int | None = None, permutations: int = 8, seed: int = RANDOM_SEED,
 ) -> DataFrame:
     """Permutation-sampled contributions on the probability scale.
 

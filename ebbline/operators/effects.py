@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from ebbline.config import ROLES
 from ebbline.functions.distributions import chi2_tail, f_tail
-from ebbline.functions.scalars import half_even, relative_effect
+from ebbline.functions.scalars import half_even, outcome_value, relative_effect
 from ebbline.operators.profile import safe_corr
 from ebbline.operators.reshape import stack_columns
 
@@ -41,15 +41,22 @@ def treatment_kinds(df: DataFrame, treatments: Sequence[str]) -> tuple[list[str]
 
 
 def level_outcomes(df: DataFrame, treatments: Sequence[str], outcome: str) -> DataFrame:
-    """``treatment, level, n, positives`` over rows with a known 0/1 outcome, null levels kept."""
-    data = df.where(F.col(outcome).isNotNull()).select(
-        F.col(outcome).cast("int").alias("__y"),
+    """``treatment, level, n, positives, other`` over rows with a known outcome, null levels kept.
+
+    positives is the sum of the outcome, whatever numbers it has; other counts those that are not 0 or 1.
+    """
+    data = df.select(
+        outcome_value(df, outcome).alias("__y"),
         *[F.col(c).cast("string").alias(c) for c in treatments],
-    )
+    ).where(F.col("__y").isNotNull())
     return (
         stack_columns(data, ["__y"], list(treatments), "treatment", "level")
         .groupBy("treatment", "level")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("__y").cast("bigint").alias("positives"))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.sum("__y").alias("positives"),
+            F.count_if(~F.col("__y").isin(0, 1)).alias("other"),
+        )
     )
 
 
@@ -59,7 +66,8 @@ def _treatment_totals(cells: DataFrame) -> DataFrame:
     For a 0/1 outcome the chi-square statistic of a levels x 2 table needs only sums over levels:
     ``N^2 / (S (N - S)) * (sum(s^2 / n) - S^2 / N)``. A 2x2 table gets the continuity correction;
     there both levels deviate equally from their expected count, so one of them is enough. A table
-    with one level or one outcome value has no test: null p-value, not significant.
+    with one level or one outcome value, or an outcome that is not 0/1, has no test: null p-value, not
+    significant.
     """
     known = F.col("level").isNotNull()
     n, s = F.col("total"), F.col("total_positives")
@@ -71,13 +79,14 @@ def _treatment_totals(cells: DataFrame) -> DataFrame:
         F.sum(F.when(known, F.col("positives") / F.col("n") * F.col("positives"))).alias("squares"),
         F.sum(F.when(known, 1 / F.col("n"))).alias("inverse"),
         F.min(F.when(known, F.struct("level", "n", "positives"))).alias("one"),
+        F.sum("other").alias("other"),
     )
     dof = F.col("levels") - 1
     gap = F.abs(F.col("one.positives") - F.col("one.n") * (s / n))
     slack = F.greatest(gap - 0.5, F.lit(0.0))
     corrected = slack * slack * n * F.col("inverse") * (1 / s + 1 / (n - s))
     plain = (n / s) * (n / (n - s)) * (F.col("squares") - s / n * s)
-    testable = (F.col("levels") >= 2) & (s > 0) & (s < n)
+    testable = (F.col("levels") >= 2) & (s > 0) & (s < n) & (F.col("other") == 0)
     tested = sums.select(
         "treatment", "overall",
         F.when(testable, F.when(dof == 1, corrected).otherwise(F.greatest(plain, F.lit(0.0)))).alias("chi2"),
@@ -383,7 +392,7 @@ def select_k_best(scores: DataFrame, k: int = 20) -> DataFrame:
 def treatment_check(df: DataFrame, treatments: Sequence[str], outcome: str) -> DataFrame:
     """Level counts, outcome counts and rate for every treatment, null levels included."""
     data = df.select(
-        F.col(outcome).cast("int").alias("__y"),
+        outcome_value(df, outcome).alias("__y"),
         *[F.col(c).cast("string").alias(c) for c in treatments],
     )
     return (

@@ -21,6 +21,7 @@ from ebbline.functions.scalars import (
     half_even,
     imbalanced,
     looks_numeric,
+    outcome_value,
     rate_class,
 )
 from ebbline.operators.clean import columns_by_type
@@ -46,12 +47,12 @@ def _rows_from_wide(row: DataFrame, columns: Sequence[str], **parts: str) -> Dat
 
 
 def overall_rate(df: DataFrame, outcome: str) -> DataFrame:
-    return df.agg(F.avg(outcome).alias("rate"))
+    return df.agg(F.avg(outcome_value(df, outcome)).alias("rate"))
 
 
 def rate_summary(df: DataFrame, outcome: str) -> DataFrame:
     """Churn percent with its class and the imbalance flag."""
-    percent = df.agg((F.avg(outcome) * 100).alias("percent"))
+    percent = df.agg((F.avg(outcome_value(df, outcome)) * 100).alias("percent"))
     return percent.select(
         "percent",
         rate_class("percent").alias("rate_class"),
@@ -161,8 +162,10 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Count, mean, deviation, extremes and exact quartiles per numeric column.
 
     Two passes: one aggregate for the moments, which also finds the range borders of the quartile
-    search, and the quartiles. The moments arrive as one row per column.
+    search, and the quartiles. The moments arrive as one row per column. NaN counts as missing.
     """
+    fractional = [c for c in columns if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType))]
+    df = df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in fractional})
     row = df.agg(
         *[
             f

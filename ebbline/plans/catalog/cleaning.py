@@ -28,7 +28,7 @@ ALL_RAW = """"customerID", gender, "SeniorCitizen", "Partner", "Dependents", ten
 )
 def _(t):
     # The customer table as a CSV file in the shared folder, read back with the declared schema.
-    path = f"{shared_folder(t.spark)}/raw_csv/{t.folder.strip('/').replace('/', '_')}"
+    path = f"{shared_folder(t.spark)}/raw_csv"
     writers.write_table(t.base, path, "csv")
     return readers.read_customers(t.spark, path)
 

@@ -74,7 +74,7 @@ def _logistic(t):
 
 def _attributions(t):
     p = _prepared(t)
-    return A.sampled_attribution(p.test, _forest(t).model, p.names, permutations=4)
+    return A.sampled_attribution(p.test, _forest(t).model, p.names)
 
 
 def _linear_attributions(t):
@@ -341,7 +341,7 @@ def _(t):
 
 @query("s01b_saved_model_scoring")
 def _(t):
-    path = f"{shared_folder(t.spark)}/models/{t.folder.strip('/').replace('/', '_')}"
+    path = f"{shared_folder(t.spark)}/models"
     writers.save_model(_scoring(t), path)
     return S.score_batch(writers.load_model(path), t.base).select(
         "customerID", "Churn_Prediction", "Churn_Probability"
@@ -381,7 +381,7 @@ def _(t):
 
 
 def _written(t, name):
-    return f"{shared_folder(t.spark)}/{name}/{t.folder.strip('/').replace('/', '_')}"
+    return f"{shared_folder(t.spark)}/{name}"
 
 
 @query("a03_table_sink", """SELECT "Churn", COUNT(*) AS n FROM cl GROUP BY 1""")

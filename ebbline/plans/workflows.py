@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -17,7 +18,7 @@ from ebbline.operators.splitting import stratified_split
 from ebbline.sources import writers
 
 
-ROWS_PER_TASK = 50_000
+log = logging.getLogger(__name__)
 
 
 @dataclass
@@ -27,12 +28,9 @@ class Prepared:
     table: DataFrame
     encoder: PipelineModel
     names: list[str]
-    rows: int
 
     def _part(self, name: str) -> DataFrame:
-        part = self.table.where(F.col("split") == name).drop("split")
-        # Fits pass over the rows many times; tiny partitions would cost a task each time.
-        return part.coalesce(max(1, self.rows // ROWS_PER_TASK))
+        return self.table.where(F.col("split") == name).drop("split")
 
     @property
     def train(self) -> DataFrame:
@@ -63,9 +61,9 @@ def prepare(
         roles.key, F.col(roles.target).alias("label"), encode.FEATURES, "split"
     )
     table = coded.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = table.count()
+    table.count()
     kept.unpersist()
-    return Prepared(table, encoder, encode.feature_names(encoder, roles), rows)
+    return Prepared(table, encoder, encode.feature_names(encoder, roles))
 
 
 def train_and_compare(
@@ -79,7 +77,7 @@ def train_and_compare(
 
 def run_training(
     raw: DataFrame, folder: str, algorithms: Sequence[str] = models.DEFAULT_ALGORITHMS,
-    roles: ColumnRoles = ROLES, explain_rows: int = 100, **options: Mapping,
+    roles: ColumnRoles = ROLES, explain_rows: int | None = None, **options: Mapping,
 ) -> dict[str, str]:
     """Train, compare, explain and write every artefact under ``folder``; returns their paths.
 
@@ -92,18 +90,29 @@ def run_training(
     pipeline_path, split_path = f"{folder}/model", f"{folder}/prepared"
     writers.save_model(score.scoring_pipeline(prepared.encoder, best.model), pipeline_path)
     writers.write_split_table(prepared.table, split_path)
+    cleaned_path = f"{folder}/cleaned"
+    writers.write_table(clean(raw, roles), cleaned_path)
+    cleaned = raw.sparkSession.read.parquet(cleaned_path)
+
+    def attribution() -> DataFrame:
+        rows = attribute.sampled_attribution(
+            prepared.test, best.model, prepared.names, roles.key, sample_size=explain_rows
+        )
+        return attribute.attribution_importance(rows)
+
     reports = {
-        "model_comparison": comparison,
-        "feature_importance": models.forest_importance(prepared.train, prepared.names, trees=20),
-        "anova_scores": encode.anova_of_vector(prepared.train, prepared.names),
+        "model_comparison": lambda: comparison,
+        "feature_importance": lambda: models.forest_importance(prepared.train, prepared.names),
+        "anova_scores": lambda: encode.anova_of_vector(prepared.train, prepared.names),
+        "attribution_importance": attribution,
+        "treatment_effects": lambda: effects.effect_summary(cleaned, roles.treatments),
     }
-    attributions = attribute.sampled_attribution(
-        prepared.test, best.model, prepared.names, roles.key, sample_size=explain_rows
-    )
-    reports["attribution_importance"] = attribute.attribution_importance(attributions)
-    reports["treatment_effects"] = effects.effect_summary(clean(raw, roles), roles.treatments)
-    paths = writers.write_reports(reports, f"{folder}/reports")
-    writers.write_table(clean(raw, roles), f"{folder}/cleaned")
+    paths = {}
+    for name, build in reports.items():
+        try:
+            paths |= writers.write_reports({name: build()}, f"{folder}/reports")
+        except Exception:  # a report is no reason to lose the model
+            log.exception("report %s is left out", name)
     metadata = raw.sparkSession.createDataFrame(
         [(best.name, str(best.params), best.roc_auc, best.test_accuracy, len(prepared.names))],
         "model string, params string, roc_auc double, test_accuracy double, features int",
@@ -111,7 +120,7 @@ def run_training(
     writers.write_json_report(metadata, f"{folder}/metadata")
     prepared.release()
     return {
-        **paths, "model": pipeline_path, "prepared": split_path, "cleaned": f"{folder}/cleaned",
+        **paths, "model": pipeline_path, "prepared": split_path, "cleaned": cleaned_path,
         "metadata": f"{folder}/metadata",
     }
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -28,14 +29,17 @@ _fallback_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
+    """A new path in the folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Where the setting is absent (local tests) a temporary folder is made once per application.
+    Where the setting is absent a temporary folder of this machine serves a local master; on a cluster
+    its absence is an error, as executors would write to disks of their own.
     """
     app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if app not in _fallback_folders:
             _fallback_folders[app] = tempfile.mkdtemp(prefix="ebbline-")
         named = _fallback_folders[app]
-    return f"{named.rstrip('/')}/ebbline/{app}"
+    return f"{named.rstrip('/')}/ebbline/{app}/{uuid.uuid4().hex}"

@@ -25,7 +25,7 @@ from ebbline.plans.catalog.statistics import STUDENT_P
 from ebbline.session import shared_folder
 from ebbline.sources import readers, writers
 
-SMALL_FOREST = {"numTrees": 20, "maxDepth": 5}
+#: Forests are fitted with the defaults of the operator.
 SMALL_BOOSTING = {"maxIter": 8, "maxDepth": 3}
 
 _kept: dict = {}
@@ -65,7 +65,7 @@ def _encoded(t):
 
 
 def _forest(t):
-    return _trained(t, "RandomForest", overrides=SMALL_FOREST)
+    return _trained(t, "RandomForest")
 
 
 def _logistic(t):
@@ -183,7 +183,7 @@ def _(t):
 @query("m08_forest_importance")
 def _(t):
     p = _prepared(t)
-    return M.forest_importance(p.train, p.names, trees=20, depth=5)
+    return M.forest_importance(p.train, p.names)
 
 
 @query("w01_cumulative_importance")
@@ -233,7 +233,7 @@ def _(t):
 
 def _all(t):
     options = {
-        "RandomForest": {"overrides": SMALL_FOREST},
+        "RandomForest": {},
         "GradientBoosting": {"overrides": SMALL_BOOSTING},
         "LogisticRegression": {},
     }

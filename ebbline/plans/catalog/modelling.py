@@ -25,7 +25,7 @@ from ebbline.plans.catalog.statistics import STUDENT_P
 from ebbline.session import shared_folder
 from ebbline.sources import readers, writers
 
-#: Forests are fitted with the defaults of the operator.
+#: Boosting of the registered queries; forests are fitted with the operator's defaults.
 SMALL_BOOSTING = {"maxIter": 8, "maxDepth": 3}
 
 _kept: dict = {}

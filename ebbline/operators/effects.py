@@ -101,7 +101,8 @@ def _with_totals(cells: DataFrame) -> DataFrame:
     """Level rows with the totals and test of their treatment."""
     # The condition needs the count, so it is applied after the aggregation and both uses of the
     # cells share one shuffle; a plain filter on the level would be pushed below it in one of them.
-    known = cells.where(F.when(F.col("level").isNotNull(), F.col("n")) > 0)
+    # It names all counts, as the shuffles are shared only while both uses keep the same columns.
+    known = cells.where(F.when(F.col("level").isNotNull(), F.col("n") + F.col("other")) > 0)
     # One row per listed treatment: its size is the length of an argument, so it may be broadcast.
     return known.join(F.broadcast(_treatment_totals(cells)), "treatment")
 

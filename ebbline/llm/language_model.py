@@ -4,11 +4,15 @@ A network sees the `WINDOW` words on both sides of a word, never the word itself
 probability of the word's class; times the share of the word in its class that is the conditional
 probability of the word. The sum of its logarithms over all words scores a document.
 
-Words are hashed into `VOCABULARY` numbers, so the model has a fixed size whatever the corpus. Counts
-come from all documents; they cut the numbers, most frequent first, into `CLASSES` classes of about the
-same weight. Training goes `ROUNDS` times over all documents: every task takes the model of the round,
-runs stochastic gradients over its own documents in numpy, and the results are averaged row by row,
-weighted by how often a task has seen a row.
+The corpus is gathered in a table of the counts of every word of all documents, which grows with it; one
+unit of each class is left for words it does not hold. The network has a fixed size: it sees words hashed
+into `VOCABULARY` numbers, cut into `CLASSES` classes of about the same weight, most frequent first.
+Training goes `ROUNDS` times over all documents: every task takes the model of the round, runs
+stochastic gradients over its own documents in numpy, and the results are averaged row by row, weighted by
+how often a task has seen a row.
+
+Counts of frequent words, 1 / `VOCABULARY` of all words or more each, travel with the network: these are
+`VOCABULARY` words at most. All other words are joined with the table, so no key of the join is hot.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.shared import text_batches
+from ebbline.llm.shared import stored, text_batches
 from ebbline.llm.text_arrays import SPACED, hashed_words
 
 VOCABULARY_BITS = 15
@@ -36,10 +40,12 @@ _VALUES = [f"v{i}" for i in range(DIM)]
 
 @dataclass
 class Model:
-    """Class of each word, logarithm of its share in the class, and the network."""
+    """Class of each hashed word, logarithm of the words in a class, frequent words with their counts, and the network."""
 
     classes: np.ndarray
-    log_share: np.ndarray
+    log_class: np.ndarray
+    frequent: np.ndarray
+    times: np.ndarray
     words: np.ndarray
     context: np.ndarray
     context_bias: np.ndarray
@@ -47,7 +53,7 @@ class Model:
     out_bias: np.ndarray
 
     @classmethod
-    def fresh(cls, counts: np.ndarray, seed: int = 11) -> Model:
+    def fresh(cls, counts: np.ndarray, frequent: np.ndarray, times: np.ndarray, seed: int = 11) -> Model:
         rng = np.random.default_rng(seed)
         smooth = counts + 1.0
         order = np.lexsort((np.arange(VOCABULARY), -counts))
@@ -58,7 +64,9 @@ class Model:
         wide = len(_CONTEXT) * DIM
         return cls(
             classes,
-            np.log(smooth / weight[classes]),
+            np.log(np.bincount(classes, counts, CLASSES) + 1),
+            frequent,
+            times,
             rng.normal(0, 0.1, (VOCABULARY + 1, DIM)).astype(np.float32),
             rng.normal(0, wide**-0.5, (wide, HIDDEN)).astype(np.float32),
             np.zeros(HIDDEN, np.float32),
@@ -79,7 +87,7 @@ class Model:
             n = x.size // DIM
             parts.append(rows[at : at + n].reshape(x.shape).astype(np.float32))
             at += n
-        return Model(self.classes, self.log_share, *parts)
+        return Model(self.classes, self.log_class, self.frequent, self.times, *parts)
 
     def forward(self, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Inputs, hidden values and log probabilities of the classes for rows of context words."""
@@ -91,8 +99,17 @@ class Model:
         return x, hidden, logits
 
     def log_probabilities(self, words: np.ndarray, around: np.ndarray) -> np.ndarray:
-        logits = self.forward(around)[2]
-        return logits[np.arange(len(words)), self.classes[words]].astype(np.float64) + self.log_share[words]
+        """Of the words' classes, less the logarithm of the words in the class."""
+        logits, own = self.forward(around)[2], self.classes[words]
+        return logits[np.arange(len(words)), own].astype(np.float64) - self.log_class[own]
+
+    def log_counts(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logarithm of the count of each frequent word, 0 for others, and which words these are."""
+        if not len(self.frequent):
+            return np.zeros(len(hashes)), np.ones(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.frequent, hashes), len(self.frequent) - 1)
+        known = self.frequent[at] == hashes
+        return np.where(known, np.log(self.times[at]), 0.0), ~known
 
     def train(self, words: np.ndarray, around: np.ndarray, squares: list[np.ndarray]) -> None:
         """One step of stochastic gradients with a rate that falls for each number by its own gradients."""
@@ -110,33 +127,50 @@ class Model:
             value -= (RATE * grad / np.sqrt(square + 1e-8)).astype(np.float32)
 
 
+@dataclass
+class LanguageModel:
+    """The network, and the table `word`, `n` of all words of the corpus."""
+
+    network: Model
+    counts: DataFrame
+
+
+def _bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Rows of whole texts, their words, the words around each, and the bounds of each text."""
+    """Rows of whole texts, hashes of their words, the numbers of the words around each, and the bounds of each text."""
     for batch in batches:
         for first, last, hashes, bounds in hashed_words(batch["text"], SPACED):
-            words = (hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64)
-            spread = np.full(len(words) + WINDOW * (last - first + 1), OUTSIDE, np.int64)
-            at = np.arange(len(words)) + WINDOW * (1 + np.repeat(np.arange(last - first), np.diff(bounds)))
-            spread[at] = words
-            around = np.stack([spread[at + j] for j in _CONTEXT], 1) if len(words) else np.zeros((0, 4), np.int64)
-            yield batch.slice(first, last - first), words, around, bounds
+            spread = np.full(len(hashes) + WINDOW * (last - first + 1), OUTSIDE, np.int64)
+            at = np.arange(len(hashes)) + WINDOW * (1 + np.repeat(np.arange(last - first), np.diff(bounds)))
+            spread[at] = _bucket(hashes)
+            around = np.stack([spread[at + j] for j in _CONTEXT], 1) if len(hashes) else np.zeros((0, 4), np.int64)
+            yield batch.slice(first, last - first), hashes, around, bounds
 
 
-def word_counts(rows: DataFrame) -> np.ndarray:
-    """How often each hashed word occurs in all texts; VOCABULARY numbers come to the driver."""
+def word_counts(rows: DataFrame) -> DataFrame:
+    """`word` (its hash), `n`: how often each word occurs in all texts; counted per block ahead of the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(VOCABULARY, np.int64)
         for batch in batches:
             for _, _, hashes, _ in hashed_words(batch["text"], SPACED):
-                counts += np.bincount((hashes >> np.uint64(64 - VOCABULARY_BITS)).astype(np.int64), minlength=VOCABULARY)
-        used = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[used])], ["word", "n"])
+                words, n = np.unique(hashes.view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(n)], ["word", "n"])
+
+    found = text_batches(rows.select("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return stored(found, "word_counts")
+
 
-    found = text_batches(rows.select("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(VOCABULARY, np.int64)
-    counts[found["word"].to_numpy()] = found["n"].to_numpy()
-    return counts
+def _fresh(counts: DataFrame) -> Model:
+    """An untrained network; the driver gets `VOCABULARY` sums and as many frequent words at most."""
+    bucket = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS)
+    found = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
+    sums = np.zeros(VOCABULARY, np.int64)
+    sums[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    often = counts.where(F.col("n") * VOCABULARY >= int(sums.sum())).toArrow().sort_by("word")
+    return Model.fresh(sums, often["word"].to_numpy(), often["n"].to_numpy())
 
 
 def _train_round(rows: DataFrame, model: Model) -> Model:
@@ -146,7 +180,8 @@ def _train_round(rows: DataFrame, model: Model) -> Model:
         own = sent.value.with_rows(sent.value.rows())
         squares = [np.full(x.shape, 1e-4) for x in own.network()]
         seen, n = np.zeros(VOCABULARY + 1, np.int64), 0
-        for _, words, around, _ in _contexts(batches):
+        for _, hashes, around, _ in _contexts(batches):
+            words = _bucket(hashes)
             for i in range(0, len(words), BATCH):
                 own.train(words[i : i + BATCH], around[i : i + BATCH], squares)
             seen += np.bincount(around.ravel(), minlength=VOCABULARY + 1)
@@ -166,30 +201,46 @@ def _train_round(rows: DataFrame, model: Model) -> Model:
     return model.with_rows(values)
 
 
-def fit_language_model(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> Model:
+def fit_language_model(docs: DataFrame, text_col: str = "text", rounds: int = ROUNDS) -> LanguageModel:
     """Counts and network from all rows and whole texts of docs; a null text is empty."""
     rows = docs.select(F.col(text_col).alias("text"))
-    model = Model.fresh(word_counts(rows))
+    counts = word_counts(rows)
+    model = _fresh(counts)
     for _ in range(rounds):
         model = _train_round(rows, model)
-    return model
+    return LanguageModel(model, counts)
 
 
-def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: `id`, `n_words`, `log_likelihood`, `mean_log_probability`.
 
     The whole text is scored. Texts without words, null or empty, have 0 words, a likelihood of 0 and
-    no mean. Repeated rows score alike; other columns are not read.
+    no mean. A word that the corpus of the model does not hold counts as the one unit its class leaves.
+    Repeated rows score alike; other columns are not read.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sent = rows.sparkSession.sparkContext.broadcast(model)
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    sent = rows.sparkSession.sparkContext.broadcast(model.network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, words, around, bounds in _contexts(batches):
-            logs = [sent.value.log_probabilities(words[i : i + BATCH], around[i : i + BATCH]) for i in range(0, len(words), BATCH)]
-            sums = np.r_[0.0, np.cumsum(np.concatenate(logs))] if logs else np.zeros(1)
+        for part, hashes, around, bounds in _contexts(batches):
+            network, words, coded = sent.value, _bucket(hashes), hashes.view(np.int64)
+            known, rare = network.log_counts(coded)
+            logs = [network.log_probabilities(words[i : i + BATCH], around[i : i + BATCH]) for i in range(0, len(words), BATCH)]
+            sums = np.r_[0.0, np.cumsum(np.concatenate(logs) + known)] if logs else np.zeros(1)
             total, n = np.diff(sums[bounds]), np.diff(bounds)
-            mean = pa.array(total / np.maximum(n, 1), mask=n == 0)
-            yield pa.RecordBatch.from_arrays([part["id"], pa.array(n), pa.array(total), mean], ["id", "n_words", "log_likelihood", "mean_log_probability"])
-
-    return text_batches(rows).mapInArrow(run, f"id {dict(rows.dtypes)['id']}, n_words long, log_likelihood double, mean_log_probability double")
+            rare_bounds = np.r_[0, np.cumsum(rare)][bounds].astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(rare_bounds), pa.array(coded[rare]))
+            yield pa.RecordBatch.from_arrays([part["id"], part["text_hash"], pa.array(n), pa.array(total), lists], ["id", "text_hash", "n_words", "partial", "rare"])
+
+    schema = f"id {dict(rows.dtypes)['id']}, text_hash long, n_words long, partial double, rare array<long>"
+    scored = stored(text_batches(rows).mapInArrow(run, schema), "scored")
+    # Texts are one here however often they are repeated; a word that occurs once adds log 1.
+    texts = scored.where("size(rare) > 0").dropDuplicates(["text_hash"])
+    words = texts.select("text_hash", F.explode("rare").alias("word")).join(model.counts.where("n > 1"), "word")
+    added = words.groupBy("text_hash").agg(F.sum(F.ln("n")).alias("added"))
+    alone = scored.where("size(rare) = 0").withColumn("added", F.lit(0.0))
+    joined = scored.where("size(rare) > 0").join(added, "text_hash", "left")
+    total = F.col("partial") + F.coalesce("added", F.lit(0.0))
+    return alone.unionByName(joined).select(
+        "id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability")
+    )

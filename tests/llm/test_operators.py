@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -370,21 +371,45 @@ def test_pseudo_likelihood_by_hand(spark, odd, empty):
     got = {r.id: r for r in found.collect()}
     from ebbline.llm.text_arrays import SPACED, hashed_words
 
-    ids = [int(h >> np.uint64(64 - language_model.VOCABULARY_BITS)) for _, _, hs, _ in hashed_words(pa.array([text]), SPACED) for h in hs]
+    network, counts = model.network, {r.word: r.n for r in model.counts.collect()}
+    hashes = [h for _, _, hs, _ in hashed_words(pa.array([text]), SPACED) for h in hs]
+    ids = [int(h >> np.uint64(64 - language_model.VOCABULARY_BITS)) for h in hashes]
     total = 0.0
     for i, w in enumerate(ids):
         around = [ids[j] if 0 <= j < len(ids) else language_model.OUTSIDE for j in (i - 2, i - 1, i + 1, i + 2)]
-        hidden = np.tanh(np.concatenate([model.words[a] for a in around]) @ model.context + model.context_bias)
-        logits = hidden @ model.out + model.out_bias
-        total += logits[model.classes[w]] - np.log(np.exp(logits).sum()) + model.log_share[w]
+        hidden = np.tanh(np.concatenate([network.words[a] for a in around]) @ network.context + network.context_bias)
+        logits = hidden @ network.out + network.out_bias
+        share = np.log(counts.get(int(hashes[i].view(np.int64)), 1)) - network.log_class[network.classes[w]]
+        total += logits[network.classes[w]] - np.log(np.exp(logits).sum()) + share
     assert got[1].log_likelihood == pytest.approx(total, rel=1e-4)
     assert got[1].mean_log_probability == pytest.approx(total / 4, rel=1e-4)
     assert (got[2].n_words, got[2].log_likelihood, got[2].mean_log_probability) == (0, 0.0, None)
-    # Class probabilities and shares make a distribution over the vocabulary.
-    assert np.bincount(model.classes, np.exp(model.log_share)) == pytest.approx(np.ones(language_model.CLASSES))
+    # The counts are exact; shares of the words and the unit of each class make a distribution.
+    spaced = [w for r in odd.collect() for w in re.findall("[^\x20\x09-\x0D]+", r.text or "")]
+    exact = Counter(w.translate({c: c + 32 for c in range(65, 91)}) for w in spaced)
+    assert sorted(counts.values()) == sorted(exact.values())
+    held = Counter()
+    for word, n in counts.items():
+        held[int(network.classes[np.int64(word).view(np.uint64) >> np.uint64(64 - language_model.VOCABULARY_BITS)])] += n
+    assert [np.log(held[c] + 1) for c in range(language_model.CLASSES)] == pytest.approx(network.log_class)
     assert language_model.score_documents(empty, language_model.fit_language_model(empty)).count() == 0
 
 
+def test_rare_words_are_joined_with_their_counts(spark):
+    # More distinct words than fit the frequent ones; copies and repeated rows score alike.
+    common = words(3, 40000, 30)
+    texts = [common, "once twice twice", "thrice " * 3, "once more", "once more", common]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = language_model.fit_language_model(docs, rounds=0)
+    counts = {r.word: r.n for r in model.counts.collect()}
+    assert len(model.network.frequent) < len(counts)
+    got = {r.id: r.log_likelihood for r in language_model.score_documents(docs, model).collect()}
+    everything = language_model.Model(**{**vars(model.network), "frequent": np.array(sorted(counts)), "times": np.array([counts[w] for w in sorted(counts)])})
+    whole = language_model.score_documents(docs, language_model.LanguageModel(everything, model.counts.limit(0)))
+    assert got == pytest.approx({r.id: r.log_likelihood for r in whole.collect()})
+    assert len(got) == 6 and got[3] == got[4] and got[0] == got[5]
+
+
 def test_training_raises_the_likelihood(spark):
     docs = queries.read(spark, "/root/testdata/sf0.01", "documents")
     means = []

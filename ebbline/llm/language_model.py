@@ -11,8 +11,8 @@ Training goes `ROUNDS` times over all documents: every task takes the model of t
 stochastic gradients over its own documents in numpy, and the results are averaged row by row, weighted by
 how often a task has seen a row.
 
-Counts of frequent words, 1 / `VOCABULARY` of all words or more each, travel with the network: these are
-`VOCABULARY` words at most. All other words are joined with the table, so no key of the join is hot.
+Counts of frequent words, 1 / `FREQUENT` of all words or more each, travel with the network: these are
+`FREQUENT` words at most. All other words are joined with the table, so no key of the join is hot.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from ebbline.llm.text_arrays import SPACED, hashed_words
 
 VOCABULARY_BITS = 15
 VOCABULARY = 1 << VOCABULARY_BITS
+#: Most words whose counts travel with the network.
+FREQUENT = 1 << 17
 #: Stands for what lies outside a document.
 OUTSIDE = VOCABULARY
 CLASSES, WINDOW, DIM, HIDDEN = 32, 2, 8, 16
@@ -164,12 +166,12 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 def _fresh(counts: DataFrame) -> Model:
-    """An untrained network; the driver gets `VOCABULARY` sums and as many frequent words at most."""
+    """An untrained network; the driver gets `VOCABULARY` sums and `FREQUENT` words at most."""
     bucket = F.shiftrightunsigned("word", 64 - VOCABULARY_BITS)
     found = counts.groupBy(bucket.alias("bucket")).agg(F.sum("n").alias("n")).toArrow()
     sums = np.zeros(VOCABULARY, np.int64)
     sums[found["bucket"].to_numpy()] = found["n"].to_numpy()
-    often = counts.where(F.col("n") * VOCABULARY >= int(sums.sum())).toArrow().sort_by("word")
+    often = counts.where(F.col("n") * FREQUENT >= int(sums.sum())).toArrow().sort_by("word")
     return Model.fresh(sums, often["word"].to_numpy(), often["n"].to_numpy())
 
 
@@ -234,12 +236,14 @@ def score_documents(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
     schema = f"id {dict(rows.dtypes)['id']}, text_hash long, n_words long, partial double, rare array<long>"
     scored = stored(text_batches(rows).mapInArrow(run, schema), "scored")
-    # Texts are one here however often they are repeated; a word that occurs once adds log 1.
-    texts = scored.where("size(rare) > 0").dropDuplicates(["text_hash"])
+    # A word that occurs once adds log 1. Copies of a text add up to one sum, divided among them.
+    texts = scored.where("size(rare) > 0")
     words = texts.select("text_hash", F.explode("rare").alias("word")).join(model.counts.where("n > 1"), "word")
-    added = words.groupBy("text_hash").agg(F.sum(F.ln("n")).alias("added"))
+    added = words.groupBy("text_hash").agg(F.sum(F.ln("n")).alias("sum"))
+    added = added.join(texts.groupBy("text_hash").agg(F.count("*").alias("copies")), "text_hash")
+    added = added.select("text_hash", (F.col("sum") / F.col("copies")).alias("added"))
     alone = scored.where("size(rare) = 0").withColumn("added", F.lit(0.0))
-    joined = scored.where("size(rare) > 0").join(added, "text_hash", "left")
+    joined = texts.join(added, "text_hash", "left")
     total = F.col("partial") + F.coalesce("added", F.lit(0.0))
     return alone.unionByName(joined).select(
         "id", "n_words", total.alias("log_likelihood"), F.when(F.col("n_words") > 0, total / F.col("n_words")).alias("mean_log_probability")

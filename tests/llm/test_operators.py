@@ -396,8 +396,8 @@ def test_pseudo_likelihood_by_hand(spark, odd, empty):
 
 
 def test_rare_words_are_joined_with_their_counts(spark):
-    # More distinct words than fit the frequent ones; copies and repeated rows score alike.
-    common = words(3, 40000, 30)
+    # Words too rare to travel with the network; copies and repeated rows score alike.
+    common = words(3, 4 * language_model.FREQUENT, 30)
     texts = [common, "once twice twice", "thrice " * 3, "once more", "once more", common]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     model = language_model.fit_language_model(docs, rounds=0)

@@ -4,6 +4,7 @@ from ebbline.plans.catalog.registry import ORACLES, QUERIES
 from ebbline.plans.catalog import (  # noqa: F401  (importing registers the queries)
     cleaning,
     evaluation,
+    facts,
     modelling,
     profiling,
     statistics,

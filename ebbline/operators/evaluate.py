@@ -164,7 +164,11 @@ def precision_summary(scored: DataFrame, by: str | None = None) -> DataFrame:
 
 
 def classification_report(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """Precision, recall, F1 and support per class, then macro and weighted averages."""
+    """Precision, recall, F1 and support per class, the accuracy, then macro and weighted averages.
+
+    The accuracy of all rows stands under ``f1_score`` of the row ``accuracy``, which has no precision
+    and no recall.
+    """
     counts = confusion_counts(scored, by)
     tp, fp, fn, tn = (F.col(c) for c in ("tp", "fp", "fn", "tn"))
     classes = counts.select(
@@ -208,7 +212,13 @@ def classification_report(scored: DataFrame, by: str | None = None) -> DataFrame
             )
         ),
     )
-    return classes.unionByName(average_rows)
+    total = tp + fp + fn + tn
+    unknown = F.lit(None).cast("double")
+    accuracy_row = counts.select(
+        *_keys(by), F.lit("accuracy").alias("class"), unknown.alias("precision"), unknown.alias("recall"),
+        ratio(tp + tn, total).alias("f1_score"), total.alias("support"),
+    )
+    return classes.unionByName(accuracy_row).unionByName(average_rows)
 
 
 def business_metrics(

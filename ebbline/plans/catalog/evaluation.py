@@ -94,6 +94,7 @@ REPORT = """cls AS (SELECT model, 'No Churn' AS class, COALESCE(tn/NULLIF(tn+fn,
       COALESCE(2*tn/NULLIF(2*tn+fn+fp,0),0) AS f1, tn+fp AS support FROM k
     UNION ALL SELECT model, 'Churn', COALESCE(tp/NULLIF(tp+fp,0),0), COALESCE(tp/NULLIF(tp+fn,0),0), COALESCE(2*tp/NULLIF(2*tp+fp+fn,0),0), tp+fn FROM k),
   rep AS (SELECT * FROM cls
+    UNION ALL SELECT model, 'accuracy', NULL, NULL, COALESCE((tp+tn)/NULLIF(tp+tn+fp+fn,0),0), tp+tn+fp+fn FROM k
     UNION ALL SELECT model, 'macro avg', AVG(pr), AVG(re), AVG(f1), SUM(support) FROM cls GROUP BY model
     UNION ALL SELECT model, 'weighted avg', SUM(pr*support)/SUM(support), SUM(re*support)/SUM(support), SUM(f1*support)/SUM(support), SUM(support) FROM cls GROUP BY model)"""
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ebbline.config import ROLES
 from ebbline.operators import adjust as A
 from ebbline.operators import models as M
 from ebbline.operators import score as S
@@ -182,6 +183,19 @@ def _(t):
     return _result(t, "c34_attribution_totals").select(F.round(F.col("total_impact") / F.col("average_impact"), 2).cast("long").alias("n"))
 
 
+GAPS = "+".join(f'COUNT(*) FILTER ("{c}" IS NULL)' for c in ROLES.features)
+
+
+@query("c32b_summary_facts", WIDTH + f" SELECT n, CAST({len(ROLES.features)} AS BIGINT) AS columns, (SELECT {GAPS} FROM cl)*1e0 AS gaps, TRUE AS correlations FROM nf")
+def _(t):
+    section, value = F.col("section"), F.col("value")
+    counts = section.endswith("_feature")
+    return _result(t, "c32_feature_summary").agg(
+        F.count_if(section == "importance").alias("n"), F.count_if(counts).alias("columns"), F.sum(F.when(counts, value)).alias("gaps"),
+        _always((section != "correlation") | value.between(-1, 1), "correlations"),
+    )
+
+
 @query("x03b_probability_facts", TEST + " SELECT n, churned, TRUE AS probabilities FROM ts")
 def _(t):
     return _result(t, "x03_positive_class_probability").agg(
@@ -239,7 +253,7 @@ def _(t):
     p = F.col("Churn_Probability")
     # Probabilities are rounded to 6 digits here, so rows at the border itself may go either way.
     decided = ((F.col("Churn_Prediction") == 1) == (p > 0.5)) | (F.abs(p - 0.5) < 1e-6)
-    sure = F.abs(F.greatest(p, 1 - p) - F.col("Prediction_Confidence")) < 2e-6
+    sure = F.abs(F.abs(p - 0.5) * 2 - F.col("Prediction_Confidence")) < 3e-6
     return _score_facts(_result(t, "s01_batch_scoring"), decided & sure)
 
 

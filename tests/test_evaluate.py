@@ -111,7 +111,9 @@ def test_report_and_confusion(scored):
     shares = V.confusion_matrix(df, "model", normalise=True).collect()
     assert sum(r.share for r in shares) == pytest.approx(6)
     report = {r["class"]: r for r in V.classification_report(df.where("model = 'noisy'")).collect()}
-    assert set(report) == {"No Churn", "Churn", "macro avg", "weighted avg"}
+    assert set(report) == {"No Churn", "Churn", "accuracy", "macro avg", "weighted avg"}
+    assert report["accuracy"].precision is None and report["accuracy"].support == 2000
+    assert report["accuracy"].f1_score == pytest.approx(report["weighted avg"].recall)
     assert report["weighted avg"].recall == pytest.approx(V.classification_metrics(df.where("model = 'noisy'")).first().accuracy)
 
 

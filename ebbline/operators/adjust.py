@@ -13,7 +13,7 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,23 +83,38 @@ def _stratum_cells(
             F.count(F.lit(1)).alias("n"),
             *[F.count_if(arm).alias(f"n{a}") for a, arm in arms.items()],
             *[F.avg(F.when(arm, y)).alias(f"m{a}") for a, arm in arms.items()],
-            *[F.coalesce(F.var_samp(F.when(arm, y)), F.lit(0.0)).alias(f"v{a}") for a, arm in arms.items()],
+            *[F.var_samp(F.when(arm, y)).alias(f"v{a}") for a, arm in arms.items()],
         )
     )
 
 
+def _squared_error(weight: Column, total: Column, arms: Sequence[tuple[str, str]]) -> Column:
+    """Aggregate: variance of a weighted mean of differences, from columns (rows, variance) of each arm.
+
+    An arm of one row has no variance of its own; it takes the pooled one of the other arms. Where no
+    arm has two rows the result is null, so nothing is called significant.
+    """
+    square = weight.cast("double") * weight
+    own = sum((F.coalesce(F.try_divide(F.col(v), F.col(n)), F.lit(0.0)) for n, v in arms), F.lit(0.0))
+    single = sum(((F.col(n) == 1).cast("int") for n, _ in arms), F.lit(0))
+    spread = sum((F.coalesce((F.col(n) - 1) * F.col(v), F.lit(0.0)) for n, v in arms), F.lit(0.0))
+    freedom = sum((F.greatest(F.col(n) - 1, F.lit(0)) for n, _ in arms), F.lit(0))
+    counted = weight.isNotNull()
+    pooled = F.try_divide(F.sum(F.when(counted, spread)), F.sum(F.when(counted, freedom)))
+    borrowed = F.sum(square * single)
+    summed = F.sum(square * own) + F.when(borrowed > 0, pooled * borrowed).otherwise(0.0)
+    return F.try_divide(summed, total.cast("double") * total)
+
+
 def _combine_strata(cells: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Weighted effect over the strata that hold both arms."""
     overlap = (F.col("n1") > 0) & (F.col("n0") > 0)
     weight = F.when(overlap, F.col("n"))
     effect = F.col("m1") - F.col("m0")
-    spread = F.try_divide(F.col("v1"), F.col("n1")) + F.try_divide(F.col("v0"), F.col("n0"))
     total = F.sum(weight)
     return cells.groupBy(*by).agg(
         F.try_divide(F.sum(weight * effect), total).alias("effect"),
-        F.try_divide(
-            F.sum(weight.cast("double") * weight * spread), total.cast("double") * total
-        ).alias("variance"),
+        _squared_error(weight, total, [("n1", "v1"), ("n0", "v0")]).alias("variance"),
         F.count_if(overlap).alias("strata_used"),
         F.coalesce(total, F.lit(0)).alias("rows_used"),
         F.sum("n").alias("rows_total"),
@@ -134,7 +149,7 @@ def level_contrasts(
         .agg(
             F.count(F.lit(1)).alias("n"),
             F.avg(y).alias("m"),
-            F.coalesce(F.var_samp(y), F.lit(0.0)).alias("v"),
+            F.var_samp(y).alias("v"),
         )
     )
     base = cells.where(F.col("level") == reference).select(
@@ -144,13 +159,10 @@ def level_contrasts(
     # Without strata the reference is a single row.
     paired = others.join(base, strata) if strata else others.crossJoin(F.broadcast(base))
     weight = F.col("n") + F.col("ref_n")
-    spread = F.col("v") / F.col("n") + F.col("ref_v") / F.col("ref_n")
     total = F.sum(weight)
     combined = paired.groupBy("level").agg(
         F.try_divide(F.sum(weight * (F.col("m") - F.col("ref_m"))), total).alias("effect"),
-        F.try_divide(
-            F.sum(weight.cast("double") * weight * spread), total.cast("double") * total
-        ).alias("variance"),
+        _squared_error(weight, total, [("n", "v"), ("ref_n", "ref_v")]).alias("variance"),
         total.alias("rows_used"),
     )
     named = combined.withColumns(

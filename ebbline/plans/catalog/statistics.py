@@ -236,10 +236,13 @@ def _(t):
 
 
 ADJUSTED = f"""g AS (SELECT {BAND} AS s1, "Partner" AS s2, "Contract" AS lvl, COUNT(*)*1e0 AS n, AVG("Churn") AS m,
-      COALESCE(VAR_SAMP("Churn"),0) AS v FROM cl WHERE {BAND} IS NOT NULL GROUP BY 1,2,3),
-    d AS (SELECT g.lvl, SUM((g.n+b.n)*(g.m-b.m))/SUM(g.n+b.n) AS eff,
-      SQRT(SUM(POWER(g.n+b.n,2)*(g.v/g.n+b.v/b.n))/POWER(SUM(g.n+b.n),2)) AS se, CAST(SUM(g.n+b.n) AS BIGINT) AS rows_used
-      FROM g JOIN g b ON g.s1=b.s1 AND g.s2=b.s2 AND b.lvl='Two year' WHERE g.lvl<>'Two year' GROUP BY g.lvl),
+      VAR_SAMP("Churn") AS v FROM cl WHERE {BAND} IS NOT NULL GROUP BY 1,2,3),
+    j AS (SELECT g.lvl, g.n AS n1, g.m AS m1, g.v AS v1, b.n AS n0, b.m AS m0, b.v AS v0
+      FROM g JOIN g b ON g.s1=b.s1 AND g.s2=b.s2 AND b.lvl='Two year' WHERE g.lvl<>'Two year'),
+    po AS (SELECT lvl, SUM(COALESCE((n1-1)*v1,0)+COALESCE((n0-1)*v0,0))/NULLIF(SUM(n1+n0-2),0) AS pooled FROM j GROUP BY lvl),
+    d AS (SELECT j.lvl, SUM((n1+n0)*(m1-m0))/SUM(n1+n0) AS eff,
+      SQRT(SUM(POWER(n1+n0,2)*(COALESCE(v1,pooled)/n1+COALESCE(v0,pooled)/n0))/POWER(SUM(n1+n0),2)) AS se,
+      CAST(SUM(n1+n0) AS BIGINT) AS rows_used FROM j JOIN po ON j.lvl=po.lvl GROUP BY j.lvl),
     dd AS (SELECT *, {normal_p('(eff/se)')} AS p FROM d)"""
 
 

@@ -213,3 +213,15 @@ def test_policy_scenarios(spark, cleaned):
     assert a.new_churn == pytest.approx(a.baseline_churn * 0.985)
     assert a.total_cost == pytest.approx(a.customers * 1.0) and a.roi is not None
     assert b.roi is None and b.recommended is False
+
+
+def test_one_row_arms_take_the_pooled_variance(spark):
+    rows = [("a", 1, 1.0), ("a", 1, 3.0), ("a", 0, 0.0), ("a", 0, 4.0), ("b", 1, 5.0), ("b", 0, 1.0), ("b", 0, 3.0)]
+    got = A.stratified_effect(spark.createDataFrame(rows, "s string, t int, y double"), "t", "y", ["s"]).first()
+    # Variances 2, 8 and 2 with one degree of freedom each pool to 4, which the single row of b takes.
+    variance = (16 * (2 / 2 + 8 / 2) + 9 * (4 / 1 + 2 / 2)) / 49
+    assert got.rows_used == 7 and got.Estimated_Effect == pytest.approx((4 * 0 + 3 * 3) / 7)
+    assert got.CI_Upper - got.Estimated_Effect == pytest.approx(1.959964 * variance**0.5, rel=1e-5)
+    single = spark.createDataFrame([("a", 1, 1.0), ("a", 0, 0.0)], "s string, t int, y double")
+    got = A.stratified_effect(single, "t", "y", ["s"]).first()
+    assert got.Estimated_Effect == 1.0 and got.P_Value is None and got.Significant is False

@@ -5,8 +5,9 @@ notice, advert, form or comment section becomes an empty line. Text lengths with
 over a sliding window of lines. Where the sum surges above a threshold a stretch of text begins, where
 it dives to it the stretch ends; the lines between are kept.
 
-Inside an explicit article any text is a surge, so no short block of it is lost. Without one the
-threshold follows the densest window of the page.
+One threshold, which follows the densest window of the page, holds for all lines. An explicit article only
+adds weight: its lines count several times, so that short blocks of it surge too, while its lists of links
+do not, and dense text outside of it is kept.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from ebbline.llm.shared import text_batches
 
 #: Lines of a window; share of the densest window, and characters, above which a window is text.
 WINDOW, SHARE, ENOUGH = 3, 0.1, 40
+#: Times that the length of an article's line counts.
+WEIGHT = 8
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -47,6 +50,7 @@ BOILERPLATE_WORDS = set(
     "consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended widget toolbar pagination pager skip search searchbox form contentinfo complementary".split()
 )
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that begin a line.
 BLOCKS = set(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 "
@@ -79,6 +83,7 @@ def _is_header(name: str, rest: str) -> bool:
 def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
     """Lines of a page in order, their text lengths outside links, and whether they stand in an article.
 
+    Links in a heading of an article, and in a line of it that is mostly other text, count as text.
     Lines of boilerplate are empty. Unclosed elements end with the page or with an element around them.
     """
     texts: list[str] = []
@@ -91,12 +96,13 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
     dropped = articles = links = 0
     at, end, find = 0, len(page), _TOKEN.search
 
-    def flush() -> None:
+    def flush(heading: bool = False) -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
         texts.append(text)
-        lengths.append(max(0, len(text) - linked))
+        own = max(0, len(text) - linked)
+        lengths.append(len(text) if articles and (heading or 2 * own > len(text)) else own)
         inside.append(articles > 0)
         linked = 0
 
@@ -125,7 +131,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
             if name == "a":
                 links = max(0, links - 1)
             elif name in BLOCKS:
-                flush()
+                flush(name in HEADINGS)
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
                     for _, drops, article in stack[depth:]:
@@ -175,16 +181,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     texts, lengths, inside = lines(page)
-    # Lines of an article count with their links: a short linked block of it is text too.
     article = np.array(inside, bool)
-    if article.any():
-        lengths = np.where(article, [len(t) for t in texts], 0)
-        least = 0.0
-    else:
-        windows = np.convolve(lengths, np.ones(WINDOW, np.int64))
-        least = min(ENOUGH, SHARE * windows.max()) if len(windows) else 0.0
+    full = np.array([len(t) for t in texts], np.int64)
+    # A link that stands alone between other lines of an article is text, a list of links is not.
+    own = np.flatnonzero(article & (full > 0))
+    linked = np.r_[False, lengths[own] == 0, False]
+    lone = own[linked[1:-1] & ~linked[:-2] & ~linked[2:]]
+    lengths[lone] = full[lone]
+    if not lengths.any():
+        # Nothing but links: those of an article are its text.
+        lengths = np.where(article, full, 0)
+    windows = np.convolve(lengths, np.ones(WINDOW, np.int64))
+    least = min(ENOUGH, SHARE * windows.max())
     kept: list[str] = []
-    for first, last in stretches(lengths, least):
+    for first, last in stretches(np.where(article, WEIGHT * lengths, lengths), least):
         kept += [t for t, n in zip(texts[first:last], lengths[first:last], strict=True) if n]
     return "\n".join(kept)
 

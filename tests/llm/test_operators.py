@@ -95,6 +95,15 @@ def test_main_text_of_pages():
     assert main_text.main_text("<p>" + "long " * 200_000) == ("long " * 200_000).strip()
 
 
+def test_main_text_weighs_an_article_by_density():
+    body = "A sentence that goes on for a while, as those of an article do on most pages."
+    links = "".join(f"<li><a href=x>Another page with a long title {i}</a></li>" for i in range(9))
+    page = f"<article><h1><a href=x>Head</a></h1><p>{body}</p><p><a href=x>Source</a></p><p>{body} <a href=x>one</a></p><ul>{links}</ul><p>End.</p></article>"
+    # Unmarked lists of links in an article go, dense text outside of it stays.
+    assert main_text.main_text(page + f"<div>{body} out</div>") == f"Head\n{body}\nSource\n{body} one\nEnd.\n{body} out"
+    assert main_text.main_text("<article><p><a href=x>All linked</a></p></article>") == "All linked"
+
+
 def test_main_text_stretches():
     lengths = np.array([0, 0, 50, 0, 0, 0, 0, 60, 5, 60, 0, 0, 0, 3])
     assert main_text.stretches(lengths, 20) == [(2, 3), (7, 10)]

@@ -3,7 +3,8 @@
 Markup is stripped into lines, one per block element; a line of a menu, header, footer, sidebar,
 notice, advert, form or comment section becomes an empty line. Text lengths without links are summed
 over a sliding window of lines. Where the sum surges above a threshold a stretch of text begins, where
-it dives to it the stretch ends; the lines between are kept.
+it dives to it the stretch ends; the lines between are kept. A container known as boilerplate only by a name
+is restored if it holds most of the page's text, and the densest.
 
 One threshold, which follows the densest window of the page, holds for all lines. An explicit article only
 adds weight: its lines count several times, so that short blocks of it surge too, while its lists of links
@@ -27,13 +28,15 @@ from ebbline.llm.shared import text_batches
 WINDOW, SHARE, ENOUGH = 3, 0.1, 40
 #: Times that the length of an article's line counts.
 WEIGHT = 8
+#: Characters of a window that only running text has.
+PROSE = 200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)",
     re.S,
 )
-_NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -43,13 +46,24 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that belong to no article.
 BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "select", "button", "menu", "dialog", "fieldset", "label", "datalist"}
-#: Words in a class, id or role by which a container is known as boilerplate.
+#: Words in a class, id, role or label by which a container is known as boilerplate, if its whole name consists of these and PLACES.
 BOILERPLATE_WORDS = set(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
     "breadcrumbs header masthead footer sidebar aside comment comments discussion disqus reply replies responses cookie cookies "
     "consent notice notices gdpr popup modal overlay newsletter subscribe subscription signup login share sharing social related "
     "recommended widget toolbar pagination pager skip search searchbox form contentinfo complementary".split()
 )
+#: Words that say nothing of the content.
+PLACES = set(
+    "site page main global top bottom left right primary secondary container wrapper wrap inner outer box area bar block section list item "
+    "items links link button buttons icons icon row col column columns panel".split()
+)
+#: Words that name a part of an article as well.
+TOPICS = set(
+    "promotion banner header discussion reply replies responses consent notice notices subscription share sharing social related "
+    "recommended skip search form widget".split()
+)
+COMMENTS = {"comment", "comments", "disqus"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that begin a line.
 BLOCKS = set(
@@ -58,41 +72,43 @@ BLOCKS = set(
 )
 
 
-def _is_boilerplate(name: str, rest: str) -> bool:
-    if name in BOILERPLATE:
-        return True
-    if name in {"html", "body", "article", "main"} or not rest:
-        return name == "article" and _named(rest)
-    return _named(rest) or bool(_HIDDEN.search(rest))
-
-
-def _words(rest: str) -> set[str]:
-    """Boilerplate words in class, id and role."""
-    found = (next(filter(None, match.groups()), "") for match in _NAMES.finditer(rest))
-    return BOILERPLATE_WORDS.intersection(*[[w for names in found for w in _WORD.findall(names.lower())]])
-
-
-def _named(rest: str) -> bool:
-    return bool(rest) and bool(_words(rest))
+def _names(rest: str) -> list[set[str]]:
+    """Words of each whole name in class, id and role, and of each label."""
+    found = []
+    for kind, *values in _NAMES.findall(rest):
+        value = next(filter(None, values), "").lower()
+        found += [set(_WORD.findall(n)) for n in ([value] if kind.lower() == "aria-label" else value.split())]
+    return found
 
 
-def _is_header(name: str, rest: str) -> bool:
-    return _words(rest) <= {"header"} and (name == "header" or name not in BOILERPLATE)
+def _words(name: str, rest: str, within: bool) -> set[str]:
+    """Words of the names that say nothing but boilerplate; within an article only those that cannot name a part of it."""
+    if not rest or name in HEADINGS or name in {"html", "body", "main"}:
+        return set()
+    known = BOILERPLATE_WORDS
+    if within:
+        known = COMMENTS if name == "section" else BOILERPLATE_WORDS - TOPICS
+    return set().union(*(n & known for n in _names(rest) if n & known and n <= known | PLACES))
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
+def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list[bool]]:
     """Lines of a page in order, their text lengths outside links, and whether they stand in an article.
 
+    Then for each line the number of the innermost container around it that is boilerplate by name, 0 if
+    none, and for each number whether its names or those around it speak of comments.
+
     Links in a heading of an article, and in a line of it that is mostly other text, count as text.
     Lines of boilerplate are empty. Unclosed elements end with the page or with an element around them.
     """
     texts: list[str] = []
     lengths: list[int] = []
     inside: list[bool] = []
+    named: list[int] = []
+    comments, within = [False], [0]
     parts: list[str] = []
     linked = 0
-    # Open containers: name, whether it is the top of a dropped part, whether it is an article.
-    stack: list[tuple[str, bool, bool]] = []
+    # Open containers: name, whether it is the top of a dropped part, whether it is an article, its number if known by name.
+    stack: list[tuple[str, bool, bool, int]] = []
     dropped = articles = links = 0
     at, end, find = 0, len(page), _TOKEN.search
 
@@ -104,6 +120,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
         own = max(0, len(text) - linked)
         lengths.append(len(text) if articles and (heading or 2 * own > len(text)) else own)
         inside.append(articles > 0)
+        named.append(within[-1])
         linked = 0
 
     def add(raw: str, decode: bool = True) -> None:
@@ -134,9 +151,11 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
                 flush(name in HEADINGS)
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
                 if depth is not None:
-                    for _, drops, article in stack[depth:]:
+                    for _, drops, article, number in stack[depth:]:
                         dropped -= drops
                         articles -= article
+                        if number:
+                            within.pop()
                     del stack[depth:]
             continue
         if name in RAW:
@@ -157,30 +176,65 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
             links = 0
         # A block ends an open paragraph, an item the item before.
         if stack and (stack[-1][0] == "p" and name in BLOCKS or stack[-1][0] == name == "li"):
-            _, drops, article = stack.pop()
+            _, drops, article, number = stack.pop()
             dropped -= drops
             articles -= article
+            if number:
+                within.pop()
         if name in {"article", "main", "body"} and any(open_[0] in {"nav", "header", "head"} for open_ in stack) and not articles:
             # The page left its menu or header open.
-            stack = [(n, d and n not in {"nav", "header", "head"}, a) for n, d, a in stack]
-            dropped = sum(d for _, d, _ in stack)
-        # The header of an article holds its headings.
-        drops = _is_boilerplate(name, rest) and not (articles and _is_header(name, rest))
-        article = not drops and not dropped and (name in {"article", "main"} or "articlebody" in rest.lower())
+            stack = [(n, d and n not in {"nav", "header", "head"}, a, w) for n, d, a, w in stack]
+            dropped = sum(d for _, d, _, _ in stack)
         if rest.endswith("/") and name not in BLOCKS:
             continue
+        words = _words(name, rest, articles > 0)
+        # The header of an article holds its headings.
+        drops = name in BOILERPLATE and not (articles and name == "header" and not words)
+        drops = drops or bool(rest) and name not in {"html", "body", "article", "main"} and bool(_HIDDEN.search(rest))
+        number = 0
+        if words and not drops and not dropped:
+            number = len(comments)
+            comments.append(comments[within[-1]] or not COMMENTS.isdisjoint(words))
+            within.append(number)
+        article = not drops and not dropped and not within[-1]
+        article = article and (name in {"article", "main"} or "articlebody" in rest.lower())
         dropped += drops
         articles += article
-        stack.append((name, drops, article))
+        stack.append((name, drops, article, number))
     flush()
-    return texts, np.array(lengths, np.int64), inside
+    return texts, np.array(lengths, np.int64), inside, named, comments
+
+
+def _densest(lengths: np.ndarray) -> int:
+    return int(np.convolve(lengths, np.ones(WINDOW, np.int64)).max())
+
+
+def _without_named(lengths: np.ndarray, named: list[int], comments: list[bool]) -> np.ndarray:
+    """Whether each line stays: those of a container known by name only if it holds the densest and most of the text.
+
+    Comments stay only where nothing else on the page is running text.
+    """
+    of = np.array(named, np.int64)
+    stays = of == 0
+    most, total = _densest(np.where(stays, lengths, 0)), lengths[stays].sum()
+    sums = np.bincount(of, lengths, len(comments))
+    for kind in (False, True):
+        if kind and _densest(np.where(stays, lengths, 0)) >= PROSE:
+            break
+        for number in np.flatnonzero((sums >= max(PROSE, total + 1)) & (np.array(comments) == kind)):
+            if number and _densest(np.where(of == number, lengths, 0)) >= max(PROSE, most):
+                stays |= of == number
+    return stays
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by a line feed; empty for null, empty and textless pages."""
     if not page:
         return ""
-    texts, lengths, inside = lines(page)
+    texts, lengths, inside, named, comments = lines(page)
+    if any(named):
+        stays = _without_named(lengths, named, comments)
+        texts, lengths = [t if s else "" for t, s in zip(texts, stays, strict=True)], np.where(stays, lengths, 0)
     article = np.array(inside, bool)
     full = np.array([len(t) for t in texts], np.int64)
     # A link that stands alone between other lines of an article is text, a list of links is not.

@@ -104,6 +104,26 @@ def test_main_text_weighs_an_article_by_density():
     assert main_text.main_text("<article><p><a href=x>All linked</a></p></article>") == "All linked"
 
 
+def test_main_text_is_not_lost_by_a_word():
+    body = "A sentence that goes on for a while, as those of an article do on most pages. " * 4
+    text = body.strip()
+    blocks = f"<div><p>{body}</p></div><div><p>{body}</p></div>"
+    teaser = "<article><h2>Teaser</h2></article>"
+    for page in (
+        f"<main></main>{blocks}",
+        f"{blocks}<div class=related>{teaser}</div>",
+        *(f'<div class="{c}">{blocks}</div>' for c in ("content has-sidebar", "no-sidebar", "content sidebar", "widget")),
+        f"<div class=widget>{blocks}<div class=ad>{text[:80]}</div><div class=comments><div class=reply><p>{body} {body} {body}</p></div></div></div>",
+        f'<article class="post category-social tag-search">{blocks}</article>',
+        f"{blocks}<div class=comments><p>{body} no</p><p>{body} no</p><p>{body} no</p></div>",
+        f"{blocks}<div class='main-nav site-menu'>Home or away</div><p class=cookie-notice>{text[:80]}</p><div role=search aria-label='Site search'>Find it</div>",
+    ):
+        assert main_text.main_text(page) == f"{text}\n{text}"
+    assert main_text.main_text(f"{teaser}{blocks}") == f"Teaser\n{text}\n{text}"
+    page = f"<article><p>{body}</p><h2 id=related-work>Related work</h2><p>{body}</p><section id=discussion><h2 class=header>Discussion</h2><p>{body}</p></section></article>"
+    assert main_text.main_text(page) == f"{text}\nRelated work\n{text}\nDiscussion\n{text}"
+
+
 def test_main_text_stretches():
     lengths = np.array([0, 0, 50, 0, 0, 0, 0, 60, 5, 60, 0, 0, 0, 3])
     assert main_text.stretches(lengths, 20) == [(2, 3), (7, 10)]

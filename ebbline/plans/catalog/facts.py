@@ -120,16 +120,15 @@ def _model_facts(t, trained: M.TrainedModel) -> DataFrame:
 
 
 FITTED = TEST + " SELECT n, churned, TRUE AS probabilities, TRUE AS accuracy_agrees FROM ts"
-BOOSTED = {"overrides": B.SMALL_BOOSTING}
-
-for _name, _algorithm, _options in (
-    ("m09b_random_forest_facts", "RandomForest", {}),
-    ("m10b_logistic_regression_facts", "LogisticRegression", {}),
-    ("m11b_probability_svm_facts", "SVM", {}),
-    ("m12b_gradient_boosting_facts", "GradientBoosting", BOOSTED),
-    ("m13b_gradient_boosting_leafwise_facts", "GradientBoostingLeafwise", BOOSTED),
+
+for _name, _algorithm in (
+    ("m09b_random_forest_facts", "RandomForest"),
+    ("m10b_logistic_regression_facts", "LogisticRegression"),
+    ("m11b_probability_svm_facts", "SVM"),
+    ("m12b_gradient_boosting_facts", "GradientBoosting"),
+    ("m13b_gradient_boosting_leafwise_facts", "GradientBoostingLeafwise"),
 ):
-    query(_name, FITTED)(lambda t, a=_algorithm, o=_options: _model_facts(t, B._trained(t, a, **o)))
+    query(_name, FITTED)(lambda t, a=_algorithm: _model_facts(t, B._trained(t, a)))
 
 
 @query("m14b_grid_facts", "SELECT 'LogisticRegression' AS model, TRUE AS better_than_chance, COUNT(*)>0 AS tested FROM cl")

@@ -1,7 +1,8 @@
 """Queries: encoding, models, attribution and scoring.
 
-Fits use small grids and few trees; the rows are always the whole table. One prepared table, one
-forest and one logistic model per folder are shared by the queries of a session.
+Model queries call the operators with their defaults: whole grids, all folds and trees, all rows. One
+prepared table, the tuned models, and one forest and one logistic model of the first grid point for
+attribution and scoring are shared per folder by the queries of a session.
 """
 
 from __future__ import annotations
@@ -25,9 +26,6 @@ from ebbline.plans.catalog.statistics import STUDENT_P
 from ebbline.session import shared_folder
 from ebbline.sources import readers, writers
 
-#: Boosting of the registered queries; forests are fitted with the operator's defaults.
-SMALL_BOOSTING = {"maxIter": 8, "maxDepth": 3}
-
 _kept: dict = {}
 
 
@@ -55,7 +53,7 @@ def _trained(t, name, **options) -> M.TrainedModel:
     p = _prepared(t)
     return _once(
         t, (name, str(options)),
-        lambda: M.train_model(name, p.train, p.test, **{"budget": 1, "overrides": {}, **options}),
+        lambda: M.train_model(name, p.train, p.test, **options),
     )
 
 
@@ -65,11 +63,11 @@ def _encoded(t):
 
 
 def _forest(t):
-    return _trained(t, "RandomForest")
+    return _trained(t, "RandomForest", budget=1)
 
 
 def _logistic(t):
-    return _trained(t, "LogisticRegression")
+    return _trained(t, "LogisticRegression", budget=1)
 
 
 def _attributions(t):
@@ -177,7 +175,7 @@ def _(t):
 @query("m07_recursive_elimination")
 def _(t):
     p = _prepared(t)
-    return M.eliminate_features(p.train, p.names, keep=15, step=12, trees=10, depth=4)
+    return M.eliminate_features(p.train, p.names)
 
 
 @query("m08_forest_importance")
@@ -199,12 +197,12 @@ def _summary(t, trained):
 
 @query("m09_random_forest")
 def _(t):
-    return _summary(t, _forest(t))
+    return _summary(t, _trained(t, "RandomForest"))
 
 
 @query("m10_logistic_regression")
 def _(t):
-    return _summary(t, _logistic(t))
+    return _summary(t, _trained(t, "LogisticRegression"))
 
 
 @query("m11_probability_svm")
@@ -214,17 +212,17 @@ def _(t):
 
 @query("m12_gradient_boosting")
 def _(t):
-    return _summary(t, _trained(t, "GradientBoosting", overrides=SMALL_BOOSTING))
+    return _summary(t, _trained(t, "GradientBoosting"))
 
 
 @query("m13_gradient_boosting_leafwise")
 def _(t):
-    return _summary(t, _trained(t, "GradientBoostingLeafwise", overrides=SMALL_BOOSTING))
+    return _summary(t, _trained(t, "GradientBoostingLeafwise"))
 
 
 @query("m14_grid_search")
 def _(t):
-    trained = _trained(t, "LogisticRegression", budget=2, folds=3)
+    trained = _trained(t, "LogisticRegression")
     return t.spark.createDataFrame(
         [(trained.name, str(trained.params), trained.cv_auc, trained.roc_auc)],
         "model string, params string, cv_auc double, roc_auc double",
@@ -232,12 +230,11 @@ def _(t):
 
 
 def _all(t):
-    options = {
-        "RandomForest": {},
-        "GradientBoosting": {"overrides": SMALL_BOOSTING},
-        "LogisticRegression": {},
-    }
-    return {name: _trained(t, name, **o) for name, o in options.items()}
+    return {name: _trained(t, name) for name in ("RandomForest", "GradientBoosting", "LogisticRegression")}
+
+
+def _defaults(t):
+    return {name: _trained(t, name) for name in M.DEFAULT_ALGORITHMS}
 
 
 @query("m15_best_of_all_models")
@@ -251,10 +248,29 @@ def _(t):
     return M.compare_models(_all(t), _prepared(t).test)
 
 
+def _accuracies(t, trained):
+    rows = [(m.name, m.train_accuracy, m.test_accuracy) for m in trained.values()]
+    return t.spark.createDataFrame(rows, "model string, train_accuracy double, test_accuracy double")
+
+
 @query("m17_train_and_test_accuracy")
 def _(t):
-    rows = [(m.name, m.train_accuracy, m.test_accuracy) for m in _all(t).values()]
-    return t.spark.createDataFrame(rows, "model string, train_accuracy double, test_accuracy double")
+    return _accuracies(t, _all(t))
+
+
+@query("m15c_best_of_default_algorithms")
+def _(t):
+    return _summary(t, M.best_trained(_defaults(t)))
+
+
+@query("m16c_comparison_of_default_algorithms")
+def _(t):
+    return M.compare_models(_defaults(t), _prepared(t).test)
+
+
+@query("m17c_accuracy_of_default_algorithms")
+def _(t):
+    return _accuracies(t, _defaults(t))
 
 
 @query("c32_feature_summary")

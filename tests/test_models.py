@@ -195,3 +195,26 @@ def test_csv_round_trip_keeps_blanks(spark, base, tmp_path):
 
 def test_weights_and_roles():
     assert len(ROLES.categorical) == 16 and len(ROLES.features) == 19
+
+
+def test_catalog_fits_with_the_operators_defaults(monkeypatch):
+    from types import SimpleNamespace
+
+    from ebbline.plans.catalog import modelling as B
+    from ebbline.plans.catalog import registry
+
+    calls = []
+    session = SimpleNamespace(sparkContext=SimpleNamespace(applicationId="none"))
+    monkeypatch.setattr(registry, "rounded", lambda result: result)
+    monkeypatch.setattr(B, "_kept", {})
+    monkeypatch.setattr(B, "_prepared", lambda t: SimpleNamespace(train="train", test="test", names=["a"]))
+    monkeypatch.setattr(B, "_summary", lambda t, trained: trained)
+    monkeypatch.setattr(M, "train_model", lambda *args, **options: calls.append((args[0], options)) or M.TrainedModel(args[0], None, roc_auc=0.5))
+    monkeypatch.setattr(M, "eliminate_features", lambda *args, **options: calls.append(("eliminate", options)))
+    monkeypatch.setattr(M, "compare_models", lambda trained, test: list(trained))
+    for name in ("m07_recursive_elimination", "m09_random_forest", "m10_logistic_regression", "m12_gradient_boosting", "m13_gradient_boosting_leafwise"):
+        registry.QUERIES[name](session, "none")
+    names = ["eliminate", "RandomForest", "LogisticRegression", "GradientBoosting", "GradientBoostingLeafwise"]
+    assert calls == [(name, {}) for name in names]
+    assert registry.QUERIES["m16c_comparison_of_default_algorithms"](session, "none") == list(M.DEFAULT_ALGORITHMS)
+    assert len(calls) == 5

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ebbline.llm.shared import text_batches
+from ebbline.llm.shared import stored, text_batches
 from ebbline.llm.text_arrays import BLOCK, utf8
 
 #: Labelled rows of each class in the sample at most, and bytes of a text at most: evenly spaced pieces.
@@ -189,12 +189,14 @@ def _piece(text: str) -> str:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality") -> pa.Table:
     """`text`, `label`, `weight`: up to SAMPLE_ROWS rows of each class, first by a hash of the id.
 
-    Labels of one id are combined to the largest. Weights give both classes their share of all labels.
-    Held-out rows, null labels and null texts are no part of it.
+    Labels of one id are combined to the largest. Weights give both classes their share of all labels of docs.
+    Held-out rows, null labels, null texts and ids that docs lack are no part of it and take no place in it.
     """
     marked = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(label_col).alias("label"))
     marked = marked.where(F.col("label").isNotNull() & F.col("labelled").isNotNull() & ~held_out("labelled"))
     marked = marked.withColumn("label", (F.col("label") >= 1).cast("int"))
+    present = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("labelled"))
+    marked = stored(marked.join(present, "labelled", "left_semi"), "labelled")
     shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("labelled"), F.col("labelled")]
     chosen = [marked.where(F.col("label") == x).orderBy(*order).limit(SAMPLE_ROWS) for x in (0, 1)]
@@ -220,7 +222,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
     """A network for the labels. Without any label in the sample every text scores 0.5."""
-    sample = labelled_sample(docs, labels, id_col, text_col, label_col)
+    return _fitted(labelled_sample(docs, labels, id_col, text_col, label_col))
+
+
+def _fitted(sample: pa.Table) -> Network:
     return fit(sample["text"], sample["label"].to_numpy(), sample["weight"].to_numpy())
 
 
@@ -255,6 +260,12 @@ def score_quality(docs: DataFrame, network: Network, text_col: str = "text") ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text scores `KEPT_FROM` or more, with all their columns."""
-    network = fit_quality(docs, labels, id_col, text_col)
+    """The rows of docs whose text scores `KEPT_FROM` or more, with all their columns.
+
+    All rows if no text of docs has a label to learn from.
+    """
+    sample = labelled_sample(docs, labels, id_col, text_col)
+    if not len(sample):
+        return docs
+    network = _fitted(sample)
     return score_quality(docs, network, text_col).where(F.col("quality_score") >= KEPT_FROM).select(*docs.columns)

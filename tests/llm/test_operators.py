@@ -475,6 +475,17 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.score_quality(empty, network).count() == 0
 
 
+def test_quality_without_labels_of_these_texts(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, words(i, 30)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4000)], "doc_id long, quality int")
+    for nothing in (labels.limit(0), labels.where("doc_id > 100")):
+        assert quality.keep_good(docs, nothing).count() == 40
+    # Labels of other ids take no place in the sample.
+    monkeypatch.setattr(quality, "SAMPLE_ROWS", 5)
+    sample = quality.labelled_sample(docs, labels, "doc_id", "text")
+    assert Counter(sample["label"].to_pylist()) == {0.0: 5, 1.0: 5}
+
+
 def test_scores_do_not_depend_on_neighbours():
     texts = [words(i, 20 + 37 * i) for i in range(12)] + ["", "a"]
     network = quality.Network()

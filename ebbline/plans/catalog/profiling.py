@@ -216,6 +216,26 @@ def _(t):
     return P.constant_columns(t.clean.select("Contract", "tenure", F.lit("telecom").alias("source")))
 
 
+@query(
+    "c13b_duplicate_rows_all_columns",
+    """d AS (SELECT DISTINCT * FROM cl) SELECT CAST((SELECT COUNT(*) FROM cl) - COUNT(*) AS BIGINT) AS duplicates FROM d""",
+)
+def _(t):
+    return P.duplicate_rows(t.clean)
+
+
+ALL_COLUMNS = (ROLES.key, *ROLES.features, "Churn")
+
+
+@query(
+    "c14b_constant_columns_all_columns",
+    "u AS (" + union(f"""SELECT '{c}' AS "column", COUNT(DISTINCT "{c}") AS d FROM cl""" for c in ALL_COLUMNS) + """)
+    SELECT "column" FROM u WHERE d=1""",
+)
+def _(t):
+    return P.constant_columns(t.clean)
+
+
 @query(
     "c15_high_cardinality",
     union(

@@ -32,3 +32,9 @@ def test_entry_and_registry(spark):
     assert entry_module.entry(spark).count() > 0
     assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
     assert len(entry_module.queries()) > 140
+
+
+@pytest.mark.parametrize("name", ["c13b_duplicate_rows_all_columns", "c14b_constant_columns_all_columns"])
+def test_all_columns_equal_sql(spark, duck, name):
+    state, note, _ = compare(spark, duck, SMALL, name, entry_module.queries()[name], entry_module.oracle_sql()[name])
+    assert state == "ok", note

@@ -26,6 +26,11 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_local[0]}"
 
 
+def quoted(name: str) -> Column:
+    """The column of exactly that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 #: Rows of an Arrow batch: a row here is a whole text or page.
 BATCH_ROWS = 1_000
 

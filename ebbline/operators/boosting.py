@@ -1,0 +1,502 @@
+"""Second-order boosted trees on histograms, many fits in the same passes.
+
+Rows are binned once and kept as blocks of small integers. One pass over the blocks sums gradients, Hessians
+and rows by (node, feature, bin) for the next level of the current tree of every fit: all grid points, all folds
+and the refits on all rows grow side by side, so a search takes as many passes as its longest fit.
+What reaches the driver is one histogram a node, bounded by the fits and their depth, not by the rows; partial sums
+are merged by Spark's tree reduction. Gradients count as whole multiples of 2^-24, so sums are exact
+and results do not depend on the order of rows or tasks.
+
+Trees grow level by level to their depth. Where a fit has a leaf budget, the best-first order is then followed
+over the grown tree: a node's split does not depend on the order, so this gives the tree that best-first growth gives.
+
+Blocks with their scores are persisted from one round to the next and checkpointed to the shared folder every
+`CHECKPOINT_ROUNDS` rounds; a lost executor costs at most these rounds.
+"""
+
+from __future__ import annotations
+
+import heapq
+import json
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, replace
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark import RDD, StorageLevel, keyword_only
+from pyspark.ml import Estimator, Model
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.param import Param, Params, TypeConverters
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ebbline.config import RANDOM_SEED, ROLES
+from ebbline.session import shared_folder
+
+#: Bins of a feature at most, rows of a block at most, rounds between checkpoints.
+MAX_BINS = 64
+BLOCK_ROWS = 65_536
+CHECKPOINT_ROUNDS = 25
+#: Gradients and Hessians are whole multiples of 1 / UNIT.
+UNIT = float(1 << 24)
+
+
+@dataclass(frozen=True)
+class Fit:
+    """Settings of one ensemble. `fold` names the rows held out, -1 none; `leaves` bounds the leaves of a tree."""
+
+    rounds: int = 100
+    depth: int = 6
+    rate: float = 0.3
+    rows_share: float = 1.0
+    features_share: float = 1.0
+    leaves: int | None = None
+    least_rows: int = 1
+    least_weight: float = 1.0
+    penalty: float = 1.0
+    fold: int = -1
+
+
+@dataclass
+class Trees:
+    """Nodes of many trees side by side: split feature and bin, first child (the second follows), value, gain, rows."""
+
+    feature: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    value: np.ndarray
+    gain: np.ndarray
+    rows: np.ndarray
+
+    @classmethod
+    def roots(cls, n: int) -> Trees:
+        return cls(np.zeros(n, np.int32), np.zeros(n, np.int32), np.full(n, -1, np.int32), np.zeros(n), np.zeros(n), np.zeros(n, np.int64))
+
+    def extended(self, n: int) -> Trees:
+        more = Trees.roots(n)
+        return Trees(*(np.concatenate((getattr(self, c), getattr(more, c))) for c in ("feature", "cut", "left", "value", "gain", "rows")))
+
+
+def leaves_of(trees: Trees, bins: np.ndarray, roots: np.ndarray) -> np.ndarray:
+    """Node in which each row (column of bins) ends, one line a root."""
+    places = np.arange(bins.shape[1])
+    node = np.repeat(roots[:, None], bins.shape[1], axis=1)
+    while True:
+        first = trees.left[node]
+        inner = first >= 0
+        if not inner.any():
+            return node
+        right = bins[trees.feature[node], places[None, :]] > trees.cut[node]
+        node = np.where(inner, first + right, node)
+
+
+def feature_borders(encoded: DataFrame, features_col: str, width: int, max_bins: int = MAX_BINS) -> list[list[float]]:
+    """Cuts between bins of every feature: a row is in bin k if k cuts lie below its value. One pass."""
+    shares = [i / max_bins for i in range(max_bins + 1)]
+    values = encoded.select(vector_to_array(features_col).alias("x"))
+    row = values.agg(*[F.percentile_approx(F.col("x")[i], shares, 10_000).alias(f"q{i}") for i in range(width)]).first()
+    borders = []
+    for i in range(width):
+        known = sorted(set(row[f"q{i}"] or []))
+        borders.append([(a + b) / 2 for a, b in zip(known, known[1:])])
+    return borders
+
+
+def binned_blocks(encoded: DataFrame, borders: Sequence[Sequence[float]], features_col: str, key: str | None, fold_col: str | None) -> RDD:
+    """Blocks (bins by feature, label, fold, hash of the row) as dictionaries of arrays."""
+    identity = F.col(key) if key else F.col(features_col).cast("string")
+    fold = F.col(fold_col).cast("int") if fold_col else F.lit(-2)
+    rows = encoded.select(F.xxhash64(identity).alias("hash"), F.col("label").cast("double").alias("label"), fold.alias("fold"), vector_to_array(features_col).alias("x"))
+
+    def pack(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
+            for at in range(0, batch.num_rows, BLOCK_ROWS):
+                part = slice(at, at + BLOCK_ROWS)
+                bins = np.stack([np.searchsorted(b, x[part, i], "left") for i, b in enumerate(borders)]).astype(np.uint8)
+                arrays = (bins, batch.column("label").to_numpy()[part], batch.column("fold").to_numpy()[part].astype(np.int32), batch.column("hash").to_numpy()[part])
+                yield pa.RecordBatch.from_arrays([pa.array([a.tobytes()], pa.binary()) for a in arrays], names=["bins", "label", "fold", "hash"])
+
+    packed = rows.mapInArrow(pack, "bins binary, label binary, fold binary, hash binary")
+
+    def block(row) -> dict:
+        label = np.frombuffer(row["label"], np.float64)
+        return {
+            "bins": np.frombuffer(row["bins"], np.uint8).reshape(-1, len(label)),
+            "label": label,
+            "fold": np.frombuffer(row["fold"], np.int32),
+            "hash": np.frombuffer(row["hash"], np.uint64),
+        }
+
+    return packed.rdd.map(block)
+
+
+def _draw(hashes: np.ndarray, number: int) -> np.ndarray:
+    """A value in [0, 1) for each row, fixed by its hash and the number."""
+    x = hashes ^ np.uint64((number * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return ((x ^ (x >> np.uint64(33))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def _used(block: Mapping, fits: Sequence[Fit], number: int) -> np.ndarray:
+    """Which rows each fit learns from in this round."""
+    used = np.stack([block["fold"] != f.fold for f in fits])
+    shares = np.array([f.rows_share for f in fits])
+    if (shares < 1).any():
+        used &= _draw(block["hash"], number)[None, :] < shares[:, None]
+    return used
+
+
+def _sums(a, b):
+    return [x + y for x, y in zip(a, b)]
+
+
+def _histograms(state: RDD, fits: Sequence[Fit], trees: Trees, active: np.ndarray, bin_counts: Sequence[int], number: int) -> list[np.ndarray]:
+    """For each feature the sums of (gradients, Hessians, rows) by active node and bin, as whole numbers."""
+    slot_of = np.full(len(trees.left), -1, np.int64)
+    slot_of[active] = np.arange(len(active))
+    roots = np.arange(len(fits))
+
+    def of_blocks(blocks):
+        total = None
+        for block in blocks:
+            bins, scores = block["bins"], block["scores"]
+            slots = np.where(_used(block, fits, number), slot_of[leaves_of(trees, bins, roots)], -1)
+            fit, row = np.nonzero(slots >= 0)
+            slot = slots[fit, row]
+            p = 1.0 / (1.0 + np.exp(-scores[fit, row]))
+            g = np.rint((p - block["label"][row]) * UNIT)
+            h = np.rint(p * (1.0 - p) * UNIT)
+            found = []
+            for own, n in zip(bins, bin_counts):
+                index, size = slot * n + own[row], len(active) * n
+                parts = (np.bincount(index, g, size), np.bincount(index, h, size), np.bincount(index, minlength=size))
+                found.append(np.stack(parts, axis=-1).astype(np.int64).reshape(len(active), n, 3))
+            total = found if total is None else _sums(total, found)
+        if total is not None:
+            yield total
+
+    return state.mapPartitions(of_blocks).treeReduce(_sums)
+
+
+def _best_splits(histograms: Sequence[np.ndarray], fits: Sequence[Fit], allowed: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Per node: gain, feature, bin, and the sums of both sides for its best split; gain 0 if there is none.
+
+    fits[i] and allowed[i] (features) belong to node i. Of equal gains the first feature and the lowest bin win.
+    """
+    nodes = len(fits)
+    penalty = np.array([f.penalty for f in fits])[:, None]
+    weight = np.array([f.least_weight for f in fits])[:, None]
+    rows = np.array([f.least_rows for f in fits])[:, None]
+    best = np.zeros(nodes)
+    feature, cut = np.full(nodes, -1), np.zeros(nodes, np.int64)
+    left, right = np.zeros((nodes, 3)), np.zeros((nodes, 3))
+
+    def score(sums):
+        over = sums[..., 1] / UNIT + penalty
+        return np.divide((sums[..., 0] / UNIT) ** 2, over, out=np.zeros_like(over), where=over > 0)
+
+    for j, table in enumerate(histograms):
+        if table.shape[1] < 2:
+            continue
+        below = np.cumsum(table, axis=1)
+        total, below = below[:, -1:], below[:, :-1]
+        above = total - below
+        gains = score(below) + score(above) - score(total)
+        good = allowed[:, j, None] & (below[..., 2] >= rows) & (above[..., 2] >= rows)
+        good &= (below[..., 1] >= weight * UNIT) & (above[..., 1] >= weight * UNIT)
+        gains = np.where(good, gains, 0.0)
+        at = gains.argmax(axis=1)
+        gain = gains[np.arange(nodes), at]
+        # Gains that differ by rounding only are equal.
+        better = gain > best * (1 + 1e-12) + 1e-12
+        best, feature, cut = np.where(better, gain, best), np.where(better, j, feature), np.where(better, at, cut)
+        left[better], right[better] = below[better, at[better]], above[better, at[better]]
+    return best, feature, cut, left, right
+
+
+def best_first(trees: Trees, root: int, leaves: int) -> list[int]:
+    """Nodes that are split when the leaf of largest gain is split first, until there are so many leaves."""
+    split, open_ = [], []
+
+    def offer(node: int) -> None:
+        if trees.left[node] >= 0:
+            heapq.heappush(open_, (-trees.gain[node], node))
+
+    offer(root)
+    while open_ and len(split) + 1 < leaves:
+        node = heapq.heappop(open_)[1]
+        split.append(node)
+        offer(int(trees.left[node]))
+        offer(int(trees.left[node]) + 1)
+    return split
+
+
+def _grow(state: RDD, fits: Sequence[Fit], bin_counts: Sequence[int], number: int, seed: int) -> Trees:
+    """The next tree of every fit; root i belongs to fit i. Values hold the learning rate."""
+    n, width = len(fits), len(bin_counts)
+    trees, owner = Trees.roots(n), np.arange(n)
+    rng = np.random.default_rng([seed, number])
+    ranks = rng.permutation(width)
+    allowed = np.stack([ranks < max(1, round(f.features_share * width)) for f in fits])
+    level, active = 0, np.arange(n)
+    sums = np.zeros((n, 3))
+    while len(active):
+        found = _histograms(state, fits, trees, active, bin_counts, number)
+        sums[active] = found[0].sum(axis=1)
+        own = [fits[i] for i in owner[active]]
+        gain, feature, cut, left, right = _best_splits(found, own, allowed[owner[active]])
+        split = np.flatnonzero(gain > 0)
+        parents, first = active[split], len(trees.left) + 2 * np.arange(len(split))
+        trees.feature[parents], trees.cut[parents], trees.left[parents], trees.gain[parents] = feature[split], cut[split], first, gain[split]
+        trees = trees.extended(2 * len(split))
+        owner = np.concatenate((owner, np.repeat(owner[parents], 2)))
+        sums = np.concatenate((sums, np.stack((left[split], right[split]), axis=1).reshape(-1, 3)))
+        level += 1
+        children = np.arange(len(trees.left) - 2 * len(split), len(trees.left))
+        settings = [fits[i] for i in owner[children]]
+        grows = [level < f.depth and s[2] >= 2 * f.least_rows and s[1] >= 2 * f.least_weight * UNIT for f, s in zip(settings, sums[children])]
+        active = children[np.array(grows, bool)]
+    for i, f in enumerate(fits):
+        if f.leaves is not None:
+            kept = set(best_first(trees, i, f.leaves))
+            trees.left[[v for v in np.flatnonzero(owner == i) if v not in kept]] = -1
+    penalty, rate = np.array([f.penalty for f in fits])[owner], np.array([f.rate for f in fits])[owner]
+    weight = sums[:, 1] / UNIT + penalty
+    trees.value = -rate * np.divide(sums[:, 0] / UNIT, weight, out=np.zeros(len(weight)), where=weight > 0)
+    trees.rows = sums[:, 2].astype(np.int64)
+    return trees
+
+
+def _tree_of(trees: Trees, root: int, borders: Sequence[Sequence[float]]) -> list[list[float]]:
+    """One tree as rows (feature, threshold, first child, value, gain, rows); -1 as first child marks a leaf."""
+    order, out = [root], []
+    for node in order:
+        first = int(trees.left[node])
+        if first >= 0:
+            out.append([int(trees.feature[node]), float(borders[trees.feature[node]][trees.cut[node]]), len(order), float(trees.value[node]), float(trees.gain[node]), int(trees.rows[node])])
+            order += [first, first + 1]
+        else:
+            out.append([-1, 0.0, -1, float(trees.value[node]), 0.0, int(trees.rows[node])])
+    return out
+
+
+def _advanced(state: RDD, trees: Trees, n: int) -> RDD:
+    roots = np.arange(n)
+
+    def add(block):
+        scores = block["scores"].copy()
+        scores[:n] += trees.value[leaves_of(trees, block["bins"], roots)]
+        return block | {"scores": scores}
+
+    return state.map(add)
+
+
+def _checkpoint_folder(spark: SparkSession) -> None:
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+
+
+def boost(encoded: DataFrame, fits: Sequence[Fit], features_col: str, width: int, key: str | None = None, fold_col: str | None = None,
+          report_rounds: Sequence[int] = (), max_bins: int = MAX_BINS, seed: int = RANDOM_SEED, on_report=None):
+    """Grow all fits in shared passes; returns for each fit without held-out rows its (base, trees).
+
+    After every round in report_rounds on_report(round, scores) is called with a DataFrame (`label`, `fold`, `scores`),
+    one row a row of encoded, scores being the log-odds of every fit at that round. Fits are ordered by rounds
+    inside, longest first, so that those that are done drop out of later passes.
+    """
+    spark = encoded.sparkSession
+    order = sorted(range(len(fits)), key=lambda i: -fits[i].rounds)
+    ordered = [fits[i] for i in order]
+    borders = feature_borders(encoded, features_col, width, max_bins)
+    bin_counts = [len(b) + 1 for b in borders]
+    _checkpoint_folder(spark)
+    blocks = binned_blocks(encoded, borders, features_col, key, fold_col).persist(StorageLevel.MEMORY_AND_DISK)
+    totals = blocks.map(lambda b: [(int(k), int((b["fold"] == k).sum()), int(b["label"][b["fold"] == k].sum())) for k in np.unique(b["fold"])])
+    by_fold: dict[int, list[int]] = {}
+    for part in totals.flatMap(lambda x: x).map(lambda x: (x[0], x[1:])).reduceByKey(lambda a, b: (a[0] + b[0], a[1] + b[1])).collect():
+        by_fold[part[0]] = list(part[1])
+    bases = []
+    for f in ordered:
+        n, positive = (sum(v[i] for k, v in by_fold.items() if k != f.fold) for i in (0, 1))
+        share = min(max(positive / n if n else 0.5, 1e-6), 1 - 1e-6)
+        bases.append(float(np.log(share / (1 - share))))
+    start = np.array(bases)
+    state = blocks.map(lambda b: b | {"scores": np.repeat(start[:, None], len(b["label"]), axis=1)}).persist(StorageLevel.MEMORY_AND_DISK)
+    kept: dict[int, list] = {i: [] for i, f in enumerate(ordered) if f.fold < 0}
+    older = blocks
+    rounds = max(f.rounds for f in fits) if sum(v[0] for v in by_fold.values()) else 0
+    for number in range(1, rounds + 1):
+        live = [f for f in ordered if f.rounds >= number]
+        trees = _grow(state, live, bin_counts, number, seed)
+        older.unpersist()
+        older, state = state, _advanced(state, trees, len(live)).persist(StorageLevel.MEMORY_AND_DISK)
+        if number % CHECKPOINT_ROUNDS == 0:
+            state.checkpoint()
+            state.count()
+        for i in kept:
+            if i < len(live):
+                kept[i].append(_tree_of(trees, i, borders))
+        if number in report_rounds:
+            place = np.argsort(order)
+            rows = state.flatMap(lambda b: zip(b["label"].tolist(), b["fold"].tolist(), b["scores"][place].T.tolist()))
+            on_report(number, spark.createDataFrame(rows, "label double, fold int, scores array<double>"))
+    state.unpersist()
+    older.unpersist()
+    return {order[i]: (bases[i], found) for i, found in kept.items()}
+
+
+def score_rows(x: np.ndarray, trees: Sequence[Sequence[Sequence[float]]], base: float) -> np.ndarray:
+    """Log-odds of the rows of x."""
+    out, places = np.full(len(x), base), np.arange(len(x))
+    for tree in trees:
+        table = np.array(tree, np.float64)
+        feature, first = table[:, 0].astype(np.int64), table[:, 2].astype(np.int64)
+        node = np.zeros(len(x), np.int64)
+        while True:
+            inner = first[node] >= 0
+            if not inner.any():
+                break
+            right = x[places, np.maximum(feature[node], 0)] > table[node, 1]
+            node = np.where(inner, first[node] + right, node)
+        out += table[node, 3]
+    return out
+
+
+class _Columns(Params):
+    featuresCol = Param(Params._dummy(), "featuresCol", "features", TypeConverters.toString)
+    labelCol = Param(Params._dummy(), "labelCol", "label", TypeConverters.toString)
+    keyCol = Param(Params._dummy(), "keyCol", "column that names a row, for sampling", TypeConverters.toString)
+
+
+class BoostedTreesModel(Model, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """A fitted ensemble; adds rawPrediction, probability and prediction. Trees are a parameter, so it is saved as a pipeline stage."""
+
+    trees = Param(Params._dummy(), "trees", "base score, number of features and trees as JSON", TypeConverters.toString)
+
+    @keyword_only
+    def __init__(self, *, trees: str | None = None, featuresCol: str = "features"):
+        super().__init__()
+        self._setDefault(featuresCol="features", labelCol="label", keyCol=ROLES.key)
+        self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
+
+    @property
+    def ensemble(self) -> tuple[float, int, list]:
+        held = json.loads(self.getOrDefault(self.trees))
+        return held["base"], held["features"], held["trees"]
+
+    @property
+    def featureImportances(self) -> DenseVector:
+        """Share of each feature in the gain of all splits."""
+        _, width, trees = self.ensemble
+        gains = np.zeros(width)
+        for tree in trees:
+            for feature, _, first, _, gain, _ in tree:
+                if first >= 0:
+                    gains[feature] += gain
+        return DenseVector(gains / gains.sum() if gains.sum() else gains)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        base, _, trees = self.ensemble
+
+        @F.pandas_udf("double")
+        def margin(x: pd.Series) -> pd.Series:
+            return pd.Series(score_rows(np.stack(x.to_numpy()), trees, base)) if len(x) else pd.Series([], dtype="float64")
+
+        m, p = F.col("_margin"), F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("_margin")))
+        scored = dataset.withColumn("_margin", margin(vector_to_array(self.getOrDefault(self.featuresCol))))
+        return scored.withColumns({
+            "rawPrediction": array_to_vector(F.array(-m, m)),
+            "probability": array_to_vector(F.array(1 - p, p)),
+            "prediction": (m > 0).cast("double"),
+        }).drop("_margin")
+
+
+class BoostedTrees(Estimator, _Columns, DefaultParamsReadable, DefaultParamsWritable):
+    """Boosted trees with logistic loss, regularised leaf values and, with numLeaves, best-first trees."""
+
+    maxIter = Param(Params._dummy(), "maxIter", "rounds", TypeConverters.toInt)
+    maxDepth = Param(Params._dummy(), "maxDepth", "levels of a tree", TypeConverters.toInt)
+    stepSize = Param(Params._dummy(), "stepSize", "learning rate", TypeConverters.toFloat)
+    subsamplingRate = Param(Params._dummy(), "subsamplingRate", "share of rows a round", TypeConverters.toFloat)
+    featureShare = Param(Params._dummy(), "featureShare", "share of features a tree", TypeConverters.toFloat)
+    numLeaves = Param(Params._dummy(), "numLeaves", "leaves of a tree at most, 0 for no bound", TypeConverters.toInt)
+    minInstancesPerNode = Param(Params._dummy(), "minInstancesPerNode", "fewest rows of a leaf", TypeConverters.toInt)
+    minWeight = Param(Params._dummy(), "minWeight", "least sum of Hessians in a leaf", TypeConverters.toFloat)
+    penalty = Param(Params._dummy(), "penalty", "added to the Hessians of a leaf", TypeConverters.toFloat)
+    seed = Param(Params._dummy(), "seed", "seed of the samples", TypeConverters.toInt)
+
+    @keyword_only
+    def __init__(self, *, maxIter=100, maxDepth=6, stepSize=0.3, subsamplingRate=1.0, featureShare=1.0, numLeaves=0, minInstancesPerNode=1,
+                 minWeight=1.0, penalty=1.0, seed=RANDOM_SEED, featuresCol="features", labelCol="label"):
+        super().__init__()
+        self._setDefault(maxIter=100, maxDepth=6, stepSize=0.3, subsamplingRate=1.0, featureShare=1.0, numLeaves=0, minInstancesPerNode=1,
+                         minWeight=1.0, penalty=1.0, seed=RANDOM_SEED, featuresCol="features", labelCol="label", keyCol=ROLES.key)
+        self._set(**self._input_kwargs)
+
+    def settings(self, point: Mapping | None = None) -> Fit:
+        """The Fit of these parameters, with those of a grid point over them."""
+        v = {p.name: self.getOrDefault(p) for p in self.params} | dict(point or {})
+        return Fit(
+            rounds=v["maxIter"], depth=v["maxDepth"], rate=v["stepSize"], rows_share=v["subsamplingRate"], features_share=v["featureShare"],
+            leaves=v["numLeaves"] or None, least_rows=v["minInstancesPerNode"], least_weight=v["minWeight"], penalty=v["penalty"],
+        )
+
+    def _key(self, dataset: DataFrame) -> str | None:
+        key = self.getOrDefault(self.keyCol)
+        return key if key in dataset.columns else None
+
+    def _data(self, dataset: DataFrame) -> tuple[DataFrame, int]:
+        label, features = self.getOrDefault(self.labelCol), self.getOrDefault(self.featuresCol)
+        data = dataset.withColumn("label", F.col(label)) if label != "label" else dataset
+        first = data.select(F.size(vector_to_array(features)).alias("n")).first()
+        return data, first["n"] if first else 0
+
+    def model(self, base: float, width: int, trees: list) -> BoostedTreesModel:
+        held = json.dumps({"base": base, "features": width, "trees": trees})
+        return BoostedTreesModel(trees=held, featuresCol=self.getOrDefault(self.featuresCol))
+
+    def _fit(self, dataset: DataFrame) -> BoostedTreesModel:
+        data, width = self._data(dataset)
+        found = boost(data, [self.settings()], self.getOrDefault(self.featuresCol), width, self._key(data), seed=self.getOrDefault(self.seed))
+        return self.model(found[0][0], width, found[0][1])
+
+    def search(self, train: DataFrame, points: Sequence[Mapping], folds: int, fold_col: str = "fold") -> tuple[int, list[list[float]], BoostedTreesModel]:
+        """Best point by mean AUC over the folds, the AUC of every point and fold, and the refit of the best.
+
+        Points that differ in their rounds only are prefixes of one fit. All fits, refits included, share their passes.
+        """
+        from ebbline.operators.evaluate import roc_auc
+
+        data, width = self._data(train)
+        wanted = [self.settings(p) for p in points]
+        alike: dict[Fit, int] = {}
+        for f in wanted:
+            same = replace(f, rounds=0)
+            alike[same] = max(alike.get(same, 0), f.rounds)
+        grown = [replace(f, rounds=r, fold=k) for f, r in alike.items() for k in [*range(folds), -1]]
+        place = {replace(f, rounds=0): i for i, f in enumerate(grown)}
+        areas = [[0.0] * folds for _ in points]
+
+        def report(number: int, scores: DataFrame) -> None:
+            due = [(i, f) for i, f in enumerate(wanted) if f.rounds == number]
+            # A row is scored by the fits that held out its fold.
+            cells = F.array(*[
+                F.struct(F.lit(i).alias("point"), F.element_at("scores", F.element_at(F.array(*[F.lit(place[replace(f, rounds=0, fold=k)] + 1) for k in range(folds)]), F.col("fold") + 1)).alias("score"))
+                for i, f in due
+            ])
+            held = scores.select("label", "fold", F.inline(cells))
+            held = held.select(F.concat_ws(":", "point", "fold").alias("model"), F.col("label").cast("int").alias("label"), F.col("score").alias("probability"), F.lit(0).alias("prediction"))
+            for r in roc_auc(held, "model").collect():
+                point, fold = map(int, r["model"].split(":"))
+                areas[point][fold] = r["roc_auc"] if r["roc_auc"] is not None else 0.5
+
+        found = boost(data, grown, self.getOrDefault(self.featuresCol), width, self._key(data), fold_col, sorted({f.rounds for f in wanted}), seed=self.getOrDefault(self.seed), on_report=report)
+        means = [sum(a) / folds for a in areas]
+        best = max(range(len(points)), key=lambda i: (means[i], -i))
+        base, trees = found[place[replace(wanted[best], rounds=0)]]
+        return best, areas, self.model(base, width, trees[: wanted[best].rounds])

@@ -1,25 +1,20 @@
 """Classifiers, grid search, model comparison and forest-based feature ranking.
 
-Every fit is a Spark job on the encoded table. Grid search overlaps fits with a small thread pool;
-the threads only submit jobs.
+Every fit is a Spark job on the encoded table. Boosted trees and forests grow all grid points and folds of a search
+together; the other algorithms overlap their fits with a small thread pool whose threads only submit jobs.
 """
 
 from __future__ import annotations
 
 import logging
 from collections.abc import Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import (
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
@@ -30,15 +25,18 @@ from ebbline.config import FOLDS, RANDOM_SEED, ROLES
 from ebbline.functions.scalars import half_even
 from ebbline.operators.encode import FEATURES
 from ebbline.operators.evaluate import calculate_metrics
+from ebbline.operators.histogram_trees import BinnedTable, BoostedTrees, Forest, gain_shares
 from ebbline.operators.splitting import stratified_folds
 
 log = logging.getLogger(__name__)
 
-# Hyper-parameter grids per algorithm.
+# Hyper-parameter grids per algorithm; depth 0 is no bound. Both solvers minimise the same loss, so
+# points that differ in the solver share a fit.
 GRIDS: dict[str, dict[str, list]] = {
     "RandomForest": {
         "numTrees": [100, 200],
-        "maxDepth": [10, 20, 30],
+        "maxDepth": [10, 20, 0],
+        "minInstancesPerSplit": [2, 5],
         "minInstancesPerNode": [1, 2],
     },
     "GradientBoosting": {
@@ -51,9 +49,9 @@ GRIDS: dict[str, dict[str, list]] = {
         "maxIter": [100, 200],
         "maxDepth": [3, 6, 9],
         "stepSize": [0.01, 0.1, 0.2],
-        "maxBins": [31, 50, 100],
+        "numLeaves": [31, 50, 100],
     },
-    "LogisticRegression": {"C": [0.1, 1, 10], "elasticNetParam": [1.0, 0.0]},
+    "LogisticRegression": {"C": [0.1, 1, 10], "elasticNetParam": [1.0, 0.0], "solver": ["liblinear", "saga"]},
     "SVM": {},
 }
 # Other names under which the two boosting profiles are known.
@@ -66,15 +64,16 @@ def get_model(name: str, seed: int = RANDOM_SEED) -> Estimator | None:
     name = ALIASES.get(name, name)
     common = {"featuresCol": FEATURES, "labelCol": "label"}
     if name == "RandomForest":
-        return RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **common)
+        return Forest(seed=seed, **common)
     if name == "LogisticRegression":
         return LogisticRegression(standardization=False, **common)
     if name == "GradientBoosting":
-        return GBTClassifier(maxIter=100, maxDepth=6, stepSize=0.3, seed=seed, **common)
+        return BoostedTrees(seed=seed, **common)
     if name == "GradientBoostingLeafwise":
-        return GBTClassifier(
-            maxIter=100, maxDepth=5, stepSize=0.1, minInstancesPerNode=20,
-            featureSubsetStrategy="0.8", seed=seed, **common,
+        # Leaf-wise trees: 31 leaves, 20 rows a leaf, 0.8 of the features a tree, no penalty.
+        return BoostedTrees(
+            maxDepth=0, stepSize=0.1, numLeaves=31, minInstancesPerNode=20, featureShare=0.8, minWeight=1e-3,
+            penalty=0.0, seed=seed, **common,
         )
     if name == "SVM":
         margin = LinearSVC(rawPredictionCol="margin", predictionCol="margin_class", **common)
@@ -95,7 +94,7 @@ def get_grid(name: str, budget: int | None = None) -> list[dict]:
 
 
 def _configured(estimator: Estimator, point: Mapping, rows: int) -> Estimator:
-    params = dict(point)
+    params = {k: v for k, v in point.items() if k != "solver"}
     if "C" in params:
         # C scales the summed loss, regParam the mean loss plus penalty.
         params["regParam"] = 1.0 / (params.pop("C") * max(rows, 1))
@@ -111,6 +110,8 @@ class TrainedModel:
     train_accuracy: float | None = None
     test_accuracy: float | None = None
     roc_auc: float | None = None
+    #: Every grid point tried with its AUC on each fold.
+    tried: list[tuple[dict, list[float]]] = field(default_factory=list)
 
 
 def grid_search(
@@ -118,27 +119,43 @@ def grid_search(
     parallelism: int = 4, key: str = ROLES.key, seed: int = RANDOM_SEED,
 ) -> tuple[Mapping, float]:
     """Best grid point by mean AUC over stratified folds; the first point wins ties."""
-    rows = train.count()
-    # Persisted because every fit and every fold reads it again.
-    parts = stratified_folds(train, "label", key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
+    best, _, means, _ = search(name, train, points, folds, parallelism, key, seed)
+    return points[best], means[best]
 
-    def score(task):
-        fold, i = task
-        fitted = _configured(get_model(name, seed), points[i], rows * (folds - 1) // folds).fit(
-            parts.where(F.col("fold") != fold)
-        )
-        return i, evaluator.evaluate(fitted.transform(parts.where(F.col("fold") == fold)))
 
+def search(
+    name: str, train: DataFrame, points: Sequence[Mapping], folds: int = FOLDS,
+    parallelism: int = 4, key: str = ROLES.key, seed: int = RANDOM_SEED,
+) -> tuple[int, list[list[float]], list[float], Model | None]:
+    """Place of the best point, the AUC of every point and fold, the means, and the refit where the search gives it."""
+    # Persisted because every fit and every fold reads it again.
+    parts = stratified_folds(train, "label", key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    estimator = get_model(name, seed)
     try:
-        tasks = list(product(range(folds), range(len(points))))
+        if isinstance(estimator, (BoostedTrees, Forest)):
+            best, areas, model = estimator.search(parts, points, folds)
+            return best, areas, [sum(a) / folds for a in areas], model
+        rows = parts.count()
+        evaluator = BinaryClassificationEvaluator(labelCol="label", metricName="areaUnderROC", numBins=0)
+        # Points that set the same parameters of the estimator share their fits.
+        effective = [{k: v for k, v in p.items() if k != "solver"} for p in points]
+        first = [effective.index(p) for p in effective]
+
+        def score(task):
+            fold, i = task
+            fitted = _configured(get_model(name, seed), points[i], rows * (folds - 1) // folds).fit(
+                parts.where(F.col("fold") != fold)
+            )
+            return (i, fold), evaluator.evaluate(fitted.transform(parts.where(F.col("fold") == fold)))
+
+        tasks = list(product(range(folds), sorted(set(first))))
         with ThreadPool(min(parallelism, len(tasks))) as pool:
-            scores = pool.map(score, tasks)
+            scores = dict(pool.map(score, tasks))
     finally:
         parts.unpersist()
-    means = [sum(s for i, s in scores if i == j) / folds for j in range(len(points))]
-    best = max(range(len(points)), key=lambda j: (means[j], -j))
-    return points[best], means[best]
+    areas = [[scores[i, fold] for fold in range(folds)] for i in first]
+    means = [sum(a) / folds for a in areas]
+    return max(range(len(points)), key=lambda j: (means[j], -j)), areas, means, None
 
 
 def train_model(
@@ -155,17 +172,19 @@ def train_model(
         raise ValueError(f"unknown algorithm {name}")
     points = [{**p, **(overrides or {})} for p in get_grid(name, budget)]
     points = [p for i, p in enumerate(points) if p not in points[:i]]
-    best, auc = points[0], None
+    best, auc, fitted, tried = points[0], None, None, []
     if len(points) > 1:
-        best, auc = grid_search(name, train, points, folds, parallelism, seed=seed)
-    rows = train.count() if "C" in best else 0
-    fitted = _configured(estimator, best, rows).fit(train)
+        place, areas, means, fitted = search(name, train, points, folds, parallelism, seed=seed)
+        best, auc, tried = points[place], means[place], list(zip(points, areas))
+    if fitted is None:
+        rows = train.count() if "C" in best else 0
+        fitted = _configured(estimator, best, rows).fit(train)
     # Train and test are scored together, so both are measured in one job.
     scored = scored_by(fitted, train, "train")
     if test is not None:
         scored = scored.unionByName(scored_by(fitted, test, "test"))
     measured = {r["model"]: r for r in calculate_metrics(scored, "model").collect()}
-    result = TrainedModel(name, fitted, dict(best), auc, measured["train"]["accuracy"])
+    result = TrainedModel(name, fitted, dict(best), auc, measured["train"]["accuracy"], tried=tried)
     if test is not None and "test" in measured:
         result.test_accuracy = measured["test"]["accuracy"]
         result.roc_auc = measured["test"]["roc_auc"]
@@ -245,9 +264,7 @@ def forest_importance(
     encoded: DataFrame, names: Sequence[str], trees: int = 100, depth: int = 10,
     seed: int = RANDOM_SEED,
 ) -> DataFrame:
-    forest = RandomForestClassifier(
-        numTrees=trees, maxDepth=depth, seed=seed, featuresCol=FEATURES, labelCol="label"
-    ).fit(encoded)
+    forest = Forest(numTrees=trees, maxDepth=depth, seed=seed, featuresCol=FEATURES).fit(encoded)
     return model_importance(forest, names, encoded.sparkSession)
 
 
@@ -275,24 +292,21 @@ def eliminate_features(
 ) -> DataFrame:
     """Recursive elimination with a forest: ``feature, ranking, support``; ranking 1 is kept.
 
-    One forest per round on a sliced vector; ``step`` features leave per round.
+    One forest a round over the same binned table; ``step`` features leave per round.
     """
     left = list(range(len(names)))
     dropped: list[list[int]] = []
-    data = encoded.select("label", FEATURES).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    grown = Forest(numTrees=trees, maxDepth=depth, seed=seed)
+    key = ROLES.key if ROLES.key in encoded.columns else None
+    with BinnedTable(encoded, FEATURES, len(names), key) as table:
         while len(left) > keep:
-            sliced = VectorSlicer(inputCol=FEATURES, outputCol="slice", indices=left).transform(data)
-            forest = RandomForestClassifier(
-                numTrees=trees, maxDepth=depth, seed=seed, featuresCol="slice", labelCol="label"
-            ).fit(sliced)
-            weights = forest.featureImportances.toArray()
-            order = sorted(range(len(left)), key=lambda i: (weights[i], i))
-            leaving = {left[i] for i in order[: min(step, len(left) - keep)]}
+            fit = replace(grown.settings(len(left)), columns=tuple(left))
+            found, _ = table.fit([fit], seed=seed)
+            weights = gain_shares(found[0][1], len(names), True)
+            order = sorted(left, key=lambda i: (weights[i], i))
+            leaving = set(order[: min(step, len(left) - keep)])
             dropped.append(sorted(leaving))
             left = [i for i in left if i not in leaving]
-    finally:
-        data.unpersist()
     ranking = dict.fromkeys(left, 1)
     for place, leaving in enumerate(reversed(dropped), start=2):
         ranking.update(dict.fromkeys(leaving, place))

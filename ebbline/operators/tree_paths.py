@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ebbline.config import ROLES
-from ebbline.operators.boosting import BoostedTreesModel
 from ebbline.operators.encode import FEATURES
+from ebbline.operators.histogram_trees import TreesModel
 from ebbline.session import shared_folder
 
 #: Cells (rows x paths x features of a path) worked on at once.
@@ -57,8 +57,10 @@ class Nodes:
         return found
 
 
-def _boosted_nodes(model: BoostedTreesModel) -> Nodes:
-    base, _, trees = model.ensemble
+def _own_nodes(model: TreesModel) -> Nodes:
+    held = model.ensemble
+    trees = held["trees"]
+    share = 1.0 / max(len(trees), 1) if held["forest"] else 1.0
     roots, parts, at = [], [], 0
     for tree in trees:
         table = np.array(tree, np.float64)
@@ -70,7 +72,7 @@ def _boosted_nodes(model: BoostedTreesModel) -> Nodes:
     table = np.concatenate(parts) if parts else np.zeros((0, 6))
     left = table[:, 2].astype(np.int64)
     feature = np.maximum(table[:, 0], 0).astype(np.int64)
-    return Nodes(np.array(roots, np.int64), feature, table[:, 1], {}, left, np.where(left >= 0, left + 1, -1), table[:, 3], table[:, 5], base)
+    return Nodes(np.array(roots, np.int64), feature, table[:, 1], {}, left, np.where(left >= 0, left + 1, -1), table[:, 3] * share, table[:, 5], held["base"])
 
 
 def _saved_nodes(model: Model) -> Nodes:
@@ -107,7 +109,7 @@ def _saved_nodes(model: Model) -> Nodes:
 def nodes_of(model: Model) -> Nodes:
     """The trees of a fitted model (forest, tree, boosted trees; the last stage of a pipeline)."""
     model = model.stages[-1] if isinstance(model, PipelineModel) else model
-    return _boosted_nodes(model) if isinstance(model, BoostedTreesModel) else _saved_nodes(model)
+    return _own_nodes(model) if isinstance(model, TreesModel) else _saved_nodes(model)
 
 
 def _matrix(batch: pa.RecordBatch) -> np.ndarray:

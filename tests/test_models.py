@@ -76,7 +76,7 @@ def test_catalog_of_models_and_grids():
     for name in ("RandomForest", "LogisticRegression", "SVM", "XGBoost", "LightGBM"):
         assert M.get_model(name) is not None
     sizes = {n: len(M.get_grid(n)) for n in ("RandomForest", "XGBoost", "LightGBM", "LogisticRegression", "SVM")}
-    assert sizes == {"RandomForest": 12, "XGBoost": 36, "LightGBM": 54, "LogisticRegression": 6, "SVM": 1}
+    assert sizes == {"RandomForest": 24, "XGBoost": 36, "LightGBM": 54, "LogisticRegression": 12, "SVM": 1}
     assert len(M.get_grid("XGBoost", 5)) == 5
 
 

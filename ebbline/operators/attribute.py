@@ -1,6 +1,7 @@
 """Attribution of predictions to features, as long tables keyed by customer and feature.
 
-Linear models have exact contributions per row. Other models use sampled permutations: features
+Linear models have exact contributions per row, and so have tree models (``tree_paths``). Other models use sampled
+permutations: features
 are switched from a background row to the customer's values one by one, the model scores every
 step, and a feature's contribution is the mean change it causes. Contributions of a row add up to
 its prediction minus the base value.
@@ -11,7 +12,7 @@ from __future__ import annotations
 import random
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
@@ -20,7 +21,12 @@ from pyspark.sql import functions as F
 from ebbline.config import RANDOM_SEED, ROLES
 from ebbline.functions.scalars import double_array
 from ebbline.operators.encode import FEATURES
+from ebbline.operators.histogram_trees import TreesModel
 from ebbline.operators.splitting import sample_rows
+from ebbline.operators.tree_paths import tree_attribution
+
+#: Equal-width bins of a value in the search for interactions.
+INTERACTION_BINS = 10
 
 
 def _names(names: Sequence[str]):
@@ -51,6 +57,23 @@ def linear_attribution(
     return encoded.select(key, F.inline(cells)).withColumn("base", F.lit(base))
 
 
+def explain(
+    encoded: DataFrame, model: Model, names: Sequence[str], background: DataFrame, key: str = ROLES.key,
+    sample_size: int | None = None,
+) -> DataFrame:
+    """Contributions by the exact form where the model has one, else sampled.
+
+    ``background`` gives the base of tree models; ``sample_size`` rows are explained (``None``: all).
+    """
+    rows = encoded if sample_size is None else sample_rows(encoded, sample_size, key, RANDOM_SEED)
+    last = model.stages[-1] if isinstance(model, PipelineModel) else model
+    if hasattr(last, "coefficients"):
+        return linear_attribution(rows, last, names, key)
+    if isinstance(last, TreesModel) or hasattr(last, "toDebugString"):
+        return tree_attribution(rows, last, names, background, key)
+    return sampled_attribution(rows, model, names, key)
+
+
 def sampled_attribution(
     encoded: DataFrame, model: Model, names: Sequence[str], key: str = ROLES.key,
     sample_size: int | None = None, permutations: int = 8, seed: int = RANDOM_SEED,
@@ -191,10 +214,45 @@ def waterfall(attributions: DataFrame, key: str = ROLES.key, max_display: int =
     )
 
 
+def interaction_ranking(
+    attributions: DataFrame, feature: str, key: str = ROLES.key, bins: int = INTERACTION_BINS
+) -> DataFrame:
+    """All other features by how far their binned values explain what the feature's own value leaves open.
+
+    ``feature, explained``: the variance of the contribution between bins of the other value, within bins of the own value.
+    Bins are of equal width. Rows are joined by key and counted per pair of bins before the last shuffle.
+    """
+    ranges = attributions.groupBy("feature").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    # One row a feature.
+    placed = attributions.join(F.broadcast(ranges), "feature")
+    share = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
+    place = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * bins), F.lit(bins - 1)).cast("int")
+    placed = placed.select(key, "feature", "phi", place.alias("bin"))
+    own = placed.where(F.col("feature") == feature).select(key, F.col("phi").alias("own_phi"), F.col("bin").alias("own_bin"))
+    others = placed.where(F.col("feature") != feature).select(key, "feature", "bin")
+    cells = (
+        others.join(own, key)
+        .groupBy("feature", "own_bin", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("own_phi").alias("s"))
+    )
+    lines = cells.groupBy("feature", "own_bin").agg(
+        F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum(F.col("s") * F.col("s") / F.col("n")).alias("between")
+    )
+    explained = F.sum(F.col("between") - F.col("s") * F.col("s") / F.col("n")) / F.sum("n")
+    return lines.groupBy("feature").agg(explained.alias("explained")).orderBy(F.desc(F.round("explained", 9)), "feature")
+
+
 def dependence(
     attributions: DataFrame, feature: str, interaction: str | None = None, key: str = ROLES.key
 ) -> DataFrame:
-    """Feature value against contribution, with the value of a second feature when asked for."""
+    """Feature value against contribution, with the value of a second feature when asked for.
+
+    ``interaction="auto"`` takes the feature that ``interaction_ranking`` puts first and names it in a column.
+    """
+    chosen = None
+    if interaction == "auto":
+        first = interaction_ranking(attributions, feature, key).first()
+        chosen = interaction = first["feature"] if first else None
     wanted = [feature] if interaction is None else [feature, interaction]
     is_main = F.col("feature") == feature
     rows = attributions.where(F.col("feature").isin(wanted)).groupBy(key)
@@ -205,6 +263,8 @@ def dependence(
     if interaction is not None:
         other = F.when(F.col("feature") == interaction, F.col("value"))
         picked.append(F.max(other).alias("interaction_value"))
+    if chosen is not None:
+        picked.append(F.lit(chosen).alias("interaction_feature"))
     return rows.agg(*picked)
 
 

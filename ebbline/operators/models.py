@@ -13,10 +13,9 @@ from itertools import product
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import LinearSVC, LogisticRegression
+from pyspark.ml import Estimator, Model, PipelineModel
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +25,7 @@ from ebbline.functions.scalars import half_even
 from ebbline.operators.encode import FEATURES
 from ebbline.operators.evaluate import calculate_metrics
 from ebbline.operators.histogram_trees import BinnedTable, BoostedTrees, Forest, gain_shares
+from ebbline.operators.kernel_svm import KernelSVM
 from ebbline.operators.splitting import stratified_folds
 
 log = logging.getLogger(__name__)
@@ -54,6 +54,8 @@ GRIDS: dict[str, dict[str, list]] = {
     "LogisticRegression": {"C": [0.1, 1, 10], "elasticNetParam": [1.0, 0.0], "solver": ["liblinear", "saga"]},
     "SVM": {},
 }
+#: Rows that are worth a task of their own in an iterative fit.
+TASK_ROWS = 10_000
 # Other names under which the two boosting profiles are known.
 ALIASES = {"XGBoost": "GradientBoosting", "LightGBM": "GradientBoostingLeafwise"}
 DEFAULT_ALGORITHMS = ("RandomForest", "GradientBoosting", "GradientBoostingLeafwise")
@@ -76,11 +78,7 @@ def get_model(name: str, seed: int = RANDOM_SEED) -> Estimator | None:
             penalty=0.0, seed=seed, **common,
         )
     if name == "SVM":
-        margin = LinearSVC(rawPredictionCol="margin", predictionCol="margin_class", **common)
-        positive = VectorSlicer(inputCol="margin", outputCol="margin_positive", indices=[1])
-        # A logistic fit on the margin turns it into a probability.
-        scale = LogisticRegression(featuresCol="margin_positive", labelCol="label")
-        return Pipeline(stages=[margin, positive, scale])
+        return KernelSVM(seed=seed, **common)
     return None
 
 
@@ -116,7 +114,7 @@ class TrainedModel:
 
 def grid_search(
     name: str, train: DataFrame, points: Sequence[Mapping], folds: int = FOLDS,
-    parallelism: int = 4, key: str = ROLES.key, seed: int = RANDOM_SEED,
+    parallelism: int = 8, key: str = ROLES.key, seed: int = RANDOM_SEED,
 ) -> tuple[Mapping, float]:
     """Best grid point by mean AUC over stratified folds; the first point wins ties."""
     best, _, means, _ = search(name, train, points, folds, parallelism, key, seed)
@@ -125,11 +123,13 @@ def grid_search(
 
 def search(
     name: str, train: DataFrame, points: Sequence[Mapping], folds: int = FOLDS,
-    parallelism: int = 4, key: str = ROLES.key, seed: int = RANDOM_SEED,
+    parallelism: int = 8, key: str = ROLES.key, seed: int = RANDOM_SEED,
 ) -> tuple[int, list[list[float]], list[float], Model | None]:
     """Place of the best point, the AUC of every point and fold, the means, and the refit where the search gives it."""
-    # Persisted because every fit and every fold reads it again.
-    parts = stratified_folds(train, "label", key, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    # Persisted because every fit and every fold reads it again; small partitions are joined, as each costs a task in
+    # every iteration of a fit.
+    parts = stratified_folds(train, "label", key, folds, seed).coalesce(max(1, train.count() // TASK_ROWS))
+    parts = parts.persist(StorageLevel.MEMORY_AND_DISK)
     estimator = get_model(name, seed)
     try:
         if isinstance(estimator, (BoostedTrees, Forest)):
@@ -160,7 +160,7 @@ def search(
 
 def train_model(
     name: str, train: DataFrame, test: DataFrame | None = None, budget: int | None = None,
-    folds: int = FOLDS, parallelism: int = 4, overrides: Mapping | None = None,
+    folds: int = FOLDS, parallelism: int = 8, overrides: Mapping | None = None,
     seed: int = RANDOM_SEED,
 ) -> TrainedModel:
     """Tune (when there is more than one grid point), refit on all train rows, evaluate.

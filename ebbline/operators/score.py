@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ebbline.config import ROLES, ColumnRoles
@@ -91,6 +92,23 @@ def _row_error(roles: ColumnRoles) -> Column:
     return F.when(names != "", F.concat(F.lit("not a number: "), names))
 
 
+def numbered(df: DataFrame, name: str = "row_number") -> DataFrame:
+    """df with its row numbers from 1, in the order in which the rows are read.
+
+    The number is the place within the partition plus the rows of all partitions before it: one counting pass, no
+    sort and no shuffle of rows. One count a partition is joined back. The rows are persisted, so that both passes see
+    the same partitions.
+    """
+    own = F.monotonically_increasing_id()
+    placed = df.select("*", F.shiftright(own, 33).alias("_part"), own.bitwiseAND(F.lit((1 << 33) - 1)).alias("_place"))
+    placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    found = placed.join(F.broadcast(starts), "_part")
+    return found.select((F.col("_start") + F.col("_place") + 1).alias(name), *df.columns)
+
+
 def score_upload(
     pipeline: PipelineModel, df: DataFrame, roles: ColumnRoles = ROLES
 ) -> DataFrame:
@@ -98,10 +116,12 @@ def score_upload(
 
     Missing required columns reject the upload. Other absent feature columns are filled as
     missing. A row with an unreadable number gets an ``error`` and no score; the rest is scored.
+    An upload without the key column gets row numbers as its key, in its order.
     """
     require_columns(df)
+    keyed = df if roles.key in df.columns else numbered(df, roles.key)
     absent = {c: F.lit(None).cast("string") for c in roles.features if c not in df.columns}
-    complete = df.withColumns(absent) if absent else df
+    complete = keyed.withColumns(absent) if absent else keyed
     scored = _probabilities(pipeline, complete.withColumn("error", _row_error(roles)))
     good = F.col("error").isNull()
     return scored.select(

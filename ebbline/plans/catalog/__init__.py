@@ -5,6 +5,7 @@ from ebbline.plans.catalog import (  # noqa: F401  (importing registers the quer
     cleaning,
     evaluation,
     facts,
+    fixed,
     modelling,
     profiling,
     statistics,

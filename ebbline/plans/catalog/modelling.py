@@ -72,7 +72,7 @@ def _logistic(t):
 
 def _attributions(t):
     p = _prepared(t)
-    return A.sampled_attribution(p.test, _forest(t).model, p.names)
+    return A.explain(p.test, _forest(t).model, p.names, p.train)
 
 
 def _linear_attributions(t):

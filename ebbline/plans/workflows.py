@@ -28,9 +28,12 @@ class Prepared:
     table: DataFrame
     encoder: PipelineModel
     names: list[str]
+    #: Partitions of a part: small ones are joined, as each costs a task in every iteration of a fit.
+    tasks: int | None = None
 
     def _part(self, name: str) -> DataFrame:
-        return self.table.where(F.col("split") == name).drop("split")
+        part = self.table.where(F.col("split") == name).drop("split")
+        return part if self.tasks is None else part.coalesce(self.tasks)
 
     @property
     def train(self) -> DataFrame:
@@ -61,9 +64,9 @@ def prepare(
         roles.key, F.col(roles.target).alias("label"), encode.FEATURES, "split"
     )
     table = coded.where(F.col("label").isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    table.count()
+    tasks = max(1, table.count() // models.TASK_ROWS)
     kept.unpersist()
-    return Prepared(table, encoder, encode.feature_names(encoder, roles))
+    return Prepared(table, encoder, encode.feature_names(encoder, roles), tasks)
 
 
 def train_and_compare(
@@ -95,8 +98,8 @@ def run_training(
     cleaned = raw.sparkSession.read.parquet(cleaned_path)
 
     def attribution() -> DataFrame:
-        rows = attribute.sampled_attribution(
-            prepared.test, best.model, prepared.names, roles.key, sample_size=explain_rows
+        rows = attribute.explain(
+            prepared.test, best.model, prepared.names, prepared.train, roles.key, sample_size=explain_rows
         )
         return attribute.attribution_importance(rows)
 

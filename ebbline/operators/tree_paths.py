@@ -119,23 +119,28 @@ def _matrix(batch: pa.RecordBatch) -> np.ndarray:
 def background_rows(background: DataFrame, nodes: Nodes) -> np.ndarray:
     """Rows of the background that reach each node: one narrow pass, one row a node and task merged by Spark."""
 
+    categorical = np.zeros(len(nodes.left), bool)
+    categorical[list(nodes.categories)] = True
+
     def count(batches):
         total = np.zeros(len(nodes.left), np.int64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1_024):
-                x = _matrix(batch)[at : at + 1_024]
-                for root in nodes.roots:
-                    open_ = [(int(root), np.arange(len(x)))]
-                    while open_:
-                        node, rows = open_.pop()
-                        total[node] += len(rows)
-                        if nodes.left[node] < 0 or not len(rows):
-                            continue
-                        if node in nodes.categories:
-                            goes = np.isin(x[rows, nodes.feature[node]], nodes.categories[node])
-                        else:
-                            goes = x[rows, nodes.feature[node]] <= nodes.threshold[node]
-                        open_ += [(int(nodes.left[node]), rows[goes]), (int(nodes.right[node]), rows[~goes])]
+            x = _matrix(batch)
+            for root in nodes.roots.tolist():
+                node, open_ = np.full(len(x), root), np.arange(len(x))
+                total[root] += len(x)
+                while True:
+                    open_ = open_[nodes.left[node[open_]] >= 0]
+                    if not len(open_):
+                        break
+                    at = node[open_]
+                    goes = x[open_, nodes.feature[at]] <= nodes.threshold[at]
+                    for own in np.unique(at[categorical[at]]).tolist():
+                        mine = at == own
+                        goes[mine] = np.isin(x[open_[mine], nodes.feature[own]], nodes.categories[own])
+                    node[open_] = np.where(goes, nodes.left[at], nodes.right[at])
+                    counts = np.bincount(node[open_] - root)
+                    total[root : root + len(counts)] += counts
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["node", "n"])
 
     rows = background.select(vector_to_array(FEATURES).alias("x"))
@@ -226,6 +231,10 @@ def tree_attribution(encoded: DataFrame, model: Model, names: Sequence[str], bac
     nodes = nodes_of(model)
     paths, base = leaf_paths(nodes, background_rows(background, nodes))
     rows = encoded.select(key, vector_to_array(FEATURES).alias("x"))
+    # The work of a row grows with the paths: few partitions are dealt to all cores.
+    cores = encoded.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:
+        rows = rows.repartition(cores)
 
     def explain(batches):
         for batch in batches:

@@ -28,16 +28,15 @@ class Prepared:
     table: DataFrame
     encoder: PipelineModel
     names: list[str]
-    #: Partitions of a part: small ones are joined, as each costs a task in every iteration of a fit.
+    #: Partitions of the train rows: small ones are joined, as each costs a task in every iteration of a fit.
     tasks: int | None = None
 
     def _part(self, name: str) -> DataFrame:
-        part = self.table.where(F.col("split") == name).drop("split")
-        return part if self.tasks is None else part.coalesce(self.tasks)
+        return self.table.where(F.col("split") == name).drop("split")
 
     @property
     def train(self) -> DataFrame:
-        return self._part("train")
+        return self._part("train") if self.tasks is None else self._part("train").coalesce(self.tasks)
 
     @property
     def test(self) -> DataFrame:

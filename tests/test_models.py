@@ -173,6 +173,30 @@ def test_upload_with_bad_rows_and_absent_columns(spark, prepared, forest):
     assert refused.value.missing == ["Contract", "tenure"]
 
 
+def test_upload_without_a_key_is_numbered_in_order(spark, prepared, forest):
+    rows = [(str(i % 70), "70.5" if i % 7 else "x", "One year", "BUILDING") for i in range(100)]
+    upload = spark.createDataFrame(rows, "tenure string, MonthlyCharges string, Contract string, PaymentMethod string").repartition(5).sortWithinPartitions("tenure")
+    order = [(r.tenure, r.MonthlyCharges) for r in S.numbered(upload).orderBy("row_number").collect()]
+    assert order == [(r.tenure, r.MonthlyCharges) for r in upload.collect()]
+    scored = S.score_upload(S.scoring_pipeline(prepared.encoder, forest.model), upload).orderBy("customerID").collect()
+    assert [r.customerID for r in scored] == list(range(1, 101))
+    assert [r.error is not None for r in scored] == [charge == "x" for _, charge in order]
+    assert S.numbered(upload.limit(0)).count() == 0
+
+
+def test_interaction_of_a_planted_product_is_found(spark):
+    """phi of `a` holds a * c; b and d have no part in it."""
+    cells = []
+    for i in range(4_000):  # chance explains about 100 pairs of bins / 4,000 rows
+        a, b, c, d = (i * 37 % 100) / 100, (i * 53 % 97) / 97, (i * 71 % 89) / 89, 1.0
+        cells += [(i, "a", a, 2 * a + a * c), (i, "b", b, b), (i, "c", c, 0.1), (i, "d", d, 0.0)]
+    rows = spark.createDataFrame(cells, "customerID long, feature string, value double, phi double")
+    ranking = {r.feature: r.explained for r in A.interaction_ranking(rows, "a").collect()}
+    assert ranking["c"] > 3 * ranking["b"] and ranking["d"] == pytest.approx(0, abs=1e-12)
+    chosen = A.dependence(rows, "a", "auto").collect()
+    assert len(chosen) == 4_000 and {r.interaction_feature for r in chosen} == {"c"}
+
+
 def test_training_run_writes_everything(spark, base, tmp_path):
     paths = W.run_training(base, str(tmp_path / "run"), ["RandomForest"], budget=1, overrides={"numTrees": 3, "maxDepth": 2}, explain_rows=5)
     assert {"model_comparison", "attribution_importance", "treatment_effects", "model", "prepared"} <= set(paths)

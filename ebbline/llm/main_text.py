@@ -3,12 +3,12 @@
 Markup is stripped into lines, one per block element; a line of a menu, header, footer, sidebar,
 notice, advert, form or comment section becomes an empty line. Text lengths without links are summed
 over a sliding window of lines. Where the sum surges above a threshold a stretch of text begins, where
-it dives to it the stretch ends; the lines between are kept. A container known as boilerplate only by a name
-is restored if it holds most of the page's text, and the densest.
+it dives to it the stretch ends; every line of a stretch is kept, and so are short lines between two stretches
+unless a line of nothing but links stands among them.
 
-One threshold, which follows the densest window of the page, holds for all lines. An explicit article only
-adds weight: its lines count several times, so that short blocks of it surge too, while its lists of links
-do not, and dense text outside of it is kept.
+Every line of an explicit article is kept. Its lines weigh several times in the densest window, so that text outside
+of it is kept only where it is nearly as dense. A container known as boilerplate only by a name is restored if no
+other text is left on the page; one that speaks of comments never is.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ from ebbline.llm.shared import text_batches
 WINDOW, SHARE, ENOUGH = 3, 0.1, 40
 #: Times that the length of an article's line counts.
 WEIGHT = 8
-#: Characters of a window that only running text has.
-PROSE = 200
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -45,7 +43,9 @@ RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe",
 #: Elements without an end tag.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that belong to no article.
-BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "select", "button", "menu", "dialog", "fieldset", "label", "datalist"}
+BOILERPLATE = {"nav", "header", "footer", "aside", "form", "head", "menu", "dialog", "fieldset"}
+#: Parts of forms that stand within a line.
+CONTROLS = {"select", "button", "label", "datalist"}
 #: Words in a class, id, role or label by which a container is known as boilerplate, if its whole name consists of these and PLACES.
 BOILERPLATE_WORDS = set(
     "ad ads adv advert advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb "
@@ -64,6 +64,8 @@ TOPICS = set(
     "recommended skip search form widget".split()
 )
 COMMENTS = {"comment", "comments", "disqus"}
+#: A line outside of an article that claims rights in the page.
+_RIGHTS = re.compile(r"\W*(?:copyright\W*)?(?:©|\(c\))\s*\d{4}|\W*copyright\s+\d{4}|\W*all rights reserved\W*$", re.I)
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 #: Elements that begin a line.
 BLOCKS = set(
@@ -71,6 +73,18 @@ BLOCKS = set(
     "h6 head header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption option".split()
 )
 
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCKS))})(?=[\s/>])", re.I)
+_CONTROL_TAG = {name: re.compile(rf"<(/?){name}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for name in CONTROLS}
+
+
+def _after_control(page: str, name: str, at: int) -> int:
+    """Where the page goes on after a control: past its end tag, or without one at the next control or block."""
+    tag = _CONTROL_TAG[name].search(page, at)
+    if tag and tag[1]:
+        return tag.end()
+    block = _BLOCK_TAG.search(page, at)
+    return min(tag.start() if tag else len(page), block.start() if block else len(page))
+
 
 def _names(rest: str) -> list[set[str]]:
     """Words of each whole name in class, id and role, and of each label."""
@@ -85,14 +99,15 @@ def _words(name: str, rest: str, within: bool) -> set[str]:
     """Words of the names that say nothing but boilerplate; within an article only those that cannot name a part of it."""
     if not rest or name in HEADINGS or name in {"html", "body", "main"}:
         return set()
-    known = BOILERPLATE_WORDS
+    known, allowed = BOILERPLATE_WORDS, BOILERPLATE_WORDS | PLACES
     if within:
         known = COMMENTS if name == "section" else BOILERPLATE_WORDS - TOPICS
-    return set().union(*(n & known for n in _names(rest) if n & known and n <= known | PLACES))
+        allowed = COMMENTS | PLACES if name == "section" else allowed
+    return set().union(*(n & known for n in _names(rest) if n & known and n <= allowed))
 
 
-def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list[bool]]:
-    """Lines of a page in order, their text lengths outside links, and whether they stand in an article.
+def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[bool], list[int], list[bool]]:
+    """Lines of a page in order, their text lengths outside links, whether they stand in an article, are headings.
 
     Then for each line the number of the innermost container around it that is boilerplate by name, 0 if
     none, and for each number whether its names or those around it speak of comments.
@@ -103,6 +118,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list
     texts: list[str] = []
     lengths: list[int] = []
     inside: list[bool] = []
+    headings: list[bool] = []
     named: list[int] = []
     comments, within = [False], [0]
     parts: list[str] = []
@@ -120,6 +136,7 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list
         own = max(0, len(text) - linked)
         lengths.append(len(text) if articles and (heading or 2 * own > len(text)) else own)
         inside.append(articles > 0)
+        headings.append(heading)
         named.append(within[-1])
         linked = 0
 
@@ -163,6 +180,10 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
                 at = close.end() if close else end
             continue
+        if name in CONTROLS:
+            if not rest.endswith("/"):
+                at = _after_control(page, name, at)
+            continue
         if name == "br":
             add(" ")
         elif name == "a":
@@ -202,55 +223,57 @@ def lines(page: str) -> tuple[list[str], np.ndarray, list[bool], list[int], list
         articles += article
         stack.append((name, drops, article, number))
     flush()
-    return texts, np.array(lengths, np.int64), inside, named, comments
+    return texts, np.array(lengths, np.int64), inside, headings, named, comments
 
 
 def _densest(lengths: np.ndarray) -> int:
     return int(np.convolve(lengths, np.ones(WINDOW, np.int64)).max())
 
 
-def _without_named(lengths: np.ndarray, named: list[int], comments: list[bool]) -> np.ndarray:
-    """Whether each line stays: those of a container known by name only if it holds the densest and most of the text.
+def _without_named(lengths: np.ndarray, running: np.ndarray, named: list[int], comments: list[bool]) -> np.ndarray:
+    """Whether each line stays: those of a container known by name only if no running text is left outside of any.
 
-    Comments stay only where nothing else on the page is running text.
+    Then the densest such container stays. Comments never do.
     """
     of = np.array(named, np.int64)
     stays = of == 0
-    most, total = _densest(np.where(stays, lengths, 0)), lengths[stays].sum()
-    sums = np.bincount(of, lengths, len(comments))
-    for kind in (False, True):
-        if kind and _densest(np.where(stays, lengths, 0)) >= PROSE:
-            break
-        for number in np.flatnonzero((sums >= max(PROSE, total + 1)) & (np.array(comments) == kind)):
-            if number and _densest(np.where(of == number, lengths, 0)) >= max(PROSE, most):
-                stays |= of == number
-    return stays
+    if running[stays].any():
+        return stays
+    dense = {n: _densest(np.where(of == n, lengths, 0)) for n in set(named) if n and not comments[n]}
+    most = max(dense.values(), default=0)
+    return stays | np.isin(of, [n for n, d in dense.items() if d == most and most])
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, its blocks joined by a line feed; empty for null, empty and textless pages."""
     if not page:
         return ""
-    texts, lengths, inside, named, comments = lines(page)
+    texts, lengths, inside, headings, named, comments = lines(page)
     if any(named):
-        stays = _without_named(lengths, named, comments)
+        running = (lengths > 0) | np.array([a and t != "" for t, a in zip(texts, inside, strict=True)], bool)
+        stays = _without_named(lengths, running & ~np.array(headings, bool), named, comments)
         texts, lengths = [t if s else "" for t, s in zip(texts, stays, strict=True)], np.where(stays, lengths, 0)
-    article = np.array(inside, bool)
     full = np.array([len(t) for t in texts], np.int64)
-    # A link that stands alone between other lines of an article is text, a list of links is not.
-    own = np.flatnonzero(article & (full > 0))
-    linked = np.r_[False, lengths[own] == 0, False]
-    lone = own[linked[1:-1] & ~linked[:-2] & ~linked[2:]]
-    lengths[lone] = full[lone]
-    if not lengths.any():
-        # Nothing but links: those of an article are its text.
-        lengths = np.where(article, full, 0)
-    windows = np.convolve(lengths, np.ones(WINDOW, np.int64))
-    least = min(ENOUGH, SHARE * windows.max())
-    kept: list[str] = []
-    for first, last in stretches(np.where(article, WEIGHT * lengths, lengths), least):
-        kept += [t for t, n in zip(texts[first:last], lengths[first:last], strict=True) if n]
-    return "\n".join(kept)
+    article = np.array(inside, bool) & (full > 0)
+    rights = np.array([n > 0 and not a and _RIGHTS.match(t) is not None for t, n, a in zip(texts, full, article, strict=True)], bool)
+    lengths, full = np.where(rights, 0, lengths), np.where(rights, 0, full)
+    kept = article.copy()
+    outside = np.where(article, 0, lengths)
+    if article.any():
+        least = SHARE * _densest(np.where(article, WEIGHT * lengths, lengths))
+    else:
+        least = min(ENOUGH, SHARE * _densest(lengths))
+    ended = None
+    for first, last in stretches(outside, least):
+        kept[first:last] |= full[first:last] > 0
+        if ended is not None and not article.any() and (lengths[ended:first] > 0)[full[ended:first] > 0].all():
+            kept[ended:first] |= full[ended:first] > 0
+        ended = last
+        # Headings that lead to a stretch belong to it.
+        while first and (headings[first - 1] or not full[first - 1]):
+            first -= 1
+            kept[first] |= full[first] > 0 and not article.any()
+    return "\n".join(texts[i] for i in np.flatnonzero(kept))
 
 
 def stretches(lengths: np.ndarray, least: float) -> list[tuple[int, int]]:
@@ -275,7 +298,8 @@ def stretches(lengths: np.ndarray, least: float) -> list[tuple[int, int]]:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per row of pages: `id`, `url`, `text` (empty if none), `n_chars` (its code points).
 
-    A null page counts as empty. Repeated rows give equal rows; other columns are not read.
+    A null page counts as empty; an empty table gives no rows. Repeated rows give equal rows; other columns are
+    not read, whatever their names. Pages of any length are read whole.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     kinds = dict(rows.dtypes)

@@ -99,8 +99,11 @@ def test_main_text_weighs_an_article_by_density():
     body = "A sentence that goes on for a while, as those of an article do on most pages."
     links = "".join(f"<li><a href=x>Another page with a long title {i}</a></li>" for i in range(9))
     page = f"<article><h1><a href=x>Head</a></h1><p>{body}</p><p><a href=x>Source</a></p><p>{body} <a href=x>one</a></p><ul>{links}</ul><p>End.</p></article>"
-    # Unmarked lists of links in an article go, dense text outside of it stays.
-    assert main_text.main_text(page + f"<div>{body} out</div>") == f"Head\n{body}\nSource\n{body} one\nEnd.\n{body} out"
+    # Lists of links in an article stay, as does dense text outside of it.
+    sources = "\n".join(f"Another page with a long title {i}" for i in range(9))
+    assert main_text.main_text(page + f"<div>{body} out</div>") == f"Head\n{body}\nSource\n{body} one\n{sources}\nEnd.\n{body} out"
+    assert main_text.main_text(page + "<p>Written by the staff of the paper, printed in some town.</p>") == f"Head\n{body}\nSource\n{body} one\n{sources}\nEnd."
+    assert main_text.main_text("<article><p>Short.</p></article><p>Copyright 2024 A. Publisher, Inc.</p>") == "Short."
     assert main_text.main_text("<article><p><a href=x>All linked</a></p></article>") == "All linked"
 
 
@@ -124,6 +127,81 @@ def test_main_text_is_not_lost_by_a_word():
     assert main_text.main_text(page) == f"{text}\nRelated work\n{text}\nDiscussion\n{text}"
 
 
+def test_main_text_ends_controls_and_keeps_short_blocks():
+    long = "A sentence that goes on for a while, as those of an article do on most pages. " * 3
+    text = long.strip()
+    cases = {
+        "<article><h1>T</h1><button>Share</button><p>One.</p><p>Two.</p></article>": "T\nOne.\nTwo.",
+        "<article><p>a<button>Share<p>One.</p><label>x<p>Two.</p></article>": "a\nOne.\nTwo.",
+        "<div><select><option>a<option>b</select><p>One two.</p></div>": "One two.",
+        "<div><datalist id=d><option>a</option></datalist><p>One two.</p></div>": "One two.",
+        "x <label>y</label> z": "x z",
+        "x <label>y <button><b>q</b></button> <input> y</label> z": "x z",
+        "x <label>y <label>y</label> z": "x z",
+        "<p>One.</p><button>lost to the end": "One.",
+        "<article><p>Short one.</p><p>Two.</p></article><section class=comments><p>" + long + "</p></section>": "Short one.\nTwo.",
+        "<section class=comments><p>" + long + "</p></section>": "",
+        f"<div><p>{long}</p><p>Yes.</p><p>No.</p><p>Ok.</p><p>Hm.</p><p>{long}</p></div>": f"{text}\nYes.\nNo.\nOk.\nHm.\n{text}",
+        f"<h1>Head</h1><div class=widget><p>{long}</p></div><div class=related>Too</div>": f"Head\n{text}",
+    }
+    for page, expected in cases.items():
+        assert main_text.main_text(page) == expected, page
+
+
+def test_main_text_of_random_pages():
+    """Pages written from blocks known to be text or not; the expected text comes from the writer alone."""
+    rng = random.Random(5)
+    words = "amber birch cedar delta ember fjord grove haven".split()
+
+    def some(least, most):
+        return " ".join(rng.choices(words, k=rng.randint(least, most)))
+
+    def block(inside):
+        """Markup and its lines of text."""
+        kind, t = rng.randrange(12), some(1, 30)
+        if kind < 4:
+            return f"<p>{t}</p>", [t]
+        if kind == 4:
+            cut = some(1, 3)
+            return f"<div><p>{t} <!-- <p>no --><b>{cut}</b>\n &amp; <i>x</i></p></div>", [f"{t} {cut} & x"]
+        if kind == 5:
+            items = [some(1, 5) for _ in range(rng.randint(1, 6))]
+            return "<ul>" + "".join(f"<li><a href='/x'>{i}</a></li>" for i in items) + "</ul>", items if inside else []
+        if kind == 6:
+            name = rng.choice(["button", "label", "select", "datalist"])
+            return f"<p>{t} <{name} class=x>{some(1, 9)}</{name}> end</p>", [f"{t} end"]
+        if kind == 7:
+            name = rng.choice(["nav", "aside", "form", "footer", "menu", "fieldset", "dialog"])
+            return f"<{name}><div>{some(1, 40)}</div><p>{some(1, 40)}</{name}>", []
+        if kind == 8:
+            return f"<div class='{rng.choice(['ad', 'cookie-notice', 'comments', 'newsletter'])}'><p>{some(1, 60)}</p></div>", []
+        if kind == 9:
+            return f"<script>var a = '<p>{t}</p>';</script><style>p {{}}</style>", []
+        if kind == 10:
+            return f"<button>{some(1, 4)}<p>{t}</p>" if inside else f"<p>{t}</p>", [t]
+        return f"<h2>{t}</h2>", [t]
+
+    for _ in range(400):
+        inside = rng.random() < 0.7
+        opening = some(1, 30)
+        parts = [(f"<p>{opening}</p>", [opening]), *(block(inside) for _ in range(rng.randint(0, 14)))]
+        if not inside:
+            # Without an article the long paragraphs at both ends bound the text, and no list of links stands between.
+            ends = [(f"<p>{x}</p>", [x]) for x in (some(20, 30), some(20, 30))]
+            parts = [ends[0], *(x for x in parts if "<ul>" not in x[0]), ends[1]]
+        page = "".join(markup for markup, _ in parts)
+        page = f"<nav>{some(1, 9)}</nav>" + (f"<article>{page}</article>" if inside else page) + f"<footer>{some(1, 9)}</footer>"
+        assert main_text.main_text(page) == "\n".join(line for _, found in parts for line in found), page
+
+
+def test_main_text_of_tables(spark):
+    rows = [(1, None, None, "x"), (1, None, None, "x"), (2, "u", "<p>" + "long " * 300_000, "y"), (None, "u", "", "z"), (2, "u", "<p>a.b", "y")]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string, `a.b` string").withColumn("text", F.lit("other")).withColumn("id", F.lit(7))
+    got = sorted(((r.id or 0, r.n_chars, r.text[:3]) for r in main_text.extract(table).collect()))
+    assert got == [(0, 0, ""), (1, 0, ""), (1, 0, ""), (2, 3, "a.b"), (2, 1_499_999, "lon")]
+    assert main_text.extract(table.limit(0)).collect() == []
+
+
 def test_main_text_stretches():
     lengths = np.array([0, 0, 50, 0, 0, 0, 0, 60, 5, 60, 0, 0, 0, 3])
     assert main_text.stretches(lengths, 20) == [(2, 3), (7, 10)]

@@ -16,6 +16,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import WindowSpec
 
 from ebbline.config import RANDOM_SEED, ROLES
 from ebbline.functions.distributions import normal_two_sided
@@ -244,15 +245,9 @@ def weighted_effect(
     return _verdict(estimated, [], ["rows_used"])
 
 
-def nearest_controls(
-    df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", caliper: float = 0.05
-) -> DataFrame:
-    """For every distinct treated score the nearest control score within the caliper.
-
-    Controls are reused. All controls at the nearest distance count, on either side, so the result
-    does not depend on row order. Rows with equal scores are merged first. Score ranges, cut where
-    they split the rows evenly, are searched on their own; the nearest control beyond a range comes
-    from a table with one row per range.
+def _merged_scores(df: DataFrame, treatment: str, outcome: str, propensity: str) -> DataFrame:
+    """One row per distinct score: both arms, its range, its controls as ``here``, and the nearest controls
+    beyond the range as ``lower`` and ``upper``.
     """
     cuts = value_splits(df, [propensity], SCORE_BUCKETS)[propensity]
     y = F.col(outcome).cast("double")
@@ -266,6 +261,7 @@ def nearest_controls(
             F.coalesce(F.var_samp(F.when(treated, y)), F.lit(0.0)).alias("treated_variance"),
             F.count_if(control).alias("controls"),
             F.sum(F.when(control, y)).alias("control_sum"),
+            F.var_samp(F.when(control, y)).alias("control_variance"),
         )
         .withColumn("bucket", range_bucket(F.col("score"), double_array(cuts), SCORE_BUCKETS))
         .withColumn(
@@ -280,12 +276,32 @@ def nearest_controls(
     borders = ranges.select(
         "bucket", F.max("last").over(before).alias("lower"), F.min("first").over(after).alias("upper")
     )
-    up = Window.partitionBy("bucket").orderBy("score").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy("bucket").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    return scores.join(borders, "bucket")
+
+
+def _side(last: int, down: bool = False) -> WindowSpec:
+    """Scores of a range from one end up to the current one."""
+    order = F.desc("score") if down else F.col("score")
+    return Window.partitionBy("bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, last)
+
+
+def nearest_controls(
+    df: DataFrame, treatment: str, outcome: str, propensity: str = "propensity", caliper: float = 0.05
+) -> DataFrame:
+    """For every distinct treated score the nearest control score within the caliper.
+
+    Controls are reused. All controls at the nearest distance count, on either side, so the result
+    does not depend on row order. Rows with equal scores are merged first. Score ranges, cut where
+    they split the rows evenly, are searched on their own; the nearest control beyond a range comes
+    from a table with one row per range. ``used`` lists the control scores that count.
+    """
+    return _nearest(_merged_scores(df, treatment, outcome, propensity), caliper)
+
+
+def _nearest(scores: DataFrame, caliper: float) -> DataFrame:
     candidates = (
-        scores.join(borders, "bucket")
-        .withColumn("below", F.coalesce(F.max("here").over(up), F.col("lower")))
-        .withColumn("above", F.coalesce(F.min("here").over(down), F.col("upper")))
+        scores.withColumn("below", F.coalesce(F.max("here").over(_side(0)), F.col("lower")))
+        .withColumn("above", F.coalesce(F.min("here").over(_side(0, down=True)), F.col("upper")))
         .where(F.col("treated") > 0)
     )
     gap_below = F.col("score") - F.col("below.score")
@@ -310,6 +326,37 @@ def nearest_controls(
             F.when(use_below, F.col("below.score")).otherwise(F.col("above.score")).alias("control_score"),
             used("controls").alias("controls"),
             F.try_divide(used("control_sum"), used("controls")).alias("control_mean"),
+            F.array_compact(
+                F.array(
+                    F.when(use_below, F.col("below.score")), F.when(use_above, F.col("above.score"))
+                )
+            ).alias("used"),
+        )
+    )
+
+
+def _control_variances(scores: DataFrame) -> DataFrame:
+    """Outcome variance at every control score.
+
+    A score with one control takes it from its squared distance to the mean of the nearest other control score,
+    divided by the variance that this distance has for a unit variance of the outcome.
+    """
+    sides = scores.withColumns(
+        {
+            "under": F.coalesce(F.max("here").over(_side(-1)), F.col("lower")),
+            "over": F.coalesce(F.min("here").over(_side(-1, down=True)), F.col("upper")),
+        }
+    )
+    nearer = F.col("score") - F.col("under.score") <= F.col("over.score") - F.col("score")
+    other = F.when(F.col("over").isNull() | nearer, F.col("under")).otherwise(F.col("over"))
+    gap = F.col("control_sum") - F.col("other.control_sum") / F.col("other.controls")
+    neighbour = gap * gap / (1 + 1 / F.col("other.controls"))
+    return (
+        sides.where(F.col("controls") > 0)
+        .withColumn("other", other)
+        .select(
+            F.col("score").alias("control_score"), F.col("controls").alias("control_rows"),
+            F.when(F.col("controls") > 1, F.col("control_variance")).otherwise(neighbour).alias("control_variance"),
         )
     )
 
@@ -319,25 +366,41 @@ def matched_effect(
 ) -> DataFrame:
     """Effect on the treated by nearest-score matching with replacement.
 
-    The interval comes from the spread of the matched differences between scores plus the spread
-    of treated outcomes within a score.
+    The variance has two parts: the spread of treated outcomes around their matched mean and the effect, and for
+    every control its outcome variance times its use, the square of its summed weights less the sum of their squares. A
+    control that stands for many treated rows thus widens the interval. The variance is null if any use has no
+    outcome variance, as with a single control row in the whole table.
     """
-    pairs = nearest_controls(df, treatment, outcome, propensity, caliper)
+    scores = _merged_scores(df, treatment, outcome, propensity)
+    pairs = _nearest(scores, caliper)
     gap = F.col("treated_mean") - F.col("control_mean")
     n = F.col("treated")
     sums = pairs.agg(
         F.sum(n).alias("rows_used"),
         F.sum(n * gap).alias("s"),
         F.sum(n * gap * gap).alias("ss"),
-        F.sum(n * F.col("treated_variance")).alias("inner"),
+        F.sum((n - 1) * F.col("treated_variance")).alias("inner"),
         F.avg("distance").alias("mean_distance"),
     )
-    effect = F.try_divide(F.col("s"), F.col("rows_used"))
-    between = F.try_divide(F.col("ss"), F.col("rows_used")) - effect * effect
-    variance = F.try_divide(
-        F.greatest(between, F.lit(0.0)) + F.try_divide(F.col("inner"), F.col("rows_used")),
-        F.col("rows_used"),
+    uses = (
+        pairs.select(
+            F.explode("used").alias("control_score"),
+            (n / F.col("controls")).alias("weight"),
+            (n / F.col("controls") / F.col("controls")).alias("square"),
+        )
+        .groupBy("control_score")
+        .agg(F.sum("weight").alias("weight"), F.sum("square").alias("square"))
+        .join(_control_variances(scores), "control_score")
     )
+    # A control used once by one row adds nothing beyond what the first part holds.
+    excess = F.col("weight") * F.col("weight") - F.col("square")
+    excess = F.when(excess > 1e-12 * F.col("square"), excess).otherwise(0.0)
+    part = F.when(excess == 0, 0.0).otherwise(F.col("control_rows") * excess * F.col("control_variance"))
+    reused = uses.agg(F.when(F.count_if(part.isNull()) == 0, F.sum(part)).alias("reused"))
+    sums = sums.crossJoin(F.broadcast(reused))
+    effect = F.try_divide(F.col("s"), F.col("rows_used"))
+    spread = F.greatest(F.col("ss") - F.col("s") * effect, F.lit(0.0))
+    variance = F.try_divide(spread + F.col("inner") + F.col("reused"), F.col("rows_used") * F.col("rows_used"))
     estimated = sums.select(
         effect.alias("effect"), variance.alias("variance"), "rows_used", "mean_distance"
     )

@@ -263,9 +263,11 @@ ARMS = """s AS (SELECT c, COUNT(*)*1e0 AS n, COUNT(*) FILTER (t=1)*1e0 AS n1, CO
       AVG(y) FILTER (t=0) AS m0, VAR_SAMP(y) FILTER (t=1) AS v1, VAR_SAMP(y) FILTER (t=0) AS v0 FROM pl GROUP BY c)"""
 UNADJUSTED = """AVG(y) FILTER (t=1)-AVG(y) FILTER (t=0) AS eff,
       SQRT(VAR_SAMP(y) FILTER (t=1)/COUNT(*) FILTER (t=1)+VAR_SAMP(y) FILTER (t=0)/COUNT(*) FILTER (t=0)) AS se FROM pl"""
-# One 0/1 confounder gives two scores, so the nearest controls are those of the same stratum.
+# One 0/1 confounder gives two scores, so the nearest controls are those of the same stratum: each stands for n1/n0 treated
+# rows, the sum of n1 weights of 1/n0.
 MATCHED = """SUM(n1*(m1-m0))/SUM(n1) AS eff,
-      SQRT((SUM(n1*POWER(m1-m0,2))/SUM(n1)-POWER(SUM(n1*(m1-m0))/SUM(n1),2)+SUM(n1*v1)/SUM(n1))/SUM(n1)) AS se FROM s"""
+      SQRT(SUM(n1*POWER(m1-m0,2))-POWER(SUM(n1*(m1-m0)),2)/SUM(n1)+SUM((n1-1)*v1)+SUM(n0*(POWER(n1/n0,2)-n1/(n0*n0))*v0))/SUM(n1)
+      AS se FROM s"""
 
 
 @query(

@@ -185,6 +185,75 @@ def test_caliper_without_partner_leaves_rows_out(spark):
     assert A.nearest_controls(df, "t", "y", caliper=1.0).first().controls == 1
 
 
+def _matched_by_hand(rows):
+    """Effect and variance of nearest-score matching with replacement, row by row; rows are (score, t, y)."""
+    controls = [(s, y) for s, t, y in rows if t == 0]
+    uses, squares = [0.0] * len(controls), [0.0] * len(controls)
+    gaps = []
+    for s, t, y in rows:
+        if t == 1:
+            near = min(abs(s - c) for c, _ in controls)
+            chosen = [i for i, (c, _) in enumerate(controls) if abs(s - c) == near]
+            gaps.append(y - sum(controls[i][1] for i in chosen) / len(chosen))
+            for i in chosen:
+                uses[i] += 1 / len(chosen)
+                squares[i] += 1 / len(chosen) ** 2
+    effect = sum(gaps) / len(gaps)
+    total = sum((g - effect) ** 2 for g in gaps)
+    at = {}
+    for s, y in controls:
+        at.setdefault(s, []).append(y)
+    scores = sorted(at)
+    for i, (s, y) in enumerate(controls):
+        same = at[s]
+        if len(same) > 1:
+            mean = sum(same) / len(same)
+            variance = sum((x - mean) ** 2 for x in same) / (len(same) - 1)
+        else:
+            place = scores.index(s)
+            around = scores[max(0, place - 1) : place] + scores[place + 1 : place + 2]
+            other = at[min(around, key=lambda c: (abs(c - s), c))]
+            variance = (y - sum(other) / len(other)) ** 2 / (1 + 1 / len(other))
+        total += (uses[i] ** 2 - squares[i]) * variance
+    # Treated rows of one score enter the library by their mean and sample variance: the same sum of squares.
+    return effect, total / len(gaps) ** 2
+
+
+def _few_controls(rng, n, grid=None):
+    """Draws with a true effect of 0.15 in which controls are rare and stand for many treated rows."""
+    rows = []
+    for _ in range(n):
+        score = rng.random() if grid is None else rng.randrange(grid) / grid
+        t = int(rng.random() < 0.8)
+        rows.append((score, t, 0.15 * t + score + rng.gauss(0, 0.5)))
+    return rows
+
+
+def test_matched_variance_counts_every_use_of_a_control(spark):
+    rng = random.Random(11)
+    # Scores on a grid of binary fractions: distances on both sides are equal to the last bit.
+    for rows in (_few_controls(rng, 300), _few_controls(rng, 300, 64), _few_controls(rng, 300, 4)):
+        effect, variance = _matched_by_hand(rows)
+        got = A.matched_effect(spark.createDataFrame(rows, "propensity double, t int, y double"), "t", "y", caliper=1.0).first()
+        assert got.rows_used == sum(t for _, t, _ in rows)
+        assert got.Estimated_Effect == pytest.approx(effect, abs=1e-9)
+        assert (got.CI_Upper - got.Estimated_Effect) / A.Z_95 == pytest.approx(variance**0.5, rel=1e-6)
+
+
+def test_matched_interval_covers_the_effect():
+    rng = random.Random(3)
+    for grid in (None, 8):
+        draws = [_matched_by_hand(_few_controls(rng, 150, grid)) for _ in range(300)]
+        covered = sum(abs(effect - 0.15) <= A.Z_95 * variance**0.5 for effect, variance in draws) / len(draws)
+        assert 0.90 <= covered <= 0.99
+
+
+def test_matching_with_one_control_has_no_interval(spark):
+    df = spark.createDataFrame([(0.5, 1, 1.0), (0.5, 1, 0.0), (0.5, 0, 0.0)], "propensity double, t int, y double")
+    got = A.matched_effect(df, "t", "y").first()
+    assert (got.Estimated_Effect, got.CI_Lower, got.Significant) == (0.5, None, False)
+
+
 def test_refuters(planted):
     placebo = A.placebo_effect(planted, "t", "y", ["c"], "id").first()
     assert abs(placebo.Estimated_Effect) < 0.03

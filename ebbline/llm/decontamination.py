@@ -20,7 +20,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ebbline.llm.shared import stored, text_batches
+from ebbline.llm.shared import quoted, stored, text_batches
 from ebbline.llm.text_arrays import LETTERS, hashed_words, utf8, word_spans
 
 #: Fixed value: words of a window.
@@ -303,11 +303,12 @@ def find_spans(
     docs are not read, whatever their names. `carry` maps names to expressions over docs. With `clean`
     the column `clean` has the text without its spans (null stays null).
     """
-    carried = [c.alias(f"carry_{name}") for name, c in (carry or {}).items()]
+    # Stages in Python look columns up by name, so they get names without special characters.
+    carried = [c.alias(f"carry_{i}") for i, c in enumerate((carry or {}).values())]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *carried)
     all_windows = stored(windows(benchmark), "windows")
     passes = max(1, -(-all_windows.count() // windows_per_pass))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("text").schema]
+    kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.drop("text").schema]
     kinds += ["n_words long", "n_hit long", "items array<string>", "spans array<struct<first: long, last: long>>"]
     for number in range(passes):
         mine = all_windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
@@ -316,7 +317,7 @@ def find_spans(
         is_last = number == passes - 1
         text = ["clean string"] if is_last and clean else [] if is_last else ["text string"]
         rows = text_batches(rows).mapInArrow(_pass(sent, is_last, clean), ", ".join([*kinds, *text]))
-    return rows.withColumnsRenamed({f"carry_{name}": name for name in carry or {}})
+    return rows.withColumnsRenamed({f"carry_{i}": name for i, name in enumerate(carry or {})})
 
 
 def _pass(sent: Broadcast, is_last: bool, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -382,7 +383,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     `n_chars`, where docs have it, is counted anew for the texts that were cut. A document whose words
     were all benchmark passages is dropped; a document that had no words before stays.
     """
-    carry = {c: F.col(f"`{c}`") for c in docs.columns if c != text_col}
+    carry = {c: quoted(c) for c in docs.columns if c != text_col}
     found = find_spans(docs, benchmark, id_col, text_col, {f"own_{c}": x for c, x in carry.items()}, clean=True)
     found = found.where("n_hit = 0 OR n_hit < n_words")
     columns = []
@@ -392,5 +393,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         elif c == "n_chars":
             columns.append(F.when(F.col("n_hit") > 0, F.char_length("clean")).otherwise(F.col("own_n_chars")).cast(docs.schema[c].dataType).alias(c))
         else:
-            columns.append(F.col(f"own_{c}").alias(c))
+            columns.append(quoted(f"own_{c}").alias(c))
     return found.select(*columns)

@@ -154,6 +154,7 @@ def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = text_w
     and never shuffled. Repeated rows are drawn alike. A column of docs called `copies` is replaced.
     """
     docs = docs.drop("copies")
+    own_columns = [docs["`" + c.replace("`", "``") + "`"] for c in docs.columns]
     own_id, text, source = docs[id_col], docs[text_col], docs[source_col].cast("string")
     size, text_hash, key = word_count(text), F.xxhash64(text), exponential_key(own_id, weight(text))
     sizes = docs.select(own_id.alias("id"), text_hash.alias("hash"), source.alias("source"), size.alias("size"), key.alias("key"))
@@ -167,5 +168,5 @@ def mixed_documents(docs: DataFrame, weight: Callable[[Column], Column] = text_w
     cuts = stored(cuts, "cuts")
     drawn = cuts["last"].isNotNull() & (place(key, own_id, size, text_hash) <= cuts["last"])
     copies = cuts["epochs"] + F.when(drawn, 1).otherwise(0)
-    mixed = docs.join(cuts, source.eqNullSafe(cuts["source"])).select(*(docs[c] for c in docs.columns), copies.alias("copies"))
+    mixed = docs.join(cuts, source.eqNullSafe(cuts["source"])).select(*own_columns, copies.alias("copies"))
     return mixed.where("copies > 0")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ebbline.llm.shared import stored, text_batches
+from ebbline.llm.shared import fresh, stored, text_batches
 from ebbline.llm.text_arrays import BLOCK, utf8
 
 #: Labelled rows of each class in the sample at most, and bytes of a text at most: evenly spaced pieces.
@@ -242,21 +242,25 @@ def score(network: Network, texts: pa.Array) -> np.ndarray:
     return out
 
 
-def score_quality(docs: DataFrame, network: Network, text_col: str = "text") -> DataFrame:
-    """docs with all their columns and `quality_score` (0 to 1) of the whole text.
+def score_quality(docs: DataFrame, network: Network, text_col: str = "text", score_col: str = "quality_score") -> DataFrame:
+    """docs with all their columns and the score (0 to 1) of the whole text in `score_col`.
 
     Null and empty texts get the score of an empty text. Equal texts score alike. A column already
-    called `quality_score` is replaced.
+    called like `score_col` is replaced.
     """
-    docs = docs.drop("quality_score")
+    docs = docs.drop(score_col)
+    # Stages in Python look columns up by name, so they get names without special characters.
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    own_text = plain.columns[docs.columns.index(text_col)]
     sent = docs.sparkSession.sparkContext.broadcast(network.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Network(sent.value)
         for batch in batches:
-            yield batch.append_column("quality_score", pa.array(score(own, batch[text_col])))
+            yield batch.append_column("score", pa.array(score(own, batch[own_text])))
 
-    return text_batches(docs).mapInArrow(run, StructType([*docs.schema.fields, StructField("quality_score", DoubleType())]))
+    scored = text_batches(plain).mapInArrow(run, StructType([*plain.schema.fields, StructField("score", DoubleType())]))
+    return scored.toDF(*docs.columns, score_col)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -268,4 +272,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     if not len(sample):
         return docs
     network = _fitted(sample)
-    return score_quality(docs, network, text_col).where(F.col("quality_score") >= KEPT_FROM).select(*docs.columns)
+    score_col = fresh(docs, "quality_score")
+    return score_quality(docs, network, text_col, score_col).where(F.col(score_col) >= KEPT_FROM).drop(score_col)

@@ -31,6 +31,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column of df has it in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 #: Rows of an Arrow batch: a row here is a whole text or page.
 BATCH_ROWS = 1_000
 
@@ -72,12 +80,13 @@ def drop_judged(docs: DataFrame, id_col: str, text_hash: Column, judged: DataFra
     judged = stored(judged.where("repeats > 1 OR NOT stays").select("id", "hash", "stays"), "judged")
 
     def mine(rows: DataFrame, table: DataFrame) -> Column:
-        return rows[id_col].eqNullSafe(table["id"]) & (text_hash == table["hash"])
+        return rows["`" + id_col.replace("`", "``") + "`"].eqNullSafe(table["id"]) & (text_hash == table["hash"])
 
     kept = docs.join(judged, mine(docs, judged), "left_anti")
     repeated = judged.where("stays")
     if repeated.isEmpty():
         return kept
-    again = docs.withColumn("_text_hash", text_hash)
+    own_hash = fresh(docs, "text_hash")
+    again = docs.withColumn(own_hash, text_hash)
     again = again.join(repeated, mine(again, repeated), "left_semi")
-    return kept.unionByName(again.dropDuplicates([id_col, "_text_hash"]).drop("_text_hash"))
+    return kept.unionByName(again.dropDuplicates([id_col, own_hash]).drop(own_hash))

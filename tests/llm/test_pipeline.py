@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ebbline.llm import queries
@@ -80,6 +81,21 @@ def test_run_gives_the_last_stage(spark, steps):
     assert Counter((r.doc_id, r.copies) for r in found.collect()) == Counter((r.doc_id, r.copies) for r in steps[-1])
 
 
+def test_stages_take_clashing_column_names(spark):
+    """Extra columns of any name come through every stage with their values, repeated rows among them."""
+    rows = rows_of(odd_texts()) * 2
+    docs = spark.createDataFrame(rows, SCHEMA)
+    extra = ["a.b", "b`c", "_text_hash", "text_hash", "quality_score", "id", "hash", "stays", "last", "epochs", "carry_id", "own_lang", "clean"]
+    extra = [c for c in extra if c not in docs.columns]
+    docs = docs.select("*", *(F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")).alias(c) for c in extra))
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stored(stage(spark, docs, FOLDER), name)
+        assert set(docs.columns) >= {*COLUMNS, *extra}
+        for r in docs.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}:{r.doc_id}") for c in extra)
+    assert docs.count()
+
+
 def test_stages_take_odd_and_empty_tables(spark):
     odd = spark.createDataFrame(rows_of(odd_texts()) + rows_of([odd_texts()[6], None], [6, None]), SCHEMA)
     for docs in (odd, odd.limit(0)):

@@ -59,7 +59,8 @@ def copy_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     full = rows.join(heads, key, "left_semi").withColumn("full", F.sha2("content", 256)).drop("content")
     full = stored(full, "full")
     same = [*key, "full"]
-    groups = full.groupBy(same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size"))
+    # Stored, so that the join reads both sides straight from files: Spark broadcasts the groups or splits a hot one.
+    groups = stored(full.groupBy(same).agg(F.max("id").alias("keep_id"), F.count("*").alias("group_size")), "groups")
     copies = full.join(groups, same).drop("full", "prefix")
     alone = rows.drop("content").join(heads, key, "left_anti").drop("prefix")
     alone = alone.withColumns({"keep_id": F.col("id"), "group_size": F.lit(1).cast("long")})

@@ -1,8 +1,8 @@
 """Seeded samples, train/test splits and folds that are exact to the row without a global sort.
 
 Rows are ordered by a hash of their key. A split then is a comparison with border hashes: the
-borders are found from hash-bucket counts (bounded size) plus the rows of one bucket per border,
-and the split itself is a narrow projection of the full table.
+borders are found from hash-bucket counts (bounded size), which are refined by further hash bits until
+the bucket of a border is small, plus the rows of that bucket. The split itself is a narrow projection of the full table.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from ebbline.config import FOLDS, RANDOM_SEED, ROLES, TEST_SHARE
 
 HASH_BITS = 12
+#: Rows of a border's bucket from which it is counted by further hash bits rather than ordered.
+ROWS_PER_BUCKET = 100_000
 MAX_CLASSES = 100
 
 
@@ -22,9 +24,20 @@ def _hash(key: str, seed: int) -> Column:
     return F.xxhash64(F.col(key), F.lit(seed))
 
 
-def _hash_bucket(h: Column) -> Column:
-    """Top bits of the hash, shifted to 0.. so that buckets follow the hash order."""
-    return F.shiftright(h, 64 - HASH_BITS) + (1 << (HASH_BITS - 1))
+def _prefix(h: Column, bits: int) -> Column:
+    """Top bits of the hash; the shift keeps the sign, so prefixes follow the hash order."""
+    return F.shiftright(h, 64 - bits)
+
+
+def _place(counts: dict[int, int], rank: int) -> tuple[int, int, int] | None:
+    """Bucket that holds a rank, the rank inside it and its rows; None if there is no such rank."""
+    if rank < 1:
+        return None
+    for bucket in sorted(counts):
+        if rank <= counts[bucket]:
+            return bucket, rank, counts[bucket]
+        rank -= counts[bucket]
+    return None
 
 
 def _borders(
@@ -32,34 +45,49 @@ def _borders(
 ) -> dict:
     """For every class the ``(hash, key)`` found at the wanted ranks of the hash order.
 
-    The driver sees bucket counts (classes x 4096 at most) and one row per border.
+    The driver sees bucket counts (classes x 4096 at most, then borders x 4096) and one row per border. A bucket
+    with more rows than ``ROWS_PER_BUCKET`` is counted again by its next hash bits, until it has fewer or
+    all its rows share one hash, which are those of one key but for chance.
     """
     hashed = df.select(F.col(by).alias("cls"), F.col(key).alias("key"), _hash(key, seed).alias("h"))
-    hashed = hashed.where(F.col("cls").isNotNull()).withColumn("bucket", _hash_bucket(F.col("h")))
+    hashed = hashed.where(F.col("cls").isNotNull())
     bound = MAX_CLASSES << HASH_BITS
-    sizes_found = hashed.groupBy("cls", "bucket").count().limit(bound + 1).collect()
+    bits = HASH_BITS
+    sizes_found = hashed.groupBy("cls", _prefix(F.col("h"), bits).alias("bucket")).count().limit(bound + 1).collect()
     if len(sizes_found) > bound:
         raise ValueError(f"{by} has too many classes to split by (more than {MAX_CLASSES})")
     counts: dict = {}
     for r in sizes_found:
         counts.setdefault(r["cls"], {})[r["bucket"]] = r["count"]
-    wanted = []  # class, position in the list of ranks, bucket, place inside the bucket
+    found: dict = {}  # class and position in the list of ranks: bucket, place inside it, its rows
     for cls, sizes in counts.items():
-        ranks = list(ranks_of(sum(sizes.values())))
-        seen, ordered = 0, sorted(sizes)
-        spans = []
-        for b in ordered:
-            spans.append((seen, seen + sizes[b], b))
-            seen += sizes[b]
-        for i, rank in enumerate(ranks):
-            for low, high, b in spans:
-                if low < rank <= high:
-                    wanted.append((cls, i, b, rank - low))
-                    break
-    if not wanted:
+        for i, rank in enumerate(ranks_of(sum(sizes.values()))):
+            at = _place(sizes, rank)
+            if at is not None:
+                found[cls, i] = at
+    if not found:
         return {}
+    kind = df.schema[by].dataType.simpleString()
+    while bits < 64 and any(n > ROWS_PER_BUCKET for _, _, n in found.values()):
+        large = {(cls, at[0]) for (cls, _), at in found.items()}
+        targets = df.sparkSession.createDataFrame(sorted(large), f"cls {kind}, bucket bigint")
+        more = min(bits + HASH_BITS, 64)
+        finer = (
+            hashed.withColumn("bucket", _prefix(F.col("h"), bits))
+            .join(F.broadcast(targets), ["cls", "bucket"], "left_semi")
+            .groupBy("cls", "bucket", _prefix(F.col("h"), more).alias("finer"))
+            .count()
+            .collect()
+        )
+        within: dict = {}
+        for r in finer:
+            within.setdefault((r["cls"], r["bucket"]), {})[r["finer"]] = r["count"]
+        found = {(cls, i): _place(within[cls, at[0]], at[1]) for (cls, i), at in found.items()}
+        bits = more
+    wanted = [(cls, i, bucket, place) for (cls, i), (bucket, place, _) in found.items()]
+    hashed = hashed.withColumn("bucket", _prefix(F.col("h"), bits))
     spark = df.sparkSession
-    schema = f"cls {df.schema[by].dataType.simpleString()}, i int, bucket bigint, place int"
+    schema = f"cls {kind}, i int, bucket bigint, place bigint"
     targets = spark.createDataFrame(wanted, schema)
     up_to_here = (
         Window.partitionBy("cls", "bucket").orderBy("h", "key")

@@ -106,6 +106,29 @@ def test_string_keys_and_null_labels(spark):
     assert split.where("y is null").first().split == "train"
 
 
+def test_borders_are_refined_bit_by_bit(spark, monkeypatch):
+    """Buckets of a few bits, refined again and again, give the split of buckets that are ordered whole."""
+    from pyspark.sql import functions as F
+
+    # A third of all rows share one key, so one bucket stays large to the last bit.
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("id"), (F.col("id") % 5 == 0).cast("int").alias("y"))
+
+    def both():
+        split = P.stratified_split(rows, "y", "id", 0.25).select("id", "y", F.col("split").alias("part"))
+        folds = P.stratified_folds(rows, "y", "id", 4).select("id", "y", F.col("fold").cast("string").alias("part"))
+        return sorted(split.collect()), sorted(folds.collect())
+
+    whole = both()
+    monkeypatch.setattr(P, "HASH_BITS", 5)
+    monkeypatch.setattr(P, "ROWS_PER_BUCKET", 2)
+    assert both() == whole
+    keys = spark.range(2000).withColumn("y", F.lit(1))
+    tests = P.stratified_split(keys, "y", "id", 0.25).where("split = 'test'")
+    assert tests.count() == 500
+    first = keys.orderBy(P._hash("id", P.RANDOM_SEED), "id").limit(500)
+    assert sorted(r.id for r in tests.collect()) == sorted(r.id for r in first.collect())
+
+
 def test_sample_and_share(rows):
     assert P.sample_rows(rows, 100, "id").count() == 100
     assert P.sample_rows(rows, 5000, "id").count() == 1003

@@ -5,8 +5,9 @@ already stood in the `REACH` bytes before. Learned filters of 8 bytes run over t
 means over 64 bytes go through a second learned layer, are max-pooled over overlapping chunks of 512
 bytes, and the largest and mean chunk values give one probability.
 
-The network is fitted on the driver with a bounded sample of labelled rows and sent to the tasks; its
-size is fixed (a few thousand numbers).
+The network is fitted on the driver with the whole texts of a bounded number of labelled rows and sent to the
+tasks; its size is fixed (a few thousand numbers). Long texts pass through the filters range by range, in the fit
+as in scoring, so that memory for numbers does not follow the longest text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ebbline.llm.shared import fresh, stored, text_batches
 from ebbline.llm.text_arrays import BLOCK, utf8
 
-#: Labelled rows of each class in the sample at most, and bytes of a text at most: evenly spaced pieces.
-SAMPLE_ROWS, SAMPLE_BYTES, PIECES = 2_000, 16_384, 8
+#: Labelled rows of each class in the fit at most, unless `rows_per_class` says otherwise.
+SAMPLE_ROWS = 2_000
 #: Rows whose crc32(id) modulo 4 is this are held out of the fit.
 HELD_OUT = 2
 #: A text counts as good from this score on.
@@ -33,6 +34,8 @@ PAD, DIM, WIDTH, STRIDE, FILTERS, HIDDEN = 255, 8, 8, 4, 16, 16
 #: Bytes of half a mean window, of a pooling unit, and units of a chunk and between chunk starts.
 HALF, UNIT, CHUNK_UNITS, HOP_UNITS = 32, 128, 4, 3
 REACH = 32
+#: Units that pass through the filters at a time.
+RANGE_UNITS = 16_384
 EPOCHS, LEAST_STEPS, BATCH_DOCS, STEP, DECAY = 12, 400, 32, 0.01, 1e-4
 
 
@@ -73,14 +76,17 @@ class Network:
         }
         self.weights = {k: np.asarray(v, np.float32) for k, v in (weights or fresh).items()}
 
-    def forward(self, stream: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, tuple]:
-        """Logits of the texts of a layout(), and what the gradients need."""
+    def _filtered(self, stream: np.ndarray, flags: np.ndarray, ends: np.ndarray, u0: int, u1: int) -> tuple[np.ndarray, tuple]:
+        """Values of the units u0 to u1 of a layout whose texts end before the units `ends`, and what gradients need."""
         w = self.weights
-        table = np.zeros((256, DIM), np.float32)
+        # The last filter positions and mean windows of a range reach into the unit behind it.
+        last = min(u1 + 1, len(stream) // UNIT)
+        own = stream[u0 * UNIT : last * UNIT]
+        table = np.zeros((256, DIM), w["bytes"].dtype)
         table[:, :-1] = w["bytes"]
         table[PAD] = 0
-        x = table[stream]
-        x[:, -1] = recurrence(stream)
+        x = table[own]
+        x[:, -1] = flags[u0 * UNIT : last * UNIT]
         x = x.reshape(-1, STRIDE * DIM)
         half = STRIDE * DIM
         conv = x @ w["filters"][:half]
@@ -88,15 +94,30 @@ class Network:
         conv += w["filter_bias"]
         np.maximum(conv, 0, out=conv)
         # The last filter position and mean window of a text reach into the next text: they are left out.
-        conv[first[1:] * (UNIT // STRIDE) - 1] = 0
+        own_ends = ends[(ends > u0) & (ends <= last)] - u0
+        conv[own_ends * (UNIT // STRIDE) - 1] = 0
         means = conv.reshape(-1, HALF // STRIDE, FILTERS).mean(1)
         windows = means.copy()
         windows[:-1] += means[1:]
         windows *= 0.5
         hidden = windows @ w["hidden"] + w["hidden_bias"]
         np.maximum(hidden, 0, out=hidden)
-        hidden[first[1:] * (UNIT // HALF) - 1] = 0
-        units = hidden.reshape(-1, UNIT // HALF, HIDDEN).max(1)
+        hidden[own_ends * (UNIT // HALF) - 1] = 0
+        units = hidden.reshape(-1, UNIT // HALF, HIDDEN).max(1)[: u1 - u0]
+        return units, (own, x, conv, windows, hidden)
+
+    def forward(self, stream: np.ndarray, first: np.ndarray, flags: np.ndarray | None = None) -> tuple[np.ndarray, tuple]:
+        """Logits of the texts of a layout(), and what the gradients need."""
+        w = self.weights
+        flags = recurrence(stream) if flags is None else flags
+        bounds = [*range(0, first[-1], RANGE_UNITS), first[-1]]
+        ranges = list(zip(bounds[:-1], bounds[1:]))
+        filtered = []
+        for r in ranges:
+            values, inner = self._filtered(stream, flags, first[1:], *r)
+            # The state of one range is kept, that of several would grow with the texts.
+            filtered.append((values, inner if len(ranges) == 1 else None))
+        units = np.concatenate([values for values, _ in filtered])
         chunks = (np.diff(first) - CHUNK_UNITS) // HOP_UNITS + 1
         starts = np.r_[0, np.cumsum(chunks)]
         at = np.repeat(first[:-1], chunks) + HOP_UNITS * (np.arange(starts[-1]) - np.repeat(starts[:-1], chunks))
@@ -106,11 +127,11 @@ class Network:
         most = np.maximum.reduceat(pooled, starts[:-1])
         mean = np.add.reduceat(pooled, starts[:-1]) / chunks[:, None]
         logits = np.concatenate([most, mean], 1) @ w["out"] + w["out_bias"]
-        return logits, (stream, x, conv, windows, hidden, units, at, pooled, starts, chunks, most, mean)
+        return logits, (stream, flags, first[1:], ranges, filtered, units, at, pooled, starts, chunks, most, mean)
 
     def gradients(self, state: tuple, d_logits: np.ndarray) -> dict[str, np.ndarray]:
         w = self.weights
-        stream, x, conv, windows, hidden, units, at, pooled, starts, chunks, most, mean = state
+        stream, flags, ends, ranges, filtered, units, at, pooled, starts, chunks, most, mean = state
         grads = {"out": np.concatenate([most, mean], 1).T @ d_logits, "out_bias": d_logits.sum(keepdims=True)}
         of = np.repeat(np.arange(len(chunks)), chunks)
         d_pooled = (d_logits / chunks)[of, None] * w["out"][HIDDEN:]
@@ -124,10 +145,22 @@ class Network:
             here = open_ & (units[at + k] == pooled)
             np.add.at(d_units, at + k, np.where(here, d_pooled, 0))
             open_ &= ~here
+        for (u0, u1), (_, inner) in zip(ranges, filtered):
+            inner = inner or self._filtered(stream, flags, ends, u0, u1)[1]
+            for name, grad in self._filter_gradients(inner, d_units[u0:u1]).items():
+                grads[name] = grads[name] + grad if name in grads else grad
+        return grads
+
+    def _filter_gradients(self, inner: tuple, d_units: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of all weights below the units, for the units of one range."""
+        w = self.weights
+        own, x, conv, windows, hidden = inner
         by_unit = hidden.reshape(-1, UNIT // HALF, HIDDEN)
-        top = (by_unit == units[:, None]) & (by_unit > 0)
+        behind = len(by_unit) - len(d_units)
+        d_units = np.concatenate([d_units, np.zeros((behind, HIDDEN), d_units.dtype)])
+        top = (by_unit == by_unit.max(1, keepdims=True)) & (by_unit > 0)
         d_hidden = np.where(top, (d_units / np.maximum(top.sum(1), 1))[:, None], 0).reshape(-1, HIDDEN)
-        grads["hidden"], grads["hidden_bias"] = windows.T @ d_hidden, d_hidden.sum(0)
+        grads = {"hidden": windows.T @ d_hidden, "hidden_bias": d_hidden.sum(0)}
         d_windows = d_hidden @ w["hidden"].T * 0.5
         d_means = d_windows.copy()
         d_means[1:] += d_windows[:-1]
@@ -138,7 +171,7 @@ class Network:
         d_x = d_conv @ w["filters"][:half].T
         d_x[1:] += d_conv[:-1] @ w["filters"][half:].T
         d_x = d_x.reshape(-1, DIM)
-        grads["bytes"] = np.stack([np.bincount(stream, d_x[:, i], 256) for i in range(DIM - 1)], 1)
+        grads["bytes"] = np.stack([np.bincount(own, d_x[:, i], 256) for i in range(DIM - 1)], 1)
         grads["bytes"][PAD] = 0
         return grads
 
@@ -176,22 +209,13 @@ def held_out(id_col: str) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == HELD_OUT, F.lit(False))
 
 
-def _piece(text: str) -> str:
-    """Long texts of the sample: evenly spaced pieces of the whole."""
-    content = text.encode()
-    if len(content) <= SAMPLE_BYTES:
-        return text
-    size = SAMPLE_BYTES // PIECES
-    starts = np.linspace(0, len(content) - size, PIECES).astype(int)
-    return " ".join(content[s : s + size].decode(errors="ignore") for s in starts)
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality", rows_per_class: int | None = None) -> pa.Table:
+    """`text` (whole), `label`, `weight`: up to rows_per_class rows of each class, first by a hash of the id.
 
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str = "quality") -> pa.Table:
-    """`text`, `label`, `weight`: up to SAMPLE_ROWS rows of each class, first by a hash of the id.
-
-    Labels of one id are combined to the largest. Weights give both classes their share of all labels of docs.
+    rows_per_class bounds the labelled rows of the fit; without it it is SAMPLE_ROWS. Labels of one id are combined to the largest. Weights give both classes their share of all labels of docs.
     Held-out rows, null labels, null texts and ids that docs lack are no part of it and take no place in it.
     """
+    most = SAMPLE_ROWS if rows_per_class is None else rows_per_class
     marked = labels.groupBy(F.col("doc_id").alias("labelled")).agg(F.max(label_col).alias("label"))
     marked = marked.where(F.col("label").isNotNull() & F.col("labelled").isNotNull() & ~held_out("labelled"))
     marked = marked.withColumn("label", (F.col("label") >= 1).cast("int"))
@@ -199,19 +223,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     marked = stored(marked.join(present, "labelled", "left_semi"), "labelled")
     shares = {r["label"]: r["n"] for r in marked.groupBy("label").agg(F.count("*").alias("n")).collect()}
     order = [F.xxhash64("labelled"), F.col("labelled")]
-    chosen = [marked.where(F.col("label") == x).orderBy(*order).limit(SAMPLE_ROWS) for x in (0, 1)]
+    chosen = [marked.where(F.col("label") == x).orderBy(*order).limit(most) for x in (0, 1)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))
     rows = docs.select(F.col(id_col).alias("labelled"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     rows = rows.join(chosen, "labelled").select("labelled", "text", "label")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = pa.array([_piece(t) for t in batch["text"].to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([batch["labelled"], texts, batch["label"]], ["labelled", "text", "label"])
-
-    rows = text_batches(rows).mapInArrow(cut, rows.schema)
     # Repeated ids could bring more rows than were chosen.
-    sample = rows.orderBy(*order, F.xxhash64("text")).limit(2 * SAMPLE_ROWS).toArrow()
+    sample = rows.orderBy(*order, F.xxhash64("text")).limit(2 * most).toArrow()
     label = np.asarray(sample["label"].to_numpy(), np.float32)
     weight = np.ones(len(label), np.float32)
     for x in (0, 1):
@@ -220,9 +237,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     return pa.table({"text": sample["text"], "label": label, "weight": weight})
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Network:
-    """A network for the labels. Without any label in the sample every text scores 0.5."""
-    return _fitted(labelled_sample(docs, labels, id_col, text_col, label_col))
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows_per_class: int | None = None) -> Network:
+    """A network for the labels of up to rows_per_class rows a class. Without any label every text scores 0.5."""
+    return _fitted(labelled_sample(docs, labels, id_col, text_col, label_col, rows_per_class))
 
 
 def _fitted(sample: pa.Table) -> Network:
@@ -230,14 +247,22 @@ def _fitted(sample: pa.Table) -> Network:
 
 
 def score(network: Network, texts: pa.Array) -> np.ndarray:
-    """Probability of label 1 for each whole text; null counts as empty."""
+    """Probability of label 1 for each whole text; null counts as empty.
+
+    Sums of floats depend on the place of a row in a matrix product. So every text is a product of its
+    own, and equal texts score alike to the last bit, whatever stands beside them.
+    """
     data, offsets = utf8(texts)
     out, first, n = np.zeros(len(offsets) - 1), 0, len(offsets) - 1
     while first < n:
         last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + BLOCK // 4, "right")) - 1)
         stream, units = layout(data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
-        logits = network.forward(stream, units)[0].astype(np.float64)
-        out[first:last] = 1 / (1 + np.exp(-logits))
+        flags = recurrence(stream)
+        for i in range(last - first):
+            u0, u1 = units[i], units[i + 1]
+            own = slice(u0 * UNIT, u1 * UNIT)
+            logit = network.forward(stream[own], np.array([0, u1 - u0]), flags[own])[0].astype(np.float64)
+            out[first + i] = 1 / (1 + np.exp(-logit[0]))
         first = last
     return out
 
@@ -263,12 +288,12 @@ def score_quality(docs: DataFrame, network: Network, text_col: str = "text", sco
     return scored.toDF(*docs.columns, score_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_class: int | None = None) -> DataFrame:
     """The rows of docs whose text scores `KEPT_FROM` or more, with all their columns.
 
     All rows if no text of docs has a label to learn from.
     """
-    sample = labelled_sample(docs, labels, id_col, text_col)
+    sample = labelled_sample(docs, labels, id_col, text_col, rows_per_class=rows_per_class)
     if not len(sample):
         return docs
     network = _fitted(sample)

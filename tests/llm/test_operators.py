@@ -572,6 +572,41 @@ def test_scores_do_not_depend_on_neighbours():
     assert quality.score(network, pa.array(texts)) == pytest.approx(alone, abs=1e-5)
 
 
+def test_equal_texts_score_alike_in_any_company():
+    network = quality.Network()
+    network.weights["out"] = np.linspace(-1, 1, 2 * quality.HIDDEN).astype(np.float32)
+    texts = [words(i, 5 + 61 * i) for i in range(9)] + [""]
+    alone = {t: quality.score(network, pa.array([t]))[0] for t in texts}
+    for turn in range(len(texts)):
+        row = texts[turn:] + texts[: turn // 2]
+        assert quality.score(network, pa.array(row)).tolist() == [alone[t] for t in row]
+
+
+def test_ranges_of_a_text_give_the_same_network(monkeypatch):
+    network = quality.Network()
+    network.weights = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    network.weights["out"] = np.linspace(-1, 1, 2 * quality.HIDDEN)
+    data, offsets = quality.utf8(pa.array([words(1, 900), "", words(2, 400), "De De De De De " * 60, words(3, 40)]))
+    stream, first = quality.layout(data, offsets)
+    error = np.linspace(-1, 1, 5)
+    logits, state = network.forward(stream, first)
+    whole = network.gradients(state, error)
+    for size in (1, 2, 3, 7):
+        monkeypatch.setattr(quality, "RANGE_UNITS", size)
+        again, state = network.forward(stream, first)
+        assert again == pytest.approx(logits, abs=1e-9)
+        for name, grad in network.gradients(state, error).items():
+            assert grad == pytest.approx(whole[name], abs=1e-9), name
+
+
+def test_whole_texts_are_fitted(spark):
+    long_text = words(1, 20_000)
+    docs = spark.createDataFrame([(i, long_text + f" w{i}") for i in range(8)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    sample = quality.labelled_sample(docs, labels, "doc_id", "text", rows_per_class=1)
+    assert len(sample) == 2 and all(t.startswith(long_text) for t in sample["text"].to_pylist())
+
+
 def test_quality_gradients():
     network, rng = quality.Network(), np.random.default_rng(0)
     network.weights = {k: v.astype(np.float64) + rng.normal(0, 0.05, v.shape) for k, v in network.weights.items()}

@@ -7,6 +7,8 @@ attribution and scoring are shared per folder by the queries of a session.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -131,6 +133,24 @@ def _(t):
     )
 
 
+#: Columns of the encoder with wide columns; lists of levels end at 20 so that both forms occur at every scale.
+WIDE_ROLES = replace(ROLES, numeric=("tenure",), categorical=("TotalCharges", "Contract"))
+WIDE_FROM = 20
+
+
+@query(
+    "m04b_one_hot_levels_joined",
+    """lv AS (SELECT 1 AS part, 'TotalCharges_' || "TotalCharges" AS feature, COUNT(*) AS customers FROM f GROUP BY 2
+      UNION ALL SELECT 2, 'Contract_' || "Contract", COUNT(*) FROM f GROUP BY 2)
+    SELECT ROW_NUMBER() OVER (ORDER BY part, feature) AS position, feature, customers FROM lv""",
+)
+def _(t):
+    encoder = N.fit_encoder(t.base, WIDE_ROLES, wide=True, max_levels=WIDE_FROM)
+    entries = N.nonzero_features(N.encode(encoder, t.base, WIDE_ROLES))
+    counts = entries.where(F.col("position") >= len(WIDE_ROLES.numeric)).groupBy("position").agg(F.count(F.lit(1)).alias("customers"))
+    return N.feature_table(encoder, t.spark, WIDE_ROLES).join(counts, "position")
+
+
 def _encoded_sql():
     """CTE ``enc(feature, label, x, w)``: every encoded value with its number of customers."""
     numeric = [

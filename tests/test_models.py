@@ -1,4 +1,5 @@
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -50,6 +51,39 @@ def test_too_many_levels_are_refused(spark):
         N.fit_encoder(wide, TINY)
 
 
+def test_wide_levels_give_the_same_vectors(spark, tiny, tmp_path):
+    listed = N.fit_encoder(tiny, TINY)
+    joined = N.fit_encoder(tiny, TINY, wide=True, max_levels=1)
+    joined.write().overwrite().save(str(tmp_path / "encoder"))
+    loaded = PipelineModel.load(str(tmp_path / "encoder"))
+    unknown = tiny.withColumn("Contract", F.when(F.col("customerID") == 1, "Three year").otherwise(F.col("Contract")))
+    for rows in (tiny, unknown, tiny.limit(0)):
+        for encoder in (joined, loaded):
+            assert vectors(N.encode(encoder, rows, TINY)) == vectors(N.encode(listed, rows, TINY))
+    table = N.feature_table(joined, spark, TINY).orderBy("position").collect()
+    assert [r.feature for r in table] == N.feature_names(listed, TINY)
+    with pytest.raises(ValueError):
+        N.feature_names(joined, TINY)
+    entries = {(r.customerID, r.position): r.value for r in N.nonzero_features(N.encode(joined, tiny, TINY)).collect()}
+    dense = vectors(N.encode(listed, tiny, TINY))
+    assert entries == {(k, i): x for k, v in dense.items() for i, x in enumerate(v) if x}
+
+
+def test_a_hundred_thousand_levels(spark):
+    # A third of all rows share one level.
+    level = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.format_string("L%06d", F.col("id") * 7919 % 200_003))
+    rows = spark.range(150_000).select(F.col("id").alias("customerID"), level.alias("Contract"), F.lit("a").alias("Partner"), F.lit(1).alias("tenure"), F.lit("1").alias("TotalCharges"))
+    encoder = N.fit_encoder(rows, TINY, wide=True)
+    names = N.feature_table(encoder, spark, TINY).where("feature LIKE 'Contract_%'")
+    assert names.count() == 100_001
+    by_name = names.orderBy(F.col("feature").cast("binary")).collect()
+    assert [r.position for r in by_name] == list(range(2, 100_003))
+    entries = N.nonzero_features(N.encode(encoder, rows, TINY)).where("position BETWEEN 2 AND 100002")
+    found = entries.join(names, "position").join(rows, "customerID")
+    assert found.count() == 150_000
+    assert found.where("feature != concat('Contract_', Contract) OR value != 1").isEmpty()
+
+
 def test_prepare_splits_before_fitting(base, prepared):
     sizes = {r.split: r["count"] for r in prepared.table.groupBy("split").count().collect()}
     assert sum(sizes.values()) == base.count()

@@ -247,20 +247,28 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.nd
         yield shard()
 
 
-def _phrases(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
-    """Word hashes of each window (filled at the right), lengths, item numbers (-1 for null), item names."""
-    lists = found["words"].combine_chunks()
-    lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
-    lengths = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+def _phrases(found: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """Word hashes of each window (filled at the right), lengths, first item of each window, item numbers, item names."""
+
+    def flat(name: str) -> tuple[np.ndarray, pa.Array]:
+        lists = found[name].combine_chunks()
+        lists = lists if isinstance(lists, pa.Array) else pa.concat_arrays(lists.chunks)
+        return np.r_[0, np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int64), lists.flatten()
+
+    starts, words = flat("words")
+    lengths = np.diff(starts)
     phrases = np.zeros((len(lengths), WINDOW), np.uint64)
-    phrases[np.arange(WINDOW) < lengths[:, None]] = lists.flatten().to_numpy().view(np.uint64)
-    items = found["item"].to_pylist()
-    names = sorted({x for x in items if x is not None})
-    number = {x: i for i, x in enumerate(names)} | {None: -1}
-    return phrases, lengths, np.array([number[x] for x in items], np.int64), names
+    phrases[np.arange(WINDOW) < lengths[:, None]] = words.to_numpy().view(np.uint64)
+    first, items = flat("items")
+    items = items.to_pylist()
+    names = sorted(set(items))
+    number = {x: i for i, x in enumerate(names)}
+    return phrases, lengths, first, np.array([number[x] for x in items], np.int64), names
 
 
-def _search_shard(table: pa.Table, words: np.ndarray, bounds: np.ndarray, phrases: np.ndarray, lengths: np.ndarray, items: np.ndarray) -> tuple:
+def _search_shard(
+    table: pa.Table, words: np.ndarray, bounds: np.ndarray, phrases: np.ndarray, lengths: np.ndarray, first: np.ndarray, items: np.ndarray
+) -> tuple:
     """Per document: hit flags of its words (flat), and (document, item) pairs."""
     index = FMIndex(words, bounds)
     low, high = index.search(phrases, lengths)
@@ -268,21 +276,25 @@ def _search_shard(table: pa.Table, words: np.ndarray, bounds: np.ndarray, phrase
     phrase = np.repeat(np.arange(len(phrases)), many)
     rows = np.repeat(low, many) + np.arange(len(phrase)) - np.repeat(np.cumsum(many) - many, many)
     change = np.zeros(len(words) + 1, np.int64)
-    pairs = np.zeros((0, 2), np.int64)
+    found = np.zeros((0, 2), np.int64)
     for i in range(0, len(rows), SHARD_WORDS):
         at = index.locate(rows[i : i + SHARD_WORDS])
         own = phrase[i : i + SHARD_WORDS]
         np.add.at(change, at, 1)
         np.add.at(change, at + lengths[own], -1)
         docs = np.searchsorted(bounds, at, "right") - 1
-        pairs = np.unique(np.concatenate([pairs, np.stack([docs, items[own]], 1)]), axis=0)
+        found = np.unique(np.concatenate([found, np.stack([docs, own], 1)]), axis=0)
+    # Places are located once a window; its items follow per document that has it.
+    many = np.diff(first)[found[:, 1]]
+    place = np.repeat(first[found[:, 1]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    pairs = np.unique(np.stack([np.repeat(found[:, 0], many), items[place]], 1), axis=0)
     if "spans" in table.column_names:
         # Runs found by an earlier pass.
         lists = table["spans"].combine_chunks()
         start = np.repeat(bounds[:-1], pa.compute.list_value_length(lists).to_numpy())
         np.add.at(change, start + lists.flatten().field("first").to_numpy(), 1)
         np.add.at(change, start + lists.flatten().field("last").to_numpy(), -1)
-    return np.cumsum(change)[:-1] > 0, pairs[pairs[:, 1] >= 0]
+    return np.cumsum(change)[:-1] > 0, pairs
 
 
 def find_spans(
@@ -311,7 +323,10 @@ def find_spans(
     kinds = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in rows.drop("text").schema]
     kinds += ["n_words long", "n_hit long", "items array<string>", "spans array<struct<first: long, last: long>>"]
     for number in range(passes):
-        mine = all_windows.where(F.pmod(F.xxhash64("words"), F.lit(passes)) == number)
+        # Dealt by window and item: one window of very many items is spread over the passes as well.
+        mine = all_windows.where(F.pmod(F.xxhash64("words", "item"), F.lit(passes)) == number)
+        # Null items are left out of the lists, their windows are searched all the same.
+        mine = mine.groupBy("words").agg(F.collect_list("item").alias("items"))
         sent = rows.sparkSession.sparkContext.broadcast(_phrases(mine.toArrow()))
         # What earlier passes found travels with the row; the text goes along until the last one.
         is_last = number == passes - 1
@@ -322,9 +337,9 @@ def find_spans(
 
 def _pass(sent: Broadcast, is_last: bool, clean: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phrases, lengths, items, names = sent.value
+        phrases, lengths, first, items, names = sent.value
         for table, words, bounds in _shards(batches):
-            hit, pairs = _search_shard(table, words, bounds, phrases, lengths, items)
+            hit, pairs = _search_shard(table, words, bounds, phrases, lengths, first, items)
             found = _rows(table, bounds, hit, pairs, names)
             if not is_last:
                 found = found.append_column("text", table["text"])

@@ -354,6 +354,21 @@ def test_signature_matches_follow_similarity():
     assert (a == b).sum(1).min() >= near_dedup.least_matches(near_dedup.COORDINATES, 84)
 
 
+def test_a_window_of_many_items_is_dealt_over_the_passes(spark, monkeypatch):
+    passage = words(3, 10)
+    docs = spark.createDataFrame([(1, "so " + passage + " so"), (2, "clean"), (3, passage + " " + passage)], "doc_id long, text string")
+    rows = [(f"i{n:03}", passage) for n in range(300)] + [(None, passage), (None, words(9, 12))]
+    benchmark = spark.createDataFrame(rows, "item_id string, text string")
+    sent, phrases = [], decontamination._phrases
+    monkeypatch.setattr(decontamination, "_phrases", lambda found: sent.append(phrases(found)) or sent[-1])
+    whole = decontamination.find_spans(docs, benchmark).orderBy("id").collect()
+    assert [r.n_hit for r in whole] == [10, 0, 20] and whole[0]["items"] == [f"i{n:03}" for n in range(300)]
+    # The passage stands once among the windows sent, whatever the number of its items.
+    assert len(sent) == 1 and len(sent[0][0]) == 4
+    assert decontamination.find_spans(docs, benchmark, windows_per_pass=60).orderBy("id").collect() == whole
+    assert len(sent) == 7 and max(len(p[3]) for p in sent[1:]) < 100
+
+
 def test_decontamination_matches_brute_force(spark, odd, empty):
     passage, short = words(50, 25), "Just FOUR little words"
     items = [(1, passage), (2, short), (None, words(51, 12)), (3, None), (4, "!!"), (10, passage[10:] + " x y"), (10, words(52, 3))]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ebbline.config import ROLES
 from ebbline.operators.encode import FEATURES
-from ebbline.operators.histogram_trees import TreesModel
+from ebbline.operators.histogram_trees import TreesModel, unpacked_tree
 from ebbline.session import shared_folder
 
 #: Cells (rows x paths x features of a path) worked on at once.
@@ -58,12 +58,12 @@ class Nodes:
 
 
 def _own_nodes(model: TreesModel) -> Nodes:
-    held = model.ensemble
+    held = model.held
     trees = held["trees"]
     share = 1.0 / max(len(trees), 1) if held["forest"] else 1.0
     roots, parts, at = [], [], 0
     for tree in trees:
-        table = np.array(tree, np.float64)
+        table = unpacked_tree(tree)
         inner = table[:, 2] >= 0
         table[inner, 2] += at
         roots.append(at)

@@ -10,8 +10,10 @@ for the others. The Shapley weight of such a product has a closed form as an int
 a polynomial of degree m - 1 in t for a path of m features, so a Gauss-Legendre rule of m / 2 points gives it exactly. Contributions of a
 row add up to its prediction minus the base, and the base is the mean prediction over all background rows.
 
-Both passes are narrow: one over the background counts rows by node, one over the explained rows takes all paths at once.
-Nodes and paths travel with the tasks; their number is that of the model.
+Both passes are narrow: one over the background counts rows by node, one over the explained rows takes all paths. For
+many rows, a path of m features at most `TABLE_FEATURES` is worked out once for each of the 2^m patterns of features that a row
+keeps to; a row then only looks up its pattern, which it gets on its way down the tree. Nodes and paths travel with the tasks;
+their number is that of the model.
 """
 
 from __future__ import annotations
@@ -33,6 +35,11 @@ from ebbline.session import shared_folder
 
 #: Cells (rows x paths x features of a path) worked on at once.
 CELLS = 1 << 21
+#: Features of a path whose patterns are tabled, rows from which tables pay, cells of tables and of patterns held at once.
+TABLE_FEATURES = 10
+TABLE_ROWS = 1024
+TABLE_CELLS = 1 << 20
+PATTERN_CELLS = 1 << 25
 
 
 @dataclass
@@ -162,16 +169,17 @@ class Paths:
     leaf: np.ndarray  # paths
 
 
+def _branch_share(nodes: Nodes, rows: np.ndarray, child: int, parent: int) -> float:
+    # Where no background row comes, the rows that the model was fitted on decide.
+    counts = rows if rows[parent] else nodes.rows
+    return float(counts[child]) / float(counts[parent])
+
+
 def leaf_paths(nodes: Nodes, rows: np.ndarray) -> tuple[dict[int, Paths], float]:
     """Paths by number of features, and the base value; rows holds the background rows of each node."""
     found: dict[int, list] = {}
     base = nodes.base
 
-    def share(child: int, parent: int) -> float:
-        # Where no background row comes, the rows that the model was fitted on decide.
-        counts = rows if rows[parent] else nodes.rows
-        return float(counts[child]) / float(counts[parent])
-
     for root in nodes.roots:
         total = max(int(rows[root]), 1)
         open_: list[tuple[int, dict]] = [(int(root), {})]
@@ -185,7 +193,7 @@ def leaf_paths(nodes: Nodes, rows: np.ndarray) -> tuple[dict[int, Paths], float]
             f = int(nodes.feature[node])
             for child, is_left in ((int(nodes.left[node]), True), (int(nodes.right[node]), False)):
                 splits, weight = taken.get(f, ((), 1.0))
-                open_.append((child, taken | {f: ((*splits, (node, is_left)), weight * share(child, node))}))
+                open_.append((child, taken | {f: ((*splits, (node, is_left)), weight * _branch_share(nodes, rows, child, node))}))
     paths = {}
     for m, group in found.items():
         most = max(len(splits) for taken, _ in group for splits, _ in taken.values())
@@ -223,13 +231,113 @@ def contributions(x: np.ndarray, nodes: Nodes, paths: dict[int, Paths]) -> np.nd
     return phi
 
 
+@dataclass
+class Tabled:
+    """Paths of one tree with `TABLE_FEATURES` features at most.
+
+    splits, parents first: the place of the pattern of the node (-1: root), the node, and the bit of its feature; the children's patterns
+    are at twice the place of the split and the next one. leaves by m: patterns of the paths, features, shares, leaf values.
+    """
+
+    splits: list[tuple[int, int, int, bool]]
+    leaves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def tabled_paths(nodes: Nodes, rows: np.ndarray) -> list[Tabled]:
+    """Short paths of every tree; rows holds the background rows of each node."""
+    found = []
+    for root in nodes.roots.tolist():
+        splits, leaves = [], {}
+        open_: list[tuple[int, int, tuple, tuple]] = [(root, -1, (), ())]
+        for node, at, features, shares in open_:
+            if nodes.left[node] < 0:
+                if features:
+                    leaves.setdefault(len(features), []).append((at, features, shares, nodes.value[node]))
+                continue
+            f = int(nodes.feature[node])
+            bit = features.index(f) if f in features else len(features)
+            if bit == TABLE_FEATURES:
+                continue
+            fresh = bit == len(features)
+            for i, child in enumerate((int(nodes.left[node]), int(nodes.right[node]))):
+                share = _branch_share(nodes, rows, child, node)
+                own = (*shares, share) if fresh else (*shares[:bit], shares[bit] * share, *shares[bit + 1 :])
+                open_.append((child, 2 * len(splits) + i, (*features, f) if fresh else features, own))
+            splits.append((at, node, bit, fresh))
+        found.append(Tabled(splits, {m: tuple(np.array(c) for c in zip(*group)) for m, group in leaves.items()}))
+    return found
+
+
+def pattern_tables(share: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+    """paths x m x 2^m: contributions of the features of each path by pattern; bit j is set where a row keeps to feature j."""
+    m = share.shape[1]
+    points, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
+    points, weights = (points + 1) / 2, weights / 2
+    low = share[:, :, None] * (1 - points)
+    high = low + points
+    product = np.ones((len(share), 1, len(points)))
+    for j in range(m):
+        product = np.concatenate((product * low[:, [j]], product * high[:, [j]]), axis=1)
+    # Without feature j: the product with its bit set over its factor, which is above 0 then.
+    others = product @ (weights / high).transpose(0, 2, 1)
+    bit, pattern = 1 << np.arange(m), np.arange(1 << m)[:, None]
+    table = others[:, pattern | bit, np.arange(m)]
+    share = share[:, None, :]
+    table *= np.where(pattern & bit, 1 - share, -share) * leaf[:, None, None]
+    return np.ascontiguousarray(table.transpose(0, 2, 1))
+
+
+def tabled_contributions(x: np.ndarray, nodes: Nodes, trees: Sequence[Tabled]) -> np.ndarray:
+    """rows x features: the part of the Shapley values that comes from short paths."""
+    columns, phi = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
+    most = max((len(t.splits) for t in trees), default=0)
+    step = max(TABLE_ROWS, PATTERN_CELLS // (2 * most + 1))
+    for tree in trees:
+        for start in range(0, x.shape[0], step):
+            part = slice(start, start + step)
+            patterns = _patterns(columns[:, part], nodes, tree)
+            for places, features, table in _tables(tree):
+                for place, own, of_path in zip(places.tolist(), features.tolist(), table):
+                    pattern = patterns[place].astype(np.intp)
+                    for f, values in zip(own, of_path):
+                        phi[f, part] += values.take(pattern)
+    return phi.T
+
+
+def _tables(tree: Tabled):
+    for m, (places, features, shares, leaf) in tree.leaves.items():
+        step = max(1, TABLE_CELLS // (m << m))
+        for at in range(0, len(leaf), step):
+            part = slice(at, at + step)
+            yield places[part], features[part], pattern_tables(shares[part], leaf[part])
+
+
+def _patterns(columns: np.ndarray, nodes: Nodes, tree: Tabled) -> np.ndarray:
+    """Patterns of the rows (columns: features x rows) at both children of every split."""
+    found = np.empty((2 * len(tree.splits), columns.shape[1]), np.uint16)
+    for i, (at, node, bit, fresh) in enumerate(tree.splits):
+        value = columns[nodes.feature[node]]
+        goes = np.isin(value, nodes.categories[node]) if node in nodes.categories else value <= nodes.threshold[node]
+        left = goes.astype(np.uint16) << np.uint16(bit)
+        right = left ^ np.uint16(1 << bit)
+        before = found[at] if at >= 0 else np.uint16(0)
+        if fresh:
+            found[2 * i], found[2 * i + 1] = before | left, before | right
+        else:
+            others = np.uint16(0xFFFF ^ (1 << bit))
+            found[2 * i], found[2 * i + 1] = before & (left | others), before & (right | others)
+    return found
+
+
 def tree_attribution(encoded: DataFrame, model: Model, names: Sequence[str], background: DataFrame, key: str = ROLES.key) -> DataFrame:
     """Exact contributions of every row of encoded: key, feature, value, phi, base.
 
     On the scale on which the trees add up: the probability for forests, the margin for boosted trees.
     """
     nodes = nodes_of(model)
-    paths, base = leaf_paths(nodes, background_rows(background, nodes))
+    counts = background_rows(background, nodes)
+    paths, base = leaf_paths(nodes, counts)
+    tabled, long = tabled_paths(nodes, counts), {m: p for m, p in paths.items() if m > TABLE_FEATURES}
     rows = encoded.select(key, vector_to_array(FEATURES).alias("x"))
     # The work of a row grows with the paths: few partitions are dealt to all cores.
     cores = encoded.sparkSession.sparkContext.defaultParallelism
@@ -239,9 +347,12 @@ def tree_attribution(encoded: DataFrame, model: Model, names: Sequence[str], bac
     def explain(batches):
         for batch in batches:
             x = _matrix(batch)
+            # Tables are for many rows; what is left for each row are the long paths.
+            many = len(x) >= TABLE_ROWS
+            short = tabled_contributions(x, nodes, tabled) if many else np.zeros(x.shape)
             for at in range(0, len(x), 256):
                 some = x[at : at + 256]
-                phi = contributions(some, nodes, paths)
+                phi = short[at : at + 256] + contributions(some, nodes, long if many else paths)
                 lists = [pa.array(list(a), pa.list_(pa.float64())) for a in (some, phi)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *lists], names=[key, "x", "phi"])
 

@@ -234,3 +234,76 @@ def test_categories_of_splits_and_nodes_without_background(spark, prepared, fore
         sums = rows.groupBy("customerID").agg(F.sum("phi").alias("s"), F.max("base").alias("b"), F.count("*").alias("n"))
         for r in sums.join(M.scored_by(forest.model, prepared.test, "m"), "customerID").collect():
             assert r.n == len(prepared.names) and r.s + r.b == pytest.approx(r.probability, abs=1e-9)
+
+
+def test_levels_send_splits_to_the_driver_not_histograms(spark, monkeypatch):
+    """Over many blocks a level costs the driver one split a node, whatever the bins."""
+    import pickle
+
+    from pyspark import RDD
+
+    rng = np.random.default_rng(2)
+    x = rng.uniform(size=(900, 6))
+    y = (x[:, 0] + rng.uniform(size=900) > 1).astype(int)
+    rows = vectors(spark, [(i, int(y[i]), *map(float, x[i])) for i in range(900)], 6)
+    monkeypatch.setattr(B, "BLOCK_ROWS", 100)
+    sent, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: [sent.append(len(pickle.dumps(found := collect(rdd)))), found][1])
+    model = B.Forest(numTrees=8, maxDepth=5, seed=3).fit(rows)
+    assert sum(len(t) for t in model.ensemble["trees"]) > 200
+    # 6 features of 64 bins are 9 kB of sums a node.
+    assert sent and max(sent) < 60_000
+
+
+def test_few_blocks_are_dealt(wavy, monkeypatch):
+    monkeypatch.setattr(B, "BLOCK_ROWS", 150)
+    monkeypatch.setattr(B, "_side_by_side", None)
+    assert len(B.Forest(numTrees=3, maxDepth=3).fit(wavy).ensemble["trees"]) == 3
+
+
+def test_trees_are_packed_and_older_models_are_read(wavy):
+    import json
+
+    model = B.Forest(numTrees=3).fit(wavy)
+    held = model.ensemble
+    for packed, tree in zip(model.held["trees"], held["trees"]):
+        assert isinstance(packed, bytes) and len(packed) < 16 * len(tree) + 200
+        assert B.unpacked_tree(packed).tolist() == tree
+    older = B.TreesModel(trees=json.dumps(held))
+    assert older.ensemble == held and list(older.featureImportances) == list(model.featureImportances)
+
+
+def test_leaf_budgets_beyond_the_depth_share_a_fit(spark, wavy, monkeypatch):
+    from ebbline.operators.splitting import stratified_folds
+
+    parts = stratified_folds(wavy, "label", "customerID", 2, 42).cache()
+    fits, fit = [], B.BinnedTable.fit
+    monkeypatch.setattr(B.BinnedTable, "fit", lambda self, own, *a: fits.extend(own) or fit(self, own, *a))
+    points = [{"maxIter": 2, "maxDepth": 3, "numLeaves": n} for n in (5, 8, 31)]
+    _, areas, _ = B.BoostedTrees().search(parts, points, 2)
+    assert len(fits) == 2 * 3 and areas[1] == areas[2]
+
+
+@pytest.mark.parametrize("longest", [2, 10])
+def test_tabled_paths_equal_paths_one_by_one(spark, wavy, longest, monkeypatch):
+    monkeypatch.setattr(T, "TABLE_FEATURES", longest)
+    model = B.Forest(numTrees=4, maxDepth=6).fit(wavy)
+    one = {(r.customerID, r.feature): r.phi for r in T.tree_attribution(wavy.coalesce(1), model, list("abcd"), wavy).collect()}
+    monkeypatch.setattr(T, "TABLE_ROWS", 1)
+    monkeypatch.setattr(T, "TABLE_CELLS", 64)
+    monkeypatch.setattr(T, "PATTERN_CELLS", 1)
+    nodes = T.nodes_of(model)
+    counts = T.background_rows(wavy, nodes)
+    rows = wavy.select("customerID", vector_to_array("features").alias("x")).collect()
+    x = np.array([r.x for r in rows])
+    paths, _ = T.leaf_paths(nodes, counts)
+    found = T.tabled_contributions(x, nodes, T.tabled_paths(nodes, counts))
+    found = found + T.contributions(x, nodes, {m: p for m, p in paths.items() if m > longest})
+    expected = [[one[r.customerID, c] for c in "abcd"] for r in rows]
+    np.testing.assert_allclose(found, expected, atol=1e-12)
+
+
+def test_tasks_of_a_fit_are_bounded_by_the_cores(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fit_tasks(5, spark) == 1 and M.fit_tasks(2 * M.TASK_ROWS, spark) == min(2, cores)
+    assert M.fit_tasks(10_000 * M.TASK_ROWS, spark) == cores

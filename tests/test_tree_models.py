@@ -255,6 +255,35 @@ def test_levels_send_splits_to_the_driver_not_histograms(spark, monkeypatch):
     assert sent and max(sent) < 60_000
 
 
+@pytest.mark.parametrize("most", [4, 256])
+def test_levels_of_a_column_are_counted_together(most, monkeypatch):
+    """Features that exclude each other share a column of codes, and its sums are those of every feature by itself."""
+    monkeypatch.setattr(B, "JOINT_CODES", most)
+    rng = np.random.default_rng(5)
+    n = 500
+    level, other, number = rng.integers(0, 20, n), rng.integers(0, 2, n), rng.integers(0, 30, n)
+    bins = np.concatenate(([number], level == np.arange(20)[:, None], [other, 1 - other])).astype(np.uint8)
+    layout = B.Layout([[float(i) for i in range(29)], *[[0.5]] * 22])
+    joint = B.joint_codes(bins, layout.sizes)
+    assert sorted(f for j in joint for f in j.features) == list(range(23))
+    assert all(len(j.bins) <= max(most, layout.sizes[j.features[0]]) for j in joint)
+    if most == 256:
+        # 23 features, but a row is counted in two columns.
+        assert len(joint) == 2
+    for j in joint:
+        assert (j.bins[j.codes].T == bins[j.features]).all()
+    rows = np.sort(rng.choice(n, 400, replace=False))
+    drawn = B.Drawn(rows, rng.integers(-1000, 1000, (3, 400)).astype(float), rng.integers(0, 3, 400))
+    columns = np.array([0, 2, 3, 7, 20, 22])
+    slot = np.where(drawn.node == 1, -1, drawn.node // 2)
+    found = B.shared_histograms(joint, drawn, slot, 2, columns, layout)
+    allowed = np.zeros((2, 23), bool)
+    allowed[:, columns] = True
+    kept = slot >= 0
+    alone = B.chosen_histograms(bins, B.Drawn(rows[kept], drawn.values[:, kept], slot[kept]), slot[kept], B.choice_of(allowed, layout))
+    assert (found.reshape(3, -1) == alone).all()
+
+
 def test_few_blocks_are_dealt(wavy, monkeypatch):
     monkeypatch.setattr(B, "BLOCK_ROWS", 150)
     monkeypatch.setattr(B, "_side_by_side", None)

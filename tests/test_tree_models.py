@@ -336,3 +336,29 @@ def test_tasks_of_a_fit_are_bounded_by_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert M.fit_tasks(5, spark) == 1 and M.fit_tasks(2 * M.TASK_ROWS, spark) == min(2, cores)
     assert M.fit_tasks(10_000 * M.TASK_ROWS, spark) == cores
+
+
+@pytest.mark.parametrize("rows", [100, 65_536])
+def test_trees_do_not_pass_through_the_driver(spark, wavy, tmp_path, rows, monkeypatch):
+    """They are stored by tasks, read by those that score, and a saved model has its own copy."""
+    import pickle
+
+    from pyspark import RDD
+    from pyspark.ml import PipelineModel
+
+    monkeypatch.setattr(B, "BLOCK_ROWS", rows)
+    sent, collect = [0], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda rdd: [sent.append(len(pickle.dumps(found := collect(rdd)))), found][1])
+    monkeypatch.setattr(B, "BLOCKS_AT_ONCE", 1)
+    model = B.Forest(numTrees=40).fit(wavy)
+    shares = model.featureImportances
+    packed = sum(map(len, model.held["trees"]))
+    assert packed > 10 * len(model.getOrDefault(model.trees))
+    if rows > 100:
+        assert max(sent) < packed / 5
+    assert list(shares) == list(B.gain_shares(map(B.unpacked_tree, model.held["trees"]), 4, True))
+    whole = {r.customerID: r.probability[1] for r in model.transform(wavy).collect()}
+    PipelineModel(stages=[model]).write().overwrite().save(str(tmp_path / "m"))
+    back = PipelineModel.load(str(tmp_path / "m")).stages[0]
+    assert back.ensemble == model.ensemble and str(tmp_path) in back.getOrDefault(back.trees)
+    assert {r.customerID: r.probability[1] for r in back.transform(wavy).collect()} == whole

@@ -362,3 +362,15 @@ def test_trees_do_not_pass_through_the_driver(spark, wavy, tmp_path, rows, monke
     back = PipelineModel.load(str(tmp_path / "m")).stages[0]
     assert back.ensemble == model.ensemble and str(tmp_path) in back.getOrDefault(back.trees)
     assert {r.customerID: r.probability[1] for r in back.transform(wavy).collect()} == whole
+
+
+def test_elimination_keeps_no_trees(spark, wavy, monkeypatch):
+    """The gains of a forest reach the driver, not its trees; its ranking is that of the trees."""
+    fit = B.Forest(numTrees=30, maxDepth=8).settings(4)
+    with B.BinnedTable(wavy, "features", 4, "customerID") as table:
+        grown, _ = table.fit([fit], seed=3)
+        own = B.gain_shares(map(B.unpacked_tree, grown[0][1]), 4, True)
+        monkeypatch.setattr(B, "packed_tree", None)
+        assert list(table.gain_shares(fit, 4, 3)) == list(own)
+        monkeypatch.setattr(B, "BLOCKS_AT_ONCE", 0)
+        assert list(table.gain_shares(fit, 4, 3)) == list(own)

@@ -12,14 +12,17 @@ row add up to its prediction minus the base, and the base is the mean prediction
 
 Both passes are narrow: one over the background counts rows by node, one over the explained rows takes all paths. For
 many rows, a path of m features at most `TABLE_FEATURES` is worked out once for each of the 2^m patterns of features that a row
-keeps to; a row then only looks up its pattern, which it gets on its way down the tree. Nodes and paths travel with the tasks;
-their number is that of the model.
+keeps to. The paths below a node are added up by the pattern at that node and the sides of the splits below it, as far
+as these make `TABLE_BITS` bits: a row gets its pattern on its way down and looks up all paths of such a subtree at once. Rows are
+gathered before that, whatever batches and partitions Spark cuts, as tables cost the same for few rows as for many. Nodes and
+paths travel with the tasks; their number is that of the model.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,15 @@ from ebbline.session import shared_folder
 
 #: Cells (rows x paths x features of a path) worked on at once.
 CELLS = 1 << 21
-#: Features of a path whose patterns are tabled, rows from which tables pay, cells of tables and of patterns held at once.
+#: Features of a path whose patterns are tabled, bits by which a subtree is looked up, rows from which tables pay.
 TABLE_FEATURES = 10
+TABLE_BITS = 11
 TABLE_ROWS = 1024
+#: Cells of tables and of patterns held at once, rows looked up at once, cells (rows x features) gathered at once.
 TABLE_CELLS = 1 << 20
 PATTERN_CELLS = 1 << 25
+LOOKUP_ROWS = 1 << 14
+GATHERED_CELLS = 1 << 21
 
 
 @dataclass
@@ -207,6 +214,8 @@ def leaf_paths(nodes: Nodes, rows: np.ndarray) -> tuple[dict[int, Paths], float]
 def contributions(x: np.ndarray, nodes: Nodes, paths: dict[int, Paths]) -> np.ndarray:
     """rows x features: Shapley values of the rows of x."""
     phi = np.zeros(x.shape)
+    if not paths:
+        return phi
     left = nodes.goes_left(x)
     for m, p in paths.items():
         points, weights = np.polynomial.legendre.leggauss(m // 2 + 1)
@@ -231,28 +240,61 @@ def contributions(x: np.ndarray, nodes: Nodes, paths: dict[int, Paths]) -> np.nd
     return phi
 
 
+@dataclass
+class Subtree:
+    """Paths that are looked up together, those below one node.
+
+    The index of a row has the pattern at the node (its place `at`, -1: root; `bits` bits) and, above it, a bit for each of `nodes`: whether
+    the row goes left there. paths: m, the place among the paths of m features, and the steps from the node to the leaf as
+    (number of the split, bit of its feature, whether that is new to the path, whether the path goes left).
+    """
+
+    number: int
+    at: int
+    bits: int
+    nodes: list[int]
+    paths: list[tuple[int, int, tuple]]
+
+
 @dataclass
 class Tabled:
     """Paths of one tree with `TABLE_FEATURES` features at most.
 
     splits, parents first: the place of the pattern of the node (-1: root), the node, and the bit of its feature; the children's patterns
-    are at twice the place of the split and the next one. leaves by m: patterns of the paths, features, shares, leaf values.
+    are at twice the place of the split and the next one. leaves by m: features, shares, leaf values of the paths.
     """
 
     splits: list[tuple[int, int, int, bool]]
-    leaves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    subtrees: list[Subtree]
+    leaves: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def _splits_below(nodes: Nodes, root: int) -> dict[int, int]:
+    """Splits of the subtree of every node of a tree."""
+    order, found = [root], {}
+    for node in order:
+        if nodes.left[node] >= 0:
+            order += [int(nodes.left[node]), int(nodes.right[node])]
+    for node in reversed(order):
+        found[node] = 1 + found[int(nodes.left[node])] + found[int(nodes.right[node])] if nodes.left[node] >= 0 else 0
+    return found
 
 
 def tabled_paths(nodes: Nodes, rows: np.ndarray) -> list[Tabled]:
     """Short paths of every tree; rows holds the background rows of each node."""
     found = []
     for root in nodes.roots.tolist():
-        splits, leaves = [], {}
-        open_: list[tuple[int, int, tuple, tuple]] = [(root, -1, (), ())]
-        for node, at, features, shares in open_:
+        splits, subtrees, ends, below = [], [], [], _splits_below(nodes, root)
+        # A node, the place of its pattern, features and shares of its path; its subtree once that is looked up as one, and the steps there.
+        open_: list[tuple[int, int, tuple, tuple, Subtree | None, tuple]] = [(root, -1, (), (), None, ())]
+        for node, at, features, shares, own, steps in open_:
+            if own is None and (not below[node] or len(features) + below[node] <= TABLE_BITS):
+                own = Subtree(len(subtrees), at, len(features), [], [])
+                subtrees.append(own)
+                ends.append([])
             if nodes.left[node] < 0:
                 if features:
-                    leaves.setdefault(len(features), []).append((at, features, shares, nodes.value[node]))
+                    ends[own.number].append((features, shares, nodes.value[node], steps))
                 continue
             f = int(nodes.feature[node])
             bit = features.index(f) if f in features else len(features)
@@ -261,10 +303,22 @@ def tabled_paths(nodes: Nodes, rows: np.ndarray) -> list[Tabled]:
             fresh = bit == len(features)
             for i, child in enumerate((int(nodes.left[node]), int(nodes.right[node]))):
                 share = _branch_share(nodes, rows, child, node)
-                own = (*shares, share) if fresh else (*shares[:bit], shares[bit] * share, *shares[bit + 1 :])
-                open_.append((child, 2 * len(splits) + i, (*features, f) if fresh else features, own))
-            splits.append((at, node, bit, fresh))
-        found.append(Tabled(splits, {m: tuple(np.array(c) for c in zip(*group)) for m, group in leaves.items()}))
+                weights = (*shares, share) if fresh else (*shares[:bit], shares[bit] * share, *shares[bit + 1 :])
+                place, further = (2 * len(splits) + i, ()) if own is None else (-1, (*steps, (len(own.nodes), bit, fresh, i == 0)))
+                open_.append((child, place, (*features, f) if fresh else features, weights, own, further))
+            if own is None:
+                splits.append((at, node, bit, fresh))
+            else:
+                own.nodes.append(node)
+        # Paths are numbered in the order of their subtrees, in which their tables are worked out.
+        leaves: dict[int, list] = {}
+        for subtree, paths in zip(subtrees, ends):
+            for features, shares, value, steps in paths:
+                group = leaves.setdefault(len(features), [])
+                subtree.paths.append((len(features), len(group), steps))
+                group.append((features, shares, value))
+        held = {m: tuple(np.array(c) for c in zip(*group)) for m, group in leaves.items()}
+        found.append(Tabled(splits, [s for s in subtrees if s.paths], held))
     return found
 
 
@@ -287,38 +341,75 @@ def pattern_tables(share: np.ndarray, leaf: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(table.transpose(0, 2, 1))
 
 
+@lru_cache(maxsize=4096)
+def _path_patterns(bits: int, splits: int, steps: tuple) -> np.ndarray:
+    """Pattern of a path by the index of its subtree."""
+    index = np.arange(1 << (bits + splits))
+    pattern = index & ((1 << bits) - 1)
+    for split, bit, fresh, is_left in steps:
+        kept = ((index >> (bits + split)) & 1) == is_left
+        pattern = pattern | (kept << bit) if fresh else pattern & ~(~kept << bit)
+    return pattern
+
+
 def tabled_contributions(x: np.ndarray, nodes: Nodes, trees: Sequence[Tabled]) -> np.ndarray:
     """rows x features: the part of the Shapley values that comes from short paths."""
     columns, phi = np.ascontiguousarray(x.T), np.zeros(x.shape[::-1])
     most = max((len(t.splits) for t in trees), default=0)
     step = max(TABLE_ROWS, PATTERN_CELLS // (2 * most + 1))
+    read = np.empty(LOOKUP_ROWS)
     for tree in trees:
         for start in range(0, x.shape[0], step):
-            part = slice(start, start + step)
-            patterns = _patterns(columns[:, part], nodes, tree)
-            for places, features, table in _tables(tree):
-                for place, own, of_path in zip(places.tolist(), features.tolist(), table):
-                    pattern = patterns[place].astype(np.intp)
-                    for f, values in zip(own, of_path):
-                        phi[f, part] += values.take(pattern)
+            part = columns[:, start : start + step]
+            patterns = _patterns(part, nodes, tree)
+            for subtree, features, table in _subtree_tables(tree):
+                for at in range(0, part.shape[1], LOOKUP_ROWS):
+                    some = slice(at, at + LOOKUP_ROWS)
+                    index = _index(part[:, some], patterns[:, some], nodes, subtree)
+                    found, own = read[: len(index)], slice(start + at, start + at + len(index))
+                    for f, values in zip(features, table):
+                        # Every index is in the table; clipping saves a check and a copy.
+                        values.take(index, out=found, mode="clip")
+                        phi[f, own] += found
     return phi.T
 
 
-def _tables(tree: Tabled):
-    for m, (places, features, shares, leaf) in tree.leaves.items():
-        step = max(1, TABLE_CELLS // (m << m))
-        for at in range(0, len(leaf), step):
-            part = slice(at, at + step)
-            yield places[part], features[part], pattern_tables(shares[part], leaf[part])
+def _index(columns: np.ndarray, patterns: np.ndarray, nodes: Nodes, subtree: Subtree) -> np.ndarray:
+    """Places of the rows (columns: features x rows) in the table of a subtree."""
+    index = patterns[subtree.at].astype(np.intp) if subtree.at >= 0 else np.zeros(columns.shape[1], np.intp)
+    for i, node in enumerate(subtree.nodes):
+        index |= _goes_left(columns, nodes, node).astype(np.intp) << (subtree.bits + i)
+    return index
+
+
+def _subtree_tables(tree: Tabled) -> Iterator[tuple[Subtree, list[int], np.ndarray]]:
+    """Subtrees with their features and features x indices: the sum of the contributions over all paths."""
+    ranges = {m: range(0) for m in tree.leaves}
+    tables: dict[int, np.ndarray] = {}
+    for subtree in tree.subtrees:
+        features = sorted({int(f) for m, k, _ in subtree.paths for f in tree.leaves[m][0][k]})
+        row = {f: i for i, f in enumerate(features)}
+        total = np.zeros((len(features), 1 << (subtree.bits + len(subtree.nodes))))
+        for m, k, steps in subtree.paths:
+            own, shares, leaf = tree.leaves[m]
+            if k not in ranges[m]:
+                ranges[m] = range(k, min(k + max(1, TABLE_CELLS // (m << m)), len(leaf)))
+                tables[m] = pattern_tables(shares[ranges[m].start : ranges[m].stop], leaf[ranges[m].start : ranges[m].stop])
+            pattern = _path_patterns(subtree.bits, len(subtree.nodes), steps)
+            total[[row[f] for f in own[k].tolist()]] += tables[m][k - ranges[m].start].take(pattern, axis=1)
+        yield subtree, features, total
+
+
+def _goes_left(columns: np.ndarray, nodes: Nodes, node: int) -> np.ndarray:
+    value = columns[nodes.feature[node]]
+    return np.isin(value, nodes.categories[node]) if node in nodes.categories else value <= nodes.threshold[node]
 
 
 def _patterns(columns: np.ndarray, nodes: Nodes, tree: Tabled) -> np.ndarray:
     """Patterns of the rows (columns: features x rows) at both children of every split."""
     found = np.empty((2 * len(tree.splits), columns.shape[1]), np.uint16)
     for i, (at, node, bit, fresh) in enumerate(tree.splits):
-        value = columns[nodes.feature[node]]
-        goes = np.isin(value, nodes.categories[node]) if node in nodes.categories else value <= nodes.threshold[node]
-        left = goes.astype(np.uint16) << np.uint16(bit)
+        left = _goes_left(columns, nodes, node).astype(np.uint16) << np.uint16(bit)
         right = left ^ np.uint16(1 << bit)
         before = found[at] if at >= 0 else np.uint16(0)
         if fresh:
@@ -329,6 +420,25 @@ def _patterns(columns: np.ndarray, nodes: Nodes, tree: Tabled) -> np.ndarray:
     return found
 
 
+def gathered(batches: Iterable[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined to one of so many rows or a little more."""
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= most:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
+def _lists(rows: np.ndarray) -> pa.ListArray:
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * np.int32(width)), pa.array(np.ascontiguousarray(rows).ravel()))
+
+
 def tree_attribution(encoded: DataFrame, model: Model, names: Sequence[str], background: DataFrame, key: str = ROLES.key) -> DataFrame:
     """Exact contributions of every row of encoded: key, feature, value, phi, base.
 
@@ -339,22 +449,25 @@ def tree_attribution(encoded: DataFrame, model: Model, names: Sequence[str], bac
     paths, base = leaf_paths(nodes, counts)
     tabled, long = tabled_paths(nodes, counts), {m: p for m, p in paths.items() if m > TABLE_FEATURES}
     rows = encoded.select(key, vector_to_array(FEATURES).alias("x"))
-    # The work of a row grows with the paths: few partitions are dealt to all cores.
-    cores = encoded.sparkSession.sparkContext.defaultParallelism
-    if rows.rdd.getNumPartitions() < cores:
+    most = max(TABLE_ROWS, GATHERED_CELLS // max(len(names), 1))
+    # The work of a row grows with the paths: few partitions are dealt to all cores. Many small ones are joined, as each task works out all tables.
+    cores, parts = encoded.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions()
+    if parts < cores:
         rows = rows.repartition(cores)
+    elif parts > cores:
+        rows = rows.coalesce(min(parts, max(cores, encoded.count() // most)))
 
     def explain(batches):
-        for batch in batches:
+        for batch in gathered(batches, most):
             x = _matrix(batch)
             # Tables are for many rows; what is left for each row are the long paths.
             many = len(x) >= TABLE_ROWS
-            short = tabled_contributions(x, nodes, tabled) if many else np.zeros(x.shape)
+            phi = np.ascontiguousarray(tabled_contributions(x, nodes, tabled)) if many else np.zeros(x.shape)
             for at in range(0, len(x), 256):
-                some = x[at : at + 256]
-                phi = short[at : at + 256] + contributions(some, nodes, long if many else paths)
-                lists = [pa.array(list(a), pa.list_(pa.float64())) for a in (some, phi)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(some)), *lists], names=[key, "x", "phi"])
+                phi[at : at + 256] += contributions(x[at : at + 256], nodes, long if many else paths)
+            for at in range(0, len(x), 4096):
+                some = slice(at, at + 4096)
+                yield pa.RecordBatch.from_arrays([batch.column(0)[some], _lists(x[some]), _lists(phi[some])], names=[key, "x", "phi"])
 
     kind = rows.schema[key].dataType.simpleString()
     explained = rows.mapInArrow(explain, f"`{key}` {kind}, x array<double>, phi array<double>")

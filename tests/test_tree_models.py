@@ -332,6 +332,34 @@ def test_tabled_paths_equal_paths_one_by_one(spark, wavy, longest, monkeypatch):
     np.testing.assert_allclose(found, expected, atol=1e-12)
 
 
+def test_paths_of_a_subtree_are_looked_up_together(wavy):
+    """Repeated features, features new below the node, and trees that are one subtree as a whole."""
+    for depth in (2, 3, 8):
+        nodes = T.nodes_of(B.Forest(numTrees=2, maxDepth=depth).fit(wavy))
+        counts = T.background_rows(wavy, nodes)
+        trees = T.tabled_paths(nodes, counts)
+        paths = sum(len(s.paths) for t in trees for s in t.subtrees)
+        assert paths == sum(len(p.leaf) for p in T.leaf_paths(nodes, counts)[0].values())
+        assert 2 * sum(len(t.subtrees) for t in trees) <= paths
+        assert all(s.bits + len(s.nodes) <= T.TABLE_BITS for t in trees for s in t.subtrees)
+        x = np.random.default_rng(depth).normal(size=(300, 4))
+        found, expected = T.tabled_contributions(x, nodes, trees), T.contributions(x, nodes, T.leaf_paths(nodes, counts)[0])
+        np.testing.assert_allclose(found, expected, atol=1e-12)
+
+
+def test_rows_are_gathered_before_they_are_explained(spark, wavy):
+    """Small batches and many small partitions would leave too few rows for tables."""
+    import pyarrow as pa
+
+    batches = [pa.record_batch({"k": list(range(10 * i, 10 * i + n))}) for i, n in enumerate([10, 0, 10, 10, 10, 3])]
+    found = list(T.gathered(batches, 20))
+    assert [b.num_rows for b in found] == [20, 20, 3] and found[0]["k"].to_pylist() == [*range(10), *range(20, 30)]
+    model = B.Forest(numTrees=2, maxDepth=3).fit(wavy)
+    explained = T.tree_attribution(wavy.repartition(40), model, list("abcd"), wavy)
+    assert explained.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert explained.count() == 4 * wavy.count()
+
+
 def test_tasks_of_a_fit_are_bounded_by_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert M.fit_tasks(5, spark) == 1 and M.fit_tasks(2 * M.TASK_ROWS, spark) == min(2, cores)

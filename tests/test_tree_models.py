@@ -360,6 +360,27 @@ def test_rows_are_gathered_before_they_are_explained(spark, wavy):
     assert explained.count() == 4 * wavy.count()
 
 
+def test_fits_side_by_side_share_the_cores(spark, wavy, monkeypatch):
+    cores = spark.sparkContext.defaultParallelism
+    assert M.fit_tasks(10_000 * M.TASK_ROWS, spark, 1) == cores
+    assert M.fit_tasks(20 * M.TASK_ROWS, spark, cores) == 1 and M.fit_tasks(5, spark, cores) == 1
+    assert M.fit_tasks((cores + 5) * M.SHARED_TASK_ROWS, spark, cores) == cores
+    monkeypatch.setattr(M, "TASK_ROWS", 10)
+    used, configured = [], M._configured
+
+    class Counted:
+        def __init__(self, *settings):
+            self.own = configured(*settings)
+
+        def fit(self, rows):
+            used.append(rows.rdd.getNumPartitions())
+            return self.own.fit(rows)
+
+    monkeypatch.setattr(M, "_configured", Counted)
+    M.search("LogisticRegression", wavy.repartition(16), [{"C": 1.0, "elasticNetParam": e} for e in (0.0, 1.0)], 4, cores)
+    assert used == [-(-cores // min(8, cores))] * 8
+
+
 def test_tasks_of_a_fit_are_bounded_by_the_cores(spark):
     cores = spark.sparkContext.defaultParallelism
     assert M.fit_tasks(5, spark) == 1 and M.fit_tasks(2 * M.TASK_ROWS, spark) == min(2, cores)

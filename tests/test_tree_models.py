@@ -364,7 +364,8 @@ def test_fits_side_by_side_share_the_cores(spark, wavy, monkeypatch):
     cores = spark.sparkContext.defaultParallelism
     assert M.fit_tasks(10_000 * M.TASK_ROWS, spark, 1) == cores
     assert M.fit_tasks(20 * M.TASK_ROWS, spark, cores) == 1 and M.fit_tasks(5, spark, cores) == 1
-    assert M.fit_tasks((cores + 5) * M.SHARED_TASK_ROWS, spark, cores) == cores
+    rows = M.SHARED_TASK_CELLS // 256
+    assert M.fit_tasks(2 * rows, spark, cores, 256) == min(2, cores) and M.fit_tasks((cores + 5) * rows, spark, cores, 256) == cores
     monkeypatch.setattr(M, "TASK_ROWS", 10)
     used, configured = [], M._configured
 

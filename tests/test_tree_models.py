@@ -424,3 +424,92 @@ def test_elimination_keeps_no_trees(spark, wavy, monkeypatch):
         assert list(table.gain_shares(fit, 4, 3)) == list(own)
         monkeypatch.setattr(B, "BLOCKS_AT_ONCE", 0)
         assert list(table.gain_shares(fit, 4, 3)) == list(own)
+
+
+@pytest.mark.parametrize("kind", ["boosted", "leafwise", "forest"])
+def test_trees_of_stored_blocks_and_of_shared_passes_are_the_same(spark, wavy, kind, monkeypatch):
+    """Tables of many blocks are read as a whole from the shared folder, larger ones grow in shared passes."""
+    from ebbline.operators.splitting import stratified_folds
+
+    parts = stratified_folds(wavy, "label", "customerID", 2, 42).cache()
+    points = {
+        "boosted": [{"maxIter": 3, "maxDepth": d, "subsamplingRate": 0.8} for d in (1, 4)],
+        "leafwise": [{"maxIter": 3, "maxDepth": 5, "numLeaves": n, "minInstancesPerNode": 10, "featureShare": 0.8, "minWeight": 1e-3, "penalty": 0.0} for n in (4, 9)],
+        "forest": [{"numTrees": 3, "maxDepth": d, "minInstancesPerSplit": s} for d in (3, 0) for s in (2, 9)],
+    }[kind]
+    estimator = B.Forest() if kind == "forest" else B.BoostedTrees()
+    one = estimator.search(parts, points, 2)
+    # Parts of few rows, coarse codes for all levels, nodes dealt early and counted both ways.
+    for name, value in {"BLOCK_ROWS": 50, "PART_ROWS": 100, "COARSE_NODES": 3, "DEALT_NODES": 3, "JOINT_ROWS": 20, "DRAWN_ROWS": 70}.items():
+        monkeypatch.setattr(B, name, value)
+    with monkeypatch.context() as own:
+        own.setattr(B, "_side_by_side", None)
+        stored = estimator.search(parts, points, 2)
+    monkeypatch.setattr(B, "STORED_ROWS", 0)
+    monkeypatch.setattr(B, "_dealt", None)
+    passes = estimator.search(parts, points, 2)
+    for other in (stored, passes):
+        assert one[0] == other[0] and one[2].ensemble == other[2].ensemble
+        np.testing.assert_allclose(one[1], other[1], atol=1e-12)
+
+
+def test_parts_of_a_block_give_the_same_trees(monkeypatch):
+    """What is summed up together, and where rows stand, does not change a tree."""
+    rng = np.random.default_rng(3)
+    n = 3000
+    bins = np.concatenate((rng.integers(0, 40, (3, n)), rng.integers(0, 2, (6, n)))).astype(np.uint8)
+    label = ((bins[0] > 20) ^ (bins[4] > 0) ^ (rng.random(n) < 0.2)).astype(float)
+    layout = B.Layout([[float(i) for i in range(39)]] * 3 + [[0.5]] * 6)
+    raw = {"bins": bins, "label": label, "fold": rng.integers(0, 3, n).astype(np.int32), "hash": rng.integers(0, 2**62, n).astype(np.uint64)}
+    fits = [
+        B.Fit(rounds=3, depth=0, features_share=0.4, least_weight=0.0, penalty=0.0, forest=True, fold=1),
+        B.Fit(rounds=4, depth=6, rows_share=0.7, fold=1), B.Fit(rounds=4, depth=7, leaves=9, least_rows=5, features_share=0.8, penalty=0.0, least_weight=1e-3, fold=1),
+    ]
+
+    def found():
+        block = B.ready_block(B.prepared_block(raw, layout), layout)
+        scores = [list(B._run_alone(block, 0, f, 0.1, layout, [(f.rounds, 0 if f.forest else f.depth, 2 if f.forest else 0)], 7, len)) for f in fits]
+        return scores, [B.tree_table(B._grown_alone(block, fits[0], k, layout, 7)[0], 0, layout.borders).tolist() for k in (1, 2)]
+
+    whole = found()
+    assert all(len(rows) for rows in whole[0]) and len(whole[1][0]) > 200
+    for settings in ({"PART_ROWS": 200, "DEALT_NODES": 2, "JOINT_ROWS": 30}, {"COARSE_NODES": 0, "JOINT_ROWS": 1 << 30}, {"COARSE_CODES": 300, "COARSE_NODES": 64, "JOINT_ROWS": 0}):
+        with monkeypatch.context() as own:
+            for name, value in settings.items():
+                own.setattr(B, name, value)
+            assert found() == whole
+    # Labels other than 0 and 1 are not packed.
+    raw["label"] = label * 0.5
+    halves = found()[1]
+    assert [[n[:3] for n in t] for t in halves] != [] and all(0 <= n[3] <= 0.5 for t in halves for n in t)
+
+
+def test_forest_points_that_split_fewer_nodes_share_a_fit(spark, wavy, monkeypatch):
+    from ebbline.operators.splitting import stratified_folds
+
+    parts = stratified_folds(wavy, "label", "customerID", 2, 42).cache()
+    fits, fit = [], B.BinnedTable.fit
+    monkeypatch.setattr(B.BinnedTable, "fit", lambda self, own, *a, **b: fits.append(len(own)) or fit(self, own, *a, **b))
+    points = [{"numTrees": 2, "minInstancesPerSplit": s, "minInstancesPerNode": n} for s in (2, 30) for n in (1, 2)]
+    B.Forest().search(parts, points, 2)
+    # One fit a fold for each of the two leaf sizes, and the refit of the best point.
+    assert fits == [4, 1]
+
+
+def test_leaf_budgets_bound_what_is_grown(wavy, monkeypatch):
+    """Nodes that best-first order can't reach are not split on the way."""
+    rows = wavy.collect()
+    x = np.array([r.features.toArray() for r in rows])
+    borders = [sorted({(a + 0.5) / 20 for a in range(20)})] * 4
+    bins = np.stack([np.searchsorted(borders[i], x[:, i]) for i in range(4)]).astype(np.uint8)
+    raw = {"bins": bins, "label": np.array([float(r.label) for r in rows]), "fold": np.full(600, -2, np.int32), "hash": np.arange(600, dtype=np.uint64)}
+    layout = B.Layout(borders)
+    block = B.ready_block(B.prepared_block(raw, layout), layout) | {"scores": np.zeros((1, 600))}
+    searched, split = [], B.best_splits
+    monkeypatch.setattr(B, "best_splits", lambda sums, choice, *a: searched.append(len(choice.first) - 1) or split(sums, choice, *a))
+    fit = B.Fit(depth=9, least_weight=0.0, penalty=0.1, leaves=5)
+    some = B._grown_alone(block, fit, 1, layout, 1)[0]
+    few, searched[:] = sum(searched), []
+    free = B._grown_alone(block, B.replace(fit, leaves=None), 1, layout, 1)[0]
+    assert len(B.tree_table(some, 0, borders)) == 9 and few < sum(searched) / 3
+    assert len(some.left) < len(free.left) / 3
